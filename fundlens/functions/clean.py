@@ -7,8 +7,6 @@ Rounding is half-up (``floor(x + 0.5)``), not Spark's half-away-from-zero.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,9 +14,12 @@ from pyspark.sql import functions as F
 MISSING_TEXTS = ("", "-", "N/A", "null")
 
 # Java's \s does not cover the no-break space that web pages are full of.
-BLANK = r"[\s ]"
+BLANK = r"[\s\u00a0]"
+BLANK_CHARACTERS = " \t\n\x0b\f\r\u00a0\u3000\ufeff"
+NUMBER_CLUTTER = BLANK_CHARACTERS + ",%₩"
 NUMBER_SHAPE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
+LARGEST_DOUBLE = 1.7976931348623157e308
 SEOUL_OFFSET_SECONDS = 9 * 3600
 
 
@@ -28,7 +29,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove leading and trailing blanks, the no-break space included."""
-    return F.regexp_replace(col(c), rf"^{BLANK}+|{BLANK}+$", "")
+    return F.trim(col(c), F.lit(BLANK_CHARACTERS))
 
 
 def nullify(c: Column | str) -> Column:
@@ -39,7 +40,7 @@ def nullify(c: Column | str) -> Column:
 def finite(c: Column | str) -> Column:
     """NaN and the infinities are not values."""
     c = col(c).cast("double")
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+    return F.when(F.abs(c) <= F.lit(LARGEST_DOUBLE), c)
 
 
 def not_finite(c: Column | str) -> Column:
@@ -56,35 +57,33 @@ def parse_number(c: Column | str) -> Column:
 def normalize_code(c: Column | str) -> Column:
     """Digits only, one to six of them, left-padded to six."""
     digits = F.regexp_replace(nullify(c), r"[^0-9]", "")
-    return F.when(F.length(digits).between(1, 6), F.lpad(digits, 6, "0"))
+    return F.when(digits.rlike("^[0-9]{1,6}$"), F.lpad(digits, 6, "0"))
 
 
 def normalize_etf_code(c: Column | str) -> Column:
     """Pad all-digit codes to six; keep alphanumeric codes, upper-cased."""
     text = strip(F.coalesce(col(c), F.lit("")))
-    return (
-        F.when(text.rlike("^[0-9]{1,5}$"), F.lpad(text, 6, "0"))
-        .when(text.rlike("^[0-9]+$"), text)
-        .otherwise(F.upper(text))
-    )
+    return F.when(text.rlike("^[0-9]{1,5}$"), F.lpad(text, 6, "0")).otherwise(F.upper(text))
 
 
 def lookup_code(c: Column | str) -> Column:
     """Key of the holdings lookup: all digits of the text padded to six, else upper case."""
     text = strip(F.coalesce(col(c), F.lit("")))
     digits = F.regexp_replace(text, r"[^0-9]", "")
-    return (
-        F.when(F.length(digits) == 0, F.upper(text))
-        .when(F.length(digits) < 6, F.lpad(digits, 6, "0"))
-        .otherwise(digits)
-    )
+    padded = F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0"))
+    return F.when(digits == "", F.upper(text)).otherwise(padded)
 
 
 def normalize_asset_code(c: Column | str) -> Column:
     """Domestic codes are padded to six digits, tickers and ISINs stay as they are."""
-    text = strip(nullify(c))
-    domestic = F.when(text.rlike("^[A-Za-z]?[0-9]+$"), normalize_code(text))
-    return F.coalesce(domestic, clean_text(text))
+    return padded_asset_code(clean_text(c))
+
+
+def padded_asset_code(c: Column | str) -> Column:
+    """:func:`normalize_asset_code` for a text that is clean already."""
+    text = col(c)
+    digits = F.regexp_replace(text, r"[^0-9]", "")
+    return F.when(text.rlike("^[A-Za-z]?[0-9]{1,6}$"), F.lpad(digits, 6, "0")).otherwise(text)
 
 
 def clean_text(c: Column | str) -> Column:
@@ -176,7 +175,9 @@ def is_delayed(as_of: Column | str, now: Column, threshold: int = 1) -> Column:
 
 def clamp01(c: Column | str) -> Column:
     c = col(c).cast("double")
-    return F.when(~F.isnan(c), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+    # greatest() and least() skip nulls, so a missing number has to be kept out first.
+    given = c.isNotNull() & ~F.isnan(c)
+    return F.when(given, F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def name_key(c: Column | str) -> Column:
@@ -185,13 +186,13 @@ def name_key(c: Column | str) -> Column:
 
 
 def first_present(row: Column | str, keys: list[str] | tuple[str, ...]) -> Column:
-    """Value of the first key the map *has*, even if that value is null."""
-    row = col(row)
-    return reduce(
-        lambda rest, key: F.when(F.map_contains_key(row, F.lit(key)), row[key]).otherwise(rest),
-        reversed(keys),
-        F.lit(None).cast("string"),
-    )
+    """Value of the first key the map *has*, even if that value is null.
+
+    ``array_intersect`` keeps the order of its first array, so one expression
+    finds the key; a chain of ``when`` per key makes methods too big to compile.
+    """
+    wanted = F.array(*[F.lit(key) for key in keys])
+    return col(row)[F.get(F.array_intersect(wanted, F.map_keys(row)), F.lit(0))]
 
 
 def exact_sum(c: Column | str, scale: int = 4) -> Column:

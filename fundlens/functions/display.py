@@ -23,7 +23,7 @@ def signed_percent(c: Column | str) -> Column:
 
 
 def _grouped(value: Column) -> Column:
-    return F.format_number(value, "#,##0.###")
+    return F.call_function("format_number", value, F.lit("#,##0.###"))
 
 
 def krw_text(c: Column | str) -> Column:

@@ -68,8 +68,8 @@ MONTHLY_SCHEDULE = r"매월|매\s*1,\s*2,\s*3"
 
 
 def asset_type(c: Column | str) -> Column:
-    """Map a provider's wording to the common asset type, ``UNKNOWN`` if nothing fits."""
-    text = clean_text(c)
+    """Map a provider's cleaned wording to the asset type, ``UNKNOWN`` if nothing fits."""
+    text = col(c)
     result = F.when(text.isNull(), "UNKNOWN").when(text.isin(*ASSET_TYPES), text)
     for pattern, kind in ASSET_TYPE_WORDS:
         result = result.when(text.rlike(f"(?i){pattern}"), kind)

@@ -11,8 +11,8 @@ from ..functions.clean import (
     finite,
     first_present,
     half_up,
-    normalize_asset_code,
     not_finite,
+    padded_asset_code,
     parse_number,
 )
 from ..functions.names import asset_type
@@ -44,25 +44,36 @@ def normalize_rows(raw: DataFrame, row: str = "row", pos: str = "pos") -> DataFr
     to the row's place in its document (``pos`` counts from 0).
     """
 
-    def pick(field: str) -> Column:
-        return first_present(row, ALIASES[field])
-
-    given_rank = parse_number(pick("rank"))
-    whole_rank = F.when(given_rank < 0, F.ceil(given_rank)).otherwise(F.floor(given_rank))
+    # In three steps, since an expression used several times is evaluated once per
+    # row only when it is a column of a projection below.
     kept = [c for c in raw.columns if c != row]
-    return raw.select(
+    picked = raw.select(*kept, *[first_present(row, keys).alias(f"_{f}") for f, keys in ALIASES.items()])
+    cleaned = picked.select(
+        *kept,
+        F.col("_code").alias("raw_asset_code"),
+        *[
+            clean_text(f"_{f}").alias(f"_{f}")
+            for f in ("code", "name", "asset_type", "market", "currency")
+        ],
+        *[
+            parse_number(f"_{f}").alias(f"_{f}")
+            for f in ("weight", "quantity", "contract", "market_value", "rank")
+        ],
+    )
+    whole_rank = F.when(F.col("_rank") < 0, F.ceil("_rank")).otherwise(F.floor("_rank"))
+    return cleaned.select(
         *kept,
-        normalize_asset_code(pick("code")).alias("asset_code"),
-        clean_text(pick("name")).alias("asset_name"),
-        asset_type(pick("asset_type")).alias("asset_type"),
-        clean_text(pick("market")).alias("market"),
-        clean_text(pick("currency")).alias("currency"),
-        parse_number(pick("quantity")).alias("quantity"),
-        parse_number(pick("contract")).alias("contract_count"),
-        parse_number(pick("market_value")).alias("market_value"),
-        parse_number(pick("weight")).alias("weight_pct"),
+        padded_asset_code("_code").alias("asset_code"),
+        F.col("_name").alias("asset_name"),
+        asset_type("_asset_type").alias("asset_type"),
+        F.col("_market").alias("market"),
+        F.col("_currency").alias("currency"),
+        F.col("_quantity").alias("quantity"),
+        F.col("_contract").alias("contract_count"),
+        F.col("_market_value").alias("market_value"),
+        F.col("_weight").alias("weight_pct"),
         F.coalesce(whole_rank.cast("int"), F.col(pos).cast("int") + 1).alias("rank"),
-        pick("code").alias("raw_asset_code"),
+        "raw_asset_code",
     )
 
 

@@ -52,14 +52,18 @@ def _misshapen(c: str, pattern: str) -> Column:
     return ~F.coalesce(F.col(c).cast("string").rlike(pattern), F.lit(False))
 
 
+SHAPE_ERRORS = ("asset_code:missing", "asset_name:missing", "asset_type:enum")
+
+
 def check_shape(holdings: DataFrame) -> DataFrame:
     """Attach ``shape_errors`` to each holding row."""
     return holdings.withColumn(
         "shape_errors",
         codes(
-            ("asset_code:missing", _blank("asset_code")),
-            ("asset_name:missing", _blank("asset_name")),
-            ("asset_type:enum", _outside("asset_type", ASSET_TYPES)),
+            *zip(
+                SHAPE_ERRORS,
+                (_blank("asset_code"), _blank("asset_name"), _outside("asset_type", ASSET_TYPES)),
+            )
         ),
     )
 
@@ -83,12 +87,14 @@ def check_document_shape(documents: DataFrame) -> DataFrame:
 
 
 def shape_summary(checked: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows per shape error."""
-    return (
-        checked.select(*by, F.explode("shape_errors").alias("error"))
-        .groupBy(*by, "error")
-        .agg(F.count(F.lit(1)).alias("rows"))
+    """Rows per shape error, counted in one aggregation and then unfolded."""
+    counted = checked.groupBy(*by).agg(
+        *[F.count_if(F.array_contains("shape_errors", e)).alias(e) for e in SHAPE_ERRORS]
+    )
+    pairs = F.array(
+        *[F.struct(F.lit(e).alias("error"), F.col(f"`{e}`").alias("rows")) for e in SHAPE_ERRORS]
     )
+    return counted.select(*by, F.inline(pairs)).where(F.col("rows") > 0)
 
 
 def check_business(documents: DataFrame, holdings: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Named end-to-end queries with their reference SQL."""
 
-from . import market, portfolio, sources  # noqa: F401
+from . import market, portfolio, records, sources, streams, tags  # noqa: F401
 from .registry import catalog
 
 __all__ = ["catalog"]

@@ -124,7 +124,7 @@ _BUSINESS = """judged AS (
     CASE WHEN row_count > 0 AND valued_count = 0 THEN 'weight:all_blank' END,
     CASE WHEN valued_count > 0 AND blank_count > 0 THEN 'weight:some_blank' END,
     CASE WHEN valued_count > 0 AND abs(weight_sum - 100) > 1.0 THEN 'weight:sum_off' END],
-    x -> x IS NOT NULL), ',') AS warnings
+    lambda x: x IS NOT NULL), ',') AS warnings
 FROM judged""",
 )
 def holdings_business_check(spark: SparkSession, folder: str) -> DataFrame:

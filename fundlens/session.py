@@ -20,6 +20,9 @@ def build_session(app: str = "fundlens", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # The JVM never compiles methods above 8000 bytes; past that, Spark's
+        # split expressions are faster than one big generated method.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():

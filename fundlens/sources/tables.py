@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean
+from ..functions.names import code_type
 from ..operators import bars as bar_ops
 from ..operators import universe as universe_ops
 from ..operators.ordering import top_per_key, with_position
@@ -47,7 +48,9 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def code_of(key: Column | str) -> Column:
-    return clean.normalize_etf_code(clean.col(key).cast("string"))
+    """Fund or stock code of a whole-number key: its digits, padded to six."""
+    text = clean.col(key).cast("string")
+    return F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text)
 
 
 def mapped(key: Column | str, values: dict[str, str], default: str | None = None) -> Column:
@@ -344,11 +347,14 @@ def details(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+NAME_SUFFIXES = {"BUILDING": " 액티브", "MACHINERY": " 합성(H)", "HOUSEHOLD": " 커버드콜"}
+
+
 def fund_master(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "customer").select(
         code_of("c_custkey").alias("etf_code"),
-        F.lit("krx_numeric").alias("code_type"),
-        F.col("c_name").alias("name"),
+        code_type(code_of("c_custkey")).alias("code_type"),
+        F.concat("c_name", mapped("c_mktsegment", NAME_SUFFIXES, "")).alias("name"),
     )
 
 
