@@ -43,22 +43,37 @@ def normalize_rows(raw: DataFrame, row: str = "row", pos: str = "pos") -> DataFr
     A blank weight stays null and a zero weight stays zero.  The rank falls back
     to the row's place in its document (``pos`` counts from 0).
     """
+    kept = [c for c in raw.columns if c != row]
+    picked = {f: first_present(row, keys) for f, keys in ALIASES.items()}
+    return _normalized(raw, kept, picked, pos)
+
 
+def normalize_columns(raw: DataFrame, pos: str = "pos") -> DataFrame:
+    """:func:`normalize_rows` for a provider table with fixed columns.
+
+    Which alias applies is known from the column names, so nothing is looked up
+    per row.
+    """
+    aliases = {key for keys in ALIASES.values() for key in keys}
+    kept = [c for c in raw.columns if c not in aliases]
+    picked = {}
+    for field, keys in ALIASES.items():
+        given = next((key for key in keys if key in raw.columns), None)
+        picked[field] = F.col(f"`{given}`").cast("string") if given else F.lit(None).cast("string")
+    return _normalized(raw, kept, picked, pos)
+
+
+def _normalized(raw: DataFrame, kept: list[str], picked: dict[str, Column], pos: str) -> DataFrame:
     # In three steps, since an expression used several times is evaluated once per
     # row only when it is a column of a projection below.
-    kept = [c for c in raw.columns if c != row]
-    picked = raw.select(*kept, *[first_present(row, keys).alias(f"_{f}") for f, keys in ALIASES.items()])
-    cleaned = picked.select(
+    texts = ("code", "name", "asset_type", "market", "currency")
+    numbers = ("weight", "quantity", "contract", "market_value", "rank")
+    chosen = raw.select(*kept, *[value.alias(f"_{f}") for f, value in picked.items()])
+    cleaned = chosen.select(
         *kept,
         F.col("_code").alias("raw_asset_code"),
-        *[
-            clean_text(f"_{f}").alias(f"_{f}")
-            for f in ("code", "name", "asset_type", "market", "currency")
-        ],
-        *[
-            parse_number(f"_{f}").alias(f"_{f}")
-            for f in ("weight", "quantity", "contract", "market_value", "rank")
-        ],
+        *[clean_text(f"_{f}").alias(f"_{f}") for f in texts],
+        *[parse_number(f"_{f}").alias(f"_{f}") for f in numbers],
     )
     whole_rank = F.when(F.col("_rank") < 0, F.ceil("_rank")).otherwise(F.floor("_rank"))
     return cleaned.select(
@@ -156,7 +171,7 @@ def holding_figures(holding: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(not_finite("weight_pct")).alias("bad"),
         F.count_if(weight < 0).alias("negative"),
         F.count_if(misshapen).alias("misshapen"),
-        F.sum(weight.cast("decimal(28,4)")).alias("weight"),
+        exact_sum(weight).alias("weight"),
     )
     repeated = F.col("asset_code").isNotNull() & (F.col("rows") > 1)
     return per_asset.groupBy(*keys).agg(
@@ -166,7 +181,7 @@ def holding_figures(holding: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("bad").alias("bad_count"),
         F.sum("negative").alias("negative_count"),
         F.sum("misshapen").alias("misshapen_count"),
-        F.sum("weight").cast("double").alias("weight_sum"),
+        exact_sum("weight").alias("weight_sum"),
         F.count_if(repeated).alias("repeated_assets"),
     )
 

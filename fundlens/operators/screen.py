@@ -223,11 +223,13 @@ def funds_by_stock(etf: DataFrame, holding: DataFrame, stock_id: str | None = No
     """
     if stock_id is not None:
         holding = holding.where(F.col("stock_id") == stock_id)
-    edges = first_by(holding, ["etf_id", "stock_id"], F.col("ord").asc())
+    edges = holding.groupBy("etf_id", "stock_id").agg(
+        F.min_by("weight", "ord").alias("weight"), F.min_by("rank", "ord").alias("rank")
+    )
     owner = first_by(etf, "id", F.col("ord").desc()).select(
         F.col("id").alias("etf_id"), "name", "trading_value"
     )
-    rows = edges.drop("ord").join(owner, "etf_id")
+    rows = edges.join(owner, "etf_id")
     order = [
         F.col("weight").desc(),
         F.col("trading_value").desc_nulls_last(),

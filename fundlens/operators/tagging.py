@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clean import half_up
+from ..functions.clean import exact_sum, half_up
 from ..functions.names import name_hints, token_estimate
 from .ordering import first_by, top_per_key, with_position
 
@@ -331,14 +331,14 @@ def candidate_rollup(candidates: DataFrame) -> DataFrame:
     # One row per (label, category, fund) first: a hot label is combined before it moves.
     per_fund = candidates.groupBy("label", "category", "etf_code").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum(F.col("score").cast("decimal(28,6)")).alias("_score"),
-        F.sum(F.col("confidence").cast("decimal(28,6)")).alias("_confidence"),
+        exact_sum("score", 6).alias("_score"),
+        exact_sum("confidence", 6).alias("_confidence"),
     )
     n = F.sum("_n")
     return per_fund.groupBy("label", "category").agg(
         F.count(F.lit(1)).alias("matched_funds"),
-        half_up(F.sum("_score").cast("double") / n, 4).alias("average_score"),
-        half_up(F.sum("_confidence").cast("double") / n, 4).alias("average_confidence"),
+        half_up(exact_sum("_score", 6) / n, 4).alias("average_score"),
+        half_up(exact_sum("_confidence", 6) / n, 4).alias("average_confidence"),
     )
 
 

@@ -77,19 +77,24 @@ figures AS (
 
 
 def provider_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return holding_ops.normalize_rows(tables.raw_provider_rows(spark, folder))
+    return holding_ops.normalize_columns(tables.raw_provider_rows(spark, folder))
 
 
-@catalog.query(
-    "normalized_rows",
-    q.given(_ROWS)
-    + """SELECT etf_code, provider, asset_code, asset_name, asset_type, weight_pct, rank
-FROM provider_rows""",
-)
+_NORMALIZED_SQL = q.given(_ROWS) + """SELECT etf_code, provider, asset_code, asset_name, asset_type,
+  weight_pct, rank FROM provider_rows"""
+_NORMALIZED = ("etf_code", "provider", "asset_code", "asset_name", "asset_type", "weight_pct", "rank")
+
+
+@catalog.query("normalized_rows", _NORMALIZED_SQL)
 def normalized_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return provider_rows(spark, folder).select(
-        "etf_code", "provider", "asset_code", "asset_name", "asset_type", "weight_pct", "rank"
-    )
+    """Key-value rows, as documents without a fixed schema give them."""
+    keyed = tables.keyed_provider_rows(spark, folder)
+    return holding_ops.normalize_rows(keyed).select(*_NORMALIZED)
+
+
+@catalog.query("normalized_columns", _NORMALIZED_SQL)
+def normalized_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return provider_rows(spark, folder).select(*_NORMALIZED)
 
 
 @catalog.query(
@@ -289,12 +294,12 @@ def holdings_choice(spark: SparkSession, folder: str) -> DataFrame:
     amounts = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("o_custkey", "l_partkey")
-        .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).alias("amount"))
+        .agg(tables.clean.exact_sum("l_extendedprice").alias("amount"))
     )
     order = [F.col("amount").desc(), F.col("l_partkey").asc()]
     first = top_per_key(amounts, "o_custkey", order, 10, "rank").select(
         tables.code_of("o_custkey").alias("etf_code"), "rank",
-        tables.code_of("l_partkey").alias("code"), F.col("amount").cast("double").alias("weight"),
+        tables.code_of("l_partkey").alias("code"), F.col("amount").alias("weight"),
     )
     second = tables.top_holdings_of(spark, folder).drop("name")
     chosen = resolve.choose_holdings(first, second, ("detail", "listing_file"))

@@ -147,15 +147,15 @@ def holding_values(spark: SparkSession, folder: str) -> DataFrame:
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("o_custkey", "l_partkey")
-        .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).alias("amount"))
+        .agg(clean.exact_sum("l_extendedprice").alias("amount"))
         .select(code_of("o_custkey").alias("etf_id"), code_of("l_partkey").alias("stock_id"), "amount")
     )
 
 
 def weights(amounts: DataFrame) -> DataFrame:
     """Share of each holding in its fund, in percent at two decimals."""
-    totals = amounts.groupBy("etf_id").agg(F.sum("amount").alias("total"))
-    share = F.col("amount").cast("double") / F.col("total").cast("double") * 100
+    totals = amounts.groupBy("etf_id").agg(clean.exact_sum("amount").alias("total"))
+    share = F.col("amount") / F.col("total") * 100
     return amounts.join(totals, "etf_id").select(
         "etf_id", "stock_id", clean.half_up(share, 2).alias("weight")
     )
@@ -228,25 +228,30 @@ def raw_provider_rows(spark: SparkSession, folder: str) -> DataFrame:
     Texts come as providers send them: weights with a percent sign, a dash for a
     blank weight, codes without padding, names missing on undiscounted lines.
     """
-    lines = read(spark, folder, "lineitem")
     weight = F.when(F.col("l_tax") == 0, "-").otherwise(
         F.concat(F.col("l_quantity").cast("string"), F.lit("%"))
     )
-    name = F.when(F.col("l_discount") > 0, F.concat(F.lit(" Part  "), F.col("l_partkey").cast("string")))
-    return lines.select(
+    part = F.col("l_partkey").cast("string")
+    return read(spark, folder, "lineitem").select(
         code_of("l_orderkey").alias("etf_code"),
         mapped("l_returnflag", PROVIDER_OF_FLAG).alias("provider"),
-        F.create_map(
-            F.lit("종목코드"), F.concat(F.lit("A"), F.col("l_partkey").cast("string")),
-            F.lit("종목명"), name,
-            F.lit("비중"), weight,
-            F.lit("순위"), F.col("l_linenumber").cast("string"),
-            F.lit("유형"), F.when(F.col("l_linestatus") == "F", "주식").otherwise("Futures"),
-        ).alias("row"),
+        F.concat(F.lit("A"), part).alias("종목코드"),
+        F.when(F.col("l_discount") > 0, F.concat(F.lit(" Part  "), part)).alias("종목명"),
+        weight.alias("비중"),
+        F.col("l_linenumber").cast("string").alias("순위"),
+        F.when(F.col("l_linestatus") == "F", "주식").otherwise("Futures").alias("유형"),
         F.col("l_linenumber").alias("pos"),
     )
 
 
+def keyed_provider_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows as key-value maps, the form schemaless documents have."""
+    raw = raw_provider_rows(spark, folder)
+    fields = ("종목코드", "종목명", "비중", "순위", "유형")
+    pairs = [x for f in fields for x in (F.lit(f), F.col(f))]
+    return raw.select("etf_code", "provider", F.create_map(*pairs).alias("row"), "pos")
+
+
 def provider_attempts(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document and provider that may be asked for it."""
     orders = read(spark, folder, "orders")
@@ -269,7 +274,7 @@ def top_holdings_of(
     amounts = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("o_custkey", "l_partkey")
-        .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).alias("amount"))
+        .agg(clean.exact_sum("l_extendedprice").alias("amount"))
     )
     order = [F.col("amount").desc(), F.col("l_partkey").asc()]
     best = top_per_key(amounts, "o_custkey", order, n, name="rank")
@@ -279,7 +284,7 @@ def top_holdings_of(
         "rank",
         code_of("l_partkey").alias("code"),
         F.col("p_name").alias("name"),
-        F.col("amount").cast("double").alias("weight"),
+        F.col("amount").alias("weight"),
     )
 
 
