@@ -307,8 +307,7 @@ def seoul_times(spark: SparkSession, folder: str) -> DataFrame:
         "event_id",
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("iso"),
         F.date_format("ts", "yyyyMMdd").alias("compact"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
-    )
+    ).withColumn("ms", F.unix_millis(F.try_to_timestamp("iso")))
     return stamped.select(
         "event_id",
         clean.to_seoul_iso("iso").alias("instant"),

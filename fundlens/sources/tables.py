@@ -140,32 +140,31 @@ def stocks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def holding_values(spark: SparkSession, folder: str) -> DataFrame:
-    """Amount each fund holds of each stock."""
+def holding_values(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
+    """Amount each fund holds of each stock, under their whole-number keys."""
     orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    lines = read(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
+    lines = read(spark, folder, "lineitem")
+    if status:
+        lines = lines.where(F.col("l_linestatus") == status)
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("o_custkey", "l_partkey")
         .agg(clean.exact_sum("l_extendedprice").alias("amount"))
-        .select(code_of("o_custkey").alias("etf_id"), code_of("l_partkey").alias("stock_id"), "amount")
     )
 
 
-def weights(amounts: DataFrame) -> DataFrame:
-    """Share of each holding in its fund, in percent at two decimals."""
-    totals = amounts.groupBy("etf_id").agg(clean.exact_sum("amount").alias("total"))
+def holdings(spark: SparkSession, folder: str) -> DataFrame:
+    """Unranked edges: etf_id, stock_id, weight (share of the fund in percent, two decimals)."""
+    amounts = holding_values(spark, folder)
+    totals = amounts.groupBy("o_custkey").agg(clean.exact_sum("amount").alias("total"))
     share = F.col("amount") / F.col("total") * 100
-    return amounts.join(totals, "etf_id").select(
-        "etf_id", "stock_id", clean.half_up(share, 2).alias("weight")
+    return amounts.join(totals, "o_custkey").select(
+        code_of("o_custkey").alias("etf_id"),
+        code_of("l_partkey").alias("stock_id"),
+        clean.half_up(share, 2).alias("weight"),
     )
 
 
-def holdings(spark: SparkSession, folder: str) -> DataFrame:
-    """Unranked edges: etf_id, stock_id, weight."""
-    return weights(holding_values(spark, folder))
-
-
 def ranked_holdings(spark: SparkSession, folder: str) -> DataFrame:
     """Edges with their rank in the fund and their ordinal in the whole table."""
     order = [F.col("weight").desc(), F.col("stock_id").asc()]
@@ -267,15 +266,7 @@ def top_holdings_of(
     spark: SparkSession, folder: str, status: str | None = None, n: int = 10
 ) -> DataFrame:
     """Each fund's ``n`` largest holdings, optionally from lines of one status only."""
-    orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    lines = read(spark, folder, "lineitem")
-    if status:
-        lines = lines.where(F.col("l_linestatus") == status)
-    amounts = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_custkey", "l_partkey")
-        .agg(clean.exact_sum("l_extendedprice").alias("amount"))
-    )
+    amounts = holding_values(spark, folder, status)
     order = [F.col("amount").desc(), F.col("l_partkey").asc()]
     best = top_per_key(amounts, "o_custkey", order, n, name="rank")
     part = read(spark, folder, "part").select("p_partkey", "p_name")

@@ -19,10 +19,10 @@ def scratch_root(spark: SparkSession) -> str:
     must name a shared one, because a machine-local path would not be readable
     from the other executors.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = context.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
@@ -42,3 +42,21 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a path on whatever file system it is on."""
+    where, system = _file_system(spark, path)
+    if not system.exists(where):
+        return []
+    return [status.getPath().getName() for status in system.listStatus(where)]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, system = _file_system(spark, path)
+    system.delete(where, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())

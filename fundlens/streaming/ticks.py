@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.bars import bar_columns
 from ..operators.ordering import first_by
-from ..storage import new_path
+from ..storage import delete, folder_names, new_path
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int | None = None) -> DataFrame:
@@ -45,26 +45,32 @@ def latest_of(ticks: DataFrame) -> DataFrame:
 class LatestQuotes:
     """Keeps the newest tick per code as a table, upserted once per micro-batch.
 
-    Each batch writes a new version of the table next to the old one, named by
-    its batch id, so a batch that is run again after a failure overwrites its own
-    version only.
+    Every batch writes a version named by its batch id, merged from the version
+    before it.  A batch that runs again after a failure reads the same previous
+    version and overwrites its own, so nothing is lost or counted twice, and a
+    restarted driver finds the state on disk.  Two versions are kept.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark = spark
         self.path = path or new_path(spark, "latest")
-        self._newest: int | None = None
 
-    def _version(self, batch_id: int) -> str:
-        return f"{self.path}/version={batch_id}"
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/version={version}"
+
+    def versions(self) -> list[int]:
+        names = folder_names(self.spark, self.path)
+        return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         merged = latest_of(batch)
-        if self._newest is not None and self._newest != batch_id:
-            previous = self.spark.read.parquet(self._version(self._newest))
+        before = [v for v in self.versions() if v < batch_id]
+        if before:
+            previous = self.spark.read.schema(batch.schema).parquet(self._folder(before[-1]))
             merged = latest_of(previous.unionByName(merged))
-        merged.write.mode("overwrite").parquet(self._version(batch_id))
-        self._newest = batch_id
+        merged.write.mode("overwrite").parquet(self._folder(batch_id))
+        for version in before[:-1]:
+            delete(self.spark, self._folder(version))
 
     def start(self, ticks: DataFrame, checkpoint: str) -> StreamingQuery:
         return (
@@ -75,9 +81,10 @@ class LatestQuotes:
         )
 
     def table(self) -> DataFrame:
-        if self._newest is None:
+        versions = self.versions()
+        if not versions:
             raise ValueError("no batch has been processed")
-        return self.spark.read.parquet(self._version(self._newest))
+        return self.spark.read.parquet(self._folder(versions[-1]))
 
 
 def stale_keys(latest: DataFrame, now: Column, limit_seconds: int) -> DataFrame:
