@@ -1,8 +1,9 @@
 """Price bars and what follows from them.
 
 Ticks are aggregated with partial aggregation, so a key with a third of all
-ticks sends one row per bar and map task.  A key's bars are then limited by the
-calendar (days or minutes covered), which is what the windows below run over.
+ticks sends one row per bar and map task.  What follows uses limits per key that
+apply before the shuffle, aggregates joined back, and range-partitioned
+positions; no key's whole history has to fit in one task.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clean import half_up, pct_change
-from .ordering import first_by, top_per_key
+from .ordering import first_by, top_per_key, with_position
 
 # Trailing windows as (bar interval, number of bars).
 PERIODS = {
@@ -130,19 +131,20 @@ def downsample(bars: DataFrame, k: int) -> DataFrame:
     """Every k-th bar from the first on, plus the last one."""
     if k < 1:
         raise ValueError(f"step must be positive: {k}")
-    window = W.partitionBy("code").orderBy(F.col("ts").asc())
-    return (
-        bars.withColumn("_at", F.row_number().over(window) - 1)
-        .withColumn("_last", F.lead("ts").over(window).isNull())
-        .where((F.col("_at") % k == 0) | F.col("_last"))
-        .drop("_at", "_last")
-    )
+    placed = with_position(bars, [F.col("ts").asc()], by=["code"], name="_place")
+    lengths = bars.groupBy("code").agg(F.count(F.lit(1)).alias("_length"))
+    kept = ((F.col("_place") - 1) % k == 0) | (F.col("_place") == F.col("_length"))
+    return placed.join(lengths, "code").where(kept).drop("_place", "_length")
 
 
 def cumulative_return(bars: DataFrame) -> DataFrame:
     """Return of each bar against the first close of its code."""
-    window = W.partitionBy("code").orderBy(F.col("ts").asc())
-    return bars.withColumn("cum_return", pct_change(F.col("c"), F.first("c").over(window)))
+    first = bars.groupBy("code").agg(F.min_by("c", "ts").alias("_first"))
+    return (
+        bars.join(first, "code")
+        .withColumn("cum_return", pct_change(F.col("c"), F.col("_first")))
+        .drop("_first")
+    )
 
 
 def scaled(bars: DataFrame) -> DataFrame:

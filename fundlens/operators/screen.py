@@ -114,6 +114,29 @@ def extremes(themes: DataFrame, period: str) -> DataFrame:
     )
 
 
+def all_extremes(themes: DataFrame) -> DataFrame:
+    """:func:`extremes` of every period from one pass over the themes."""
+    tie = (-F.col("trading_value"), F.col("name"), F.col("id"))
+    ends = themes.agg(
+        *[
+            F.min_by("id", F.struct(sign * F.col(column), *tie)).alias(f"{period}_{end}")
+            for period, column in PERIOD_RETURNS.items()
+            for end, sign in (("strongest", -1), ("weakest", 1))
+        ]
+    )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(period).alias("period"),
+                F.col(f"{period}_strongest").alias("strongest_id"),
+                F.col(f"{period}_weakest").alias("weakest_id"),
+            )
+            for period in PERIOD_RETURNS
+        ]
+    )
+    return ends.select(F.inline(rows))
+
+
 def top_themes(themes: DataFrame, n: int = TOP_THEMES) -> DataFrame:
     return top(themes, [F.col("trading_value").desc(), F.col("ord").asc()], n)
 

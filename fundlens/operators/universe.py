@@ -40,36 +40,37 @@ def merge_universe(curated: DataFrame, snapshot: DataFrame) -> DataFrame:
     Both sides carry one row per code.  ``prev_close`` and ``is_curated`` serve
     the overlays that follow.
     """
-    other = _prefixed(snapshot, "s_")
-    kept = [c for c in curated.columns if c not in SNAPSHOT_FIELDS + ("index_name",)]
-
-    def better(name: str) -> Column:
-        live = finite(F.col(f"s_{name}"))
-        return F.coalesce(live, F.col(name)) if name in curated.columns else live
-
-    index_name = F.when(F.col("s_index_name") != "", F.col("s_index_name"))
-    if "index_name" in curated.columns:
-        index_name = F.coalesce(index_name, F.col("index_name"))
-    enriched = curated.join(other, "code", "left").select(
-        *kept,
-        *[better(name).alias(name) for name in SNAPSHOT_FIELDS],
-        index_name.alias("index_name"),
-        F.col("s_prev_close").alias("prev_close"),
-        F.lit(True).alias("is_curated"),
+    # One full join reads each side once; codes are unique, so no key is hot.
+    have = curated.columns
+    both = curated.withColumn("_curated", F.lit(True)).join(
+        _prefixed(snapshot, "s_"), "code", "full"
     )
-    thin = snapshot.join(curated.select("code"), "code", "left_anti").select(
-        F.concat(F.lit("etf-"), F.col("code")).alias("id"),
-        "code",
-        "name",
-        F.col("prev_close").alias("current_price"),
-        F.col("change_rate").alias("change_rate_1d"),
-        "trading_value",
-        *SNAPSHOT_FIELDS,
-        "index_name",
-        "prev_close",
-        F.lit(False).alias("is_curated"),
+    known = F.coalesce("_curated", F.lit(False))
+    thin_values = {
+        "id": F.concat(F.lit("etf-"), F.col("code")),
+        "name": F.col("s_name"),
+        "current_price": F.col("s_prev_close"),
+        "change_rate_1d": F.col("s_change_rate"),
+        "trading_value": F.col("s_trading_value"),
+    }
+
+    def merged(name: str) -> Column:
+        stored = F.col(name) if name in have else F.lit(None)
+        if name in SNAPSHOT_FIELDS:
+            return F.coalesce(finite(F.col(f"s_{name}")), stored)
+        if name == "index_name":
+            given = F.when(~known | (F.col("s_index_name") != ""), F.col("s_index_name"))
+            return F.coalesce(given, stored)
+        if name in thin_values:
+            return F.when(known, stored).otherwise(thin_values[name])
+        return stored
+
+    names = list(dict.fromkeys([*have, *thin_values, *SNAPSHOT_FIELDS, "index_name"]))
+    return both.select(
+        *[F.col("code") if name == "code" else merged(name).alias(name) for name in names],
+        F.col("s_prev_close").alias("prev_close"),
+        known.alias("is_curated"),
     )
-    return enriched.unionByName(thin, allowMissingColumns=True)
 
 
 def overlay(
@@ -98,6 +99,25 @@ def overlay_thin(thin: DataFrame, prices: DataFrame) -> DataFrame:
     ).select(*thin.columns)
 
 
+def overlay_universe(universe: DataFrame, quotes: DataFrame, prices: DataFrame) -> DataFrame:
+    """:func:`overlay` on curated rows and :func:`overlay_thin` on the others, in one pass."""
+    live = _prefixed(quotes.select("code", *QUOTE_FIELDS), "q_")
+    last = prices.select("code", finite("price").alias("_live"))
+    joined = universe.join(live, "code", "left").join(last, "code", "left")
+    known = F.col("is_curated")
+    values = {
+        target: F.when(known, finite(F.col(f"q_{source}")))
+        for source, target in QUOTE_FIELDS.items()
+    }
+    values["current_price"] = F.when(known, finite("q_price")).otherwise(F.col("_live"))
+    values["change_rate_1d"] = F.when(known, finite("q_change_rate")).otherwise(
+        pct_change(F.col("_live"), F.col("prev_close"))
+    )
+    return joined.withColumns(
+        {name: F.coalesce(value, F.col(name)) for name, value in values.items()}
+    ).select(*universe.columns)
+
+
 def overlay_stats(base: DataFrame, quotes: DataFrame) -> DataFrame:
     """How many of the funds a quote row matched, and how many of these have a price."""
     live = quotes.select("code", F.lit(1).alias("_hit"), F.col("price").alias("_price"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,12 +188,7 @@ def theme_heatmap(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def theme_extremes(spark: SparkSession, folder: str) -> DataFrame:
-    themes = rolled_themes(spark, folder)
-    parts = [
-        screen.extremes(themes, period).select(F.lit(period).alias("period"), "*")
-        for period in screen.PERIOD_RETURNS
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return screen.all_extremes(rolled_themes(spark, folder))
 
 
 @catalog.query(
@@ -258,14 +251,12 @@ def universe_merge(spark: SparkSession, folder: str) -> DataFrame:
 FROM universe u LEFT JOIN quotes q ON u.code = q.code LEFT JOIN last_orders o ON u.code = o.code""",
 )
 def quote_overlay(spark: SparkSession, folder: str) -> DataFrame:
-    universe = merged_universe(spark, folder)
-    curated = universe_ops.overlay(universe.where("is_curated"), tables.quotes(spark, folder))
-    thin = universe_ops.overlay_thin(
-        universe.where(~F.col("is_curated")), tables.last_order_prices(spark, folder)
-    )
-    return curated.unionByName(thin).select(
-        "code", "is_curated", "current_price", "change_rate_1d", "trading_value"
+    overlaid = universe_ops.overlay_universe(
+        merged_universe(spark, folder),
+        tables.quotes(spark, folder),
+        tables.last_order_prices(spark, folder),
     )
+    return overlaid.select("code", "is_curated", "current_price", "change_rate_1d", "trading_value")
 
 
 @catalog.query(

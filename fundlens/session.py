@@ -20,6 +20,8 @@ def build_session(app: str = "fundlens", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Rather one more shuffle than one task with a hot key.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         # The JVM never compiles methods above 8000 bytes; past that, Spark's
         # split expressions are faster than one big generated method.
         "spark.sql.codegen.hugeMethodLimit": "8000",

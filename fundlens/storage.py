@@ -32,8 +32,21 @@ def scratch_root(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/fundlens-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/fundlens-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the scratch tables this process wrote; call it once results are stored."""
+    count = len(_written)
+    while _written:
+        delete(spark, _written.pop())
+    return count
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

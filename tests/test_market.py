@@ -165,6 +165,11 @@ def test_universe_merge_and_overlays(spark):
     q = universe.overlay(curated, quotes).first()
     assert (q.current_price, q.change_rate_1d, q.trading_value) == (1.0, 3.0, 5.0)
     assert tuple(universe.overlay_stats(curated, quotes).first()) == (1, 1, 0)
+    parts = universe.overlay(merged.where("is_curated"), quotes).unionByName(
+        universe.overlay_thin(merged.where("not is_curated"), prices)
+    )
+    at_once = universe.overlay_universe(merged, quotes, prices)
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, parts.collect()))
 
 
 def test_master_list(spark):

@@ -183,3 +183,10 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert storage.scratch_root(Named({"spark.checkpoint.dir": "s3a://shared/scratch/"})) == "s3a://shared/scratch"
     assert storage.materialize(spark.range(3), "here").count() == 3
     assert any(n.startswith("fundlens-here") for n in storage.folder_names(spark, storage.scratch_root(spark)))
+
+
+def test_scratch_tables_can_be_released(spark):
+    table = storage.materialize(spark.range(2), "gone")
+    assert table.count() == 2
+    assert storage.release(spark) >= 1
+    assert not any(n.startswith("fundlens-gone") for n in storage.folder_names(spark, storage.scratch_root(spark)))
