@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Catalog
-from . import chat, packing, sharding, token_counts, topk
+from . import chat, decontaminate, near_dup, packing, quality, sharding, token_counts, topk
 
 catalog = Catalog()
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@catalog.query("op1_quality")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @catalog.query("op2_hilbert_shards")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     content = F.coalesce(F.col("text"), F.lit(""))
@@ -39,6 +44,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns.unionByName(control)))
 
 
+@catalog.query("op4_decontamination")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @catalog.query("op5_token_counts")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     file = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +60,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@catalog.query("op7_near_duplicates")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"), similarity=0.8, words_each=2)
+
+
 @catalog.query("op10_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     file = public_tokenizers.path("word_bpe_49k.json")
