@@ -259,3 +259,14 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, words_each: i
     joined = slim.where("class is not null").join(component, "class").select("doc_id", "n_shingles", "component_id")
     alone = slim.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(documents: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
+    """``documents`` with one document of each group of near-duplicates: that of the least doc_id.
+
+    All columns stay.  Rows that repeat a doc_id are one document; rows without one stay, as
+    nothing could name them.
+    """
+    gone = near_duplicates(documents, similarity, words_each).where("not kept and doc_id is not null")
+    gone = gone.select(F.col("doc_id").alias("_llm_gone")).distinct()
+    return documents.join(gone, F.col("doc_id") == F.col("_llm_gone"), "left_anti")

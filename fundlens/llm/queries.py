@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Catalog
-from . import chat, decontaminate, near_dup, packing, quality, sharding, token_counts, topk
+from . import chat, decontaminate, near_dup, packing, pii, quality, sharding, token_counts, topk, url_filter
 
 catalog = Catalog()
 
@@ -65,6 +65,16 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"), similarity=0.8, words_each=2)
 
 
+@catalog.query("op8_pii")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_pii(table(spark, folder, "documents"))
+
+
+@catalog.query("op9_url_filter")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
 @catalog.query("op10_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     file = public_tokenizers.path("word_bpe_49k.json")

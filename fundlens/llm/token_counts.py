@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import folder_names, new_path
+from ..storage import folder_names, materialize, new_path
 from .columns import annotate
 from .tokens import Encoder, version
 
@@ -62,7 +62,9 @@ def count_tokens(
     counted = annotate(misses, ["content"], "n_tokens bigint", start, keep=["digest"])
     counted.select("digest", F.lit(known).alias("version"), "n_tokens").write.mode("append").parquet(cache)
 
+    # Written, so that adaptive execution can split a hot digest in the join.
+    counts = materialize(read_cache(spark, cache, known), "counts")
     slim = keyed.select("doc_id", "digest", F.octet_length("content").cast("bigint").alias("n_bytes"))
-    return slim.join(read_cache(spark, cache, known), "digest").select(
+    return slim.join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
