@@ -6,6 +6,8 @@
 3. The values are also folded into an odd sketch: value i and its place are hashed to one bit
    of a bitmap, and each time that bit is flipped.  Equal values cancel, so the ones in the XOR
    of two bitmaps tell how many values differ, most precisely where few do.
+   A second bitmap is made from all shingles of the set: the ones in the XOR of two can only be
+   fewer than the shingles in which the sets differ, so too many rule a pair out for certain.
 4. Pairs whose sketches allow the wanted similarity are compared on their full sets.
 
 In a bucket, first every class is paired with the least one only.  Most buckets fall into one
@@ -31,6 +33,7 @@ from .words import FOLD, NOT_BLANK, mix, span_hashes, split
 
 BANDS, ROWS = 42, 6  # two sets of similarity 0.8 share no bucket with probability 3e-6
 SKETCH_BITS = 1024
+SET_BITS = 2048
 BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 1024  # classes of one bucket that are compared at a time
 _rng = np.random.default_rng(20_11)
@@ -78,8 +81,16 @@ def min_hashes(shingle: np.ndarray) -> np.ndarray:
 def odd_sketch(values: np.ndarray) -> np.ndarray:
     """Bitmap as 64-bit words: parity of the values, each with its place, that fall on a bit."""
     bit = (mix(PLACES ^ values.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
-    odd = np.bincount(bit, minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return _parity(bit, SKETCH_BITS)
+
+
+def set_sketch(shingle: np.ndarray) -> np.ndarray:
+    """The same of all shingles of a set."""
+    return _parity((shingle >> np.uint64(16)).astype(np.int64) % SET_BITS, SET_BITS)
+
+
+def _parity(bit: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits((np.bincount(bit, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def most_ones(similarity: float) -> int:
@@ -94,12 +105,17 @@ def most_ones(similarity: float) -> int:
     return int(ones + 5 * (flips * flips / SKETCH_BITS) ** 0.5)
 
 
+def most_apart(left, right, similarity: float):
+    """Shingles in which sets of these sizes differ at most, at the similarity."""
+    return (left + right) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def signatures(documents: DataFrame, words_each: int) -> DataFrame:
-    """(doc_id, n_shingles, class, buckets, sketch); class is null for a text without words."""
+    """(doc_id, n_shingles, class, buckets, sketch, whole); class is null for a text without words."""
 
     def start():
         def work(texts: pa.Array) -> list[pa.Array]:
-            sizes, classes, keys, sketches = [], [], [], []
+            sizes, classes, keys, sketches, wholes = [], [], [], [], []
             band = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77))
             for s in shingle_sets(texts, words_each):
                 sizes.append(len(s))
@@ -113,26 +129,34 @@ def signatures(documents: DataFrame, words_each: int) -> DataFrame:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + row)
                 keys.append(key.view(np.int64))
                 sketches.append(odd_sketch(values))
+                wholes.append(set_sketch(s))
             full = np.array(sizes) > 0
             flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             return [
                 pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
                 ragged(flat(keys), full * BANDS, pa.int64()), ragged(flat(sketches), full * (SKETCH_BITS // 64), pa.int64()),
+                ragged(flat(wholes), full * (SET_BITS // 64), pa.int64()),
             ]
 
         return work
 
-    added = "n_shingles bigint, class binary, buckets array<bigint>, sketch array<bigint>"
+    added = "n_shingles bigint, class binary, buckets array<bigint>, sketch array<bigint>, whole array<bigint>"
     return annotate(documents.select("doc_id", "text"), ["text"], added, start, keep=["doc_id"])
 
 
 def close_enough(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sketches allow the similarity."""
-    left = sketches.select(F.col("class").alias("a"), F.col("sketch").alias("_a"), F.col("n_shingles").alias("_na"))
-    right = sketches.select(F.col("class").alias("b"), F.col("sketch").alias("_b"), F.col("n_shingles").alias("_nb"))
-    ones = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    sizes = F.least("_na", "_nb") >= F.greatest("_na", "_nb") * similarity - 0.001
-    return pairs.join(left, "a").join(right, "b").where(sizes).where(ones <= most_ones(similarity)).select("a", "b")
+    left = sketches.select(F.col("class").alias("a"), F.struct("n_shingles", "sketch", "whole").alias("_a"))
+    right = sketches.select(F.col("class").alias("b"), F.struct("n_shingles", "sketch", "whole").alias("_b"))
+
+    def ones(field: str):
+        differ = F.zip_with(F.col("_a")[field], F.col("_b")[field], lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return F.aggregate(differ, F.lit(0), lambda s, x: s + x)
+
+    one, two = F.col("_a.n_shingles"), F.col("_b.n_shingles")
+    sizes = F.least(one, two) >= F.greatest(one, two) * similarity - 0.001
+    near = sizes & (ones("sketch") <= most_ones(similarity)) & (ones("whole") <= most_apart(one, two, similarity))
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
 
 
 def class_of(words_each: int):
@@ -179,11 +203,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, words_each:
     return annotate(held, ["_ta", "_tb"], "linked boolean", start, keep=["a", "b"]).where("linked").select("a", "b")
 
 
-def other_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs in a bucket that are in different components and whose sketches allow the similarity.
+def other_pairs(members: DataFrame, similarity: float, best: int) -> DataFrame:
+    """Pairs (a, b) in a bucket, of different components, whose sketches allow the similarity.
 
-    ``members`` has bucket, class, label, n_shingles and sketch.  A bucket of n classes is cut
-    into blocks of ``BLOCK_ROWS``; each task compares two blocks.
+    ``members`` has bucket, class, label, n_shingles, sketch and whole.  A bucket of n classes is cut
+    into blocks of ``BLOCK_ROWS``, each task compares two blocks and gives out the ``best``
+    pairs of any two components; ``more`` tells that they have further ones.
     """
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
     blocked = members.join(sizes, "bucket").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int"))
@@ -192,26 +217,57 @@ def other_pairs(members: DataFrame, similarity: float) -> DataFrame:
     blocked = blocked.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
     limit = most_ones(similarity)
     kind = members.schema["class"].dataType
-    schema = StructType([StructField("a", kind), StructField("b", kind)])
+    schema = StructType([StructField("a", kind), StructField("b", kind), *StructType.fromDDL("more boolean")])
 
-    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple[object, ...], frame: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
+        frame = frame.sort_values("class", ignore_index=True)
         bits = np.stack(frame["sketch"].to_numpy()).view(np.uint64)
-        size, label, name = frame["n_shingles"].to_numpy(), frame["label"].to_numpy(), frame["class"].to_numpy()
-        code = pd.factorize(label)[0]
-        mine, other = np.flatnonzero(frame["_own"] == i), np.flatnonzero(frame["_own"] == j)
-        found = []
-        for r in mine:
+        whole = np.stack(frame["whole"].to_numpy()).view(np.uint64)
+        size, name, own = frame["n_shingles"].to_numpy(), frame["class"].to_numpy(), frame["_own"].to_numpy()
+        code = pd.factorize(frame["label"], sort=True)[0]
+        other, found = np.flatnonzero(own == j), []
+        for r in np.flatnonzero(own == i):
             ok = (code[other] != code[r]) & ((other > r) if i == j else True)
             ok &= np.minimum(size[other], size[r]) >= np.maximum(size[other], size[r]) * similarity - 0.001
             near = other[ok]
             if len(near):
-                ones = np.bitwise_count(bits[near] ^ bits[r]).sum(1)
-                found += [(min(name[r], name[x]), max(name[r], name[x])) for x in near[ones <= limit]]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    columns = ["bucket", "_i", "_j", "_own", "class", "label", "n_shingles", "sketch"]
-    return blocked.select(*columns).groupBy("bucket", "_i", "_j").applyInPandas(compare, schema).distinct()
+                ones = np.bitwise_count(bits[near] ^ bits[r]).sum(1, dtype=np.int64)
+                near = near[ones <= limit]
+                ones = np.bitwise_count(whole[near] ^ whole[r]).sum(1, dtype=np.int64)
+                ok = ones <= most_apart(size[near], size[r], similarity)
+                near, ones = near[ok], ones[ok]
+                low, high = np.minimum(code[near], code[r]), np.maximum(code[near], code[r])
+                found.append(np.stack([low, high, ones, np.minimum(near, r), np.maximum(near, r)]))
+        if not found:
+            return pd.DataFrame(columns=["a", "b", "more"])
+        pairs = np.concatenate(found, 1)
+        pairs = pairs[:, np.lexsort(pairs[::-1])]  # by components, nearest first
+        begins = np.flatnonzero(np.concatenate([[True], (pairs[:2, 1:] != pairs[:2, :-1]).any(0)])) if pairs.shape[1] else np.zeros(0, np.int64)
+        n = np.diff(np.append(begins, pairs.shape[1]))
+        place = np.arange(pairs.shape[1]) - np.repeat(begins, n)
+        taken = place < best
+        return pd.DataFrame({"a": name[pairs[3, taken]], "b": name[pairs[4, taken]], "more": np.repeat(n > best, n)[taken]})
+
+    columns = ["bucket", "_i", "_j", "_own", "class", "label", "n_shingles", "sketch", "whole"]
+    found = blocked.select(*columns).groupBy("bucket", "_i", "_j").applyInPandas(compare, schema)
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, class, label) of buckets of three classes and more in two components and more.
+
+    Of buckets with the same classes one is enough; two are the same if their number, least
+    class and two sums of 64-bit hashes agree.
+    """
+    named = buckets.where("_n > 2").join(labels.withColumnRenamed("node", "class"), "class", "left")
+    named = named.select("bucket", "class", F.coalesce("label", "class").alias("label"))
+    mixed = named.groupBy("bucket").agg(
+        F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n"), F.min("class").alias("_first"),
+        F.bit_xor(F.xxhash64("class")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("_y"),
+    )
+    mixed = mixed.where("_low <> _high").groupBy("_n", "_first", "_x", "_y").agg(F.min("bucket").alias("bucket"))
+    return named.join(mixed.select("bucket"), "bucket", "left_semi")
 
 
 def near_duplicates(documents: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
@@ -229,27 +285,33 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, words_each: i
     signed = materialize(signatures(documents, words_each), "signatures")
     classes = signed.where("class is not null")
     first = classes.groupBy("class").agg(F.min("doc_id").alias("least"))
-    distinct = materialize(classes.select("class", "n_shingles", "buckets", "sketch").dropDuplicates(["class"]), "classes")
+    distinct = materialize(classes.select("class", "n_shingles", "buckets", "sketch", "whole").dropDuplicates(["class"]), "classes")
     rows = distinct.select(F.explode("buckets").alias("bucket"), "class")
     shared = rows.groupBy("bucket").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     buckets = materialize(rows.join(shared, "bucket"), "buckets")
-    sketches = distinct.select("class", "n_shingles", "sketch")
+    sketches = distinct.select("class", "n_shingles", "sketch", "whole")
     stars = buckets.where("class <> a").select("a", F.col("class").alias("b")).distinct()
     candidates = materialize(close_enough(stars, sketches, similarity), "candidates")
     texts = class_texts(documents, first, candidates, words_each)
     links = materialize(confirmed(candidates, texts, similarity, words_each), "links")
     labels = components(links)
 
-    # Buckets of three and more that are not one component yet.
-    named = buckets.where("_n > 2").join(labels.withColumnRenamed("node", "class"), "class", "left")
-    named = named.select("bucket", "class", F.coalesce("label", "class").alias("label"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high")
-    open_ = named.join(mixed.select("bucket"), "bucket", "left_semi").join(sketches, "class")
-    more = materialize(other_pairs(open_, similarity).join(candidates, ["a", "b"], "left_anti"), "candidates")
-    if not more.isEmpty():
-        texts = class_texts(documents, first, more, words_each)
-        found = confirmed(more, texts, similarity, words_each)
-        labels = components(links.union(found))
+    # A link joins two components whole, so each two are tried by their nearest pairs first.
+    # More are taken until every pair that may be linked was compared or is in one component.
+    best = 64
+    while True:
+        members = open_buckets(buckets, labels).join(sketches, "class")
+        found = materialize(other_pairs(members, similarity, best), "pairs")
+        new = materialize(found.select("a", "b").join(candidates, ["a", "b"], "left_anti"), "candidates")
+        further = not found.where("more").isEmpty()
+        if not new.isEmpty():
+            texts = class_texts(documents, first, new, words_each)
+            links = materialize(links.union(confirmed(new, texts, similarity, words_each)), "links")
+            candidates = candidates.union(new)
+            labels = components(links)
+        if not further:
+            break
+        best *= 64
 
     placed = first.join(labels.withColumnRenamed("node", "class"), "class", "left")
     placed = placed.select("class", "least", F.coalesce("label", "class").alias("label"))
