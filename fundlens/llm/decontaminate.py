@@ -229,11 +229,11 @@ def _looked_up(shared):
     return start
 
 
-ADDED = "_n_words bigint, _runs array<struct<start: bigint, n: bigint>>, _items array<string>"
+ADDED = "_llm_n_words bigint, _llm_runs array<struct<start: bigint, n: bigint>>, _llm_items array<string>"
 
 
 def look_up(documents: DataFrame, benchmark: DataFrame, keep, window: int = WINDOW) -> DataFrame:
-    """``keep`` columns plus _n_words, _runs (hit words, start and number) and _items of each document.
+    """``keep`` columns plus _llm_n_words, _llm_runs (hit words, start and number) and _llm_items of each document.
 
     The benchmark is collected and broadcast in parts of ``BENCHMARK_BYTES``; after each part
     but the last, what was found is written, and the parts' findings are united per row.
@@ -245,18 +245,18 @@ def look_up(documents: DataFrame, benchmark: DataFrame, keep, window: int = WIND
     for part in range(n):
         mine = slim if n == 1 else slim.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part)
         shared = spark.sparkContext.broadcast(Benchmark.of([(r.item_id, r.text) for r in mine.collect()], window))
-        own = [f"_runs{part}", f"_items{part}"]
-        added = ADDED.replace("_runs", own[0]).replace("_items", own[1]) if part + 1 < n else ADDED
+        own = [f"_llm_runs{part}", f"_llm_items{part}"]
+        added = ADDED.replace("_llm_runs", own[0]).replace("_llm_items", own[1]) if part + 1 < n else ADDED
         last = part + 1 == n
         columns = [*keep, *carried] if last else list(dict.fromkeys([*keep, "text", *carried]))
         df = annotate(df, ["text"], added, _looked_up(shared), columns)
         if not last:
             carried += own
-            df = materialize(df.drop("_n_words"), "looked-up")
+            df = materialize(df.drop("_llm_n_words"), "looked-up")
     if carried:
-        runs = F.concat("_runs", *[c for c in carried if c.startswith("_runs")])
-        items = F.concat("_items", *[c for c in carried if c.startswith("_items")])
-        df = df.withColumn("_runs", _united(F.array_sort(runs))).withColumn("_items", F.array_distinct(items)).drop(*carried)
+        runs = F.concat("_llm_runs", *[c for c in carried if c.startswith("_llm_runs")])
+        items = F.concat("_llm_items", *[c for c in carried if c.startswith("_llm_items")])
+        df = df.withColumn("_llm_runs", _united(F.array_sort(runs))).withColumn("_llm_items", F.array_distinct(items)).drop(*carried)
     return df
 
 
@@ -285,11 +285,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     are not looked at.  Documents are read once and nothing is shuffled.
     """
     found = look_up(documents.select("doc_id", "text"), benchmark, ["doc_id"], window)
-    hit = F.coalesce(F.aggregate("_runs", F.lit(0).cast("bigint"), lambda a, r: a + r["n"]), F.lit(0).cast("bigint"))
-    best = F.get(F.array_sort(F.transform("_runs", lambda r: F.struct((-r["n"]).alias("n"), r["start"].alias("start")))), F.lit(0))
+    hit = F.coalesce(F.aggregate("_llm_runs", F.lit(0).cast("bigint"), lambda a, r: a + r["n"]), F.lit(0).cast("bigint"))
+    best = F.get(F.array_sort(F.transform("_llm_runs", lambda r: F.struct((-r["n"]).alias("n"), r["start"].alias("start")))), F.lit(0))
     return found.select(
-        "doc_id", F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("bigint").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort("_items")), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+        "doc_id", F.col("_llm_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_llm_items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("_llm_items")), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
         (-best["n"]).alias("longest_hit"), best["start"].alias("longest_at"),
     )
 
@@ -297,4 +297,4 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` without those that hold an occurrence of a window; all columns stay."""
     found = look_up(documents, benchmark, documents.columns, window)
-    return found.where(F.size("_runs") == 0).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return found.where(F.size("_llm_runs") == 0).select(*[F.col(f"`{c}`") for c in documents.columns])
