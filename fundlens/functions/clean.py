@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 # Texts that mean "no value" once surrounding blanks are removed.
 MISSING_TEXTS = ("", "-", "N/A", "null")
 
-# Java's \s does not cover the no-break space that web pages are full of.
-BLANK = r"[\s\u00a0]"
-BLANK_CHARACTERS = " \t\n\x0b\f\r\u00a0\u3000\ufeff"
+# All blanks, Unicode spaces and line ends included; Java's \s has ASCII ones only.
+BLANK_CHARACTERS = (
+    " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+BLANK = f"[{BLANK_CHARACTERS}]"
 NUMBER_CLUTTER = BLANK_CHARACTERS + ",%₩"
 NUMBER_SHAPE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 LARGEST_DOUBLE = 1.7976931348623157e308
+# From here on a double has no fraction and does not surely fit a long.
+LARGEST_SCALED = 9.0e18
 SEOUL_OFFSET_SECONDS = 9 * 3600
 
 
@@ -151,18 +156,25 @@ def sign_of(c: Column | str) -> Column:
 
 
 def half_up(x: Column | str, digits: int = 0) -> Column:
-    """Round half towards plus infinity; the result stays a double."""
+    """Round half towards plus infinity; the result stays a double.
+
+    What is not finite is missing.  A number too large for a long once scaled has no digits
+    to round and stays as it is.
+    """
     scale = 10**digits
-    if scale == 1:
-        return F.floor(col(x) + F.lit(0.5)).cast("double")
-    return F.floor(col(x) * F.lit(float(scale)) + F.lit(0.5)).cast("double") / F.lit(float(scale))
+    scaled = col(x).cast("double") * F.lit(float(scale))
+    rounded = F.floor(scaled + F.lit(0.5)).cast("double") / F.lit(float(scale))
+    small = F.abs(scaled) < F.lit(LARGEST_SCALED)
+    return F.when(small, rounded).when(F.abs(col(x)) <= F.lit(LARGEST_DOUBLE), col(x).cast("double"))
 
 
 def pct_change(current: Column | str, base: Column | str) -> Column:
-    """Change in percent at two decimals; null when a side is missing or the base is 0."""
+    """Change in percent at two decimals; null when a side is missing, not finite, or the base is 0."""
     current, base = col(current), col(base)
-    ratio = (current - base) / F.nullif(base, F.lit(0.0))
-    return F.floor(ratio * F.lit(10000.0) + F.lit(0.5)).cast("double") / F.lit(100.0)
+    points = (current - base) / F.nullif(base, F.lit(0.0)) * F.lit(10000.0)
+    rounded = F.floor(points + F.lit(0.5)).cast("double") / F.lit(100.0)
+    exact = F.when(F.abs(points) <= F.lit(LARGEST_DOUBLE), points / F.lit(100.0))
+    return F.when(F.abs(points) < F.lit(LARGEST_SCALED), rounded).otherwise(exact)
 
 
 def to_eok(c: Column | str) -> Column:
@@ -201,20 +213,28 @@ def first_present(row: Column | str, keys: list[str] | tuple[str, ...]) -> Colum
     return col(row)[F.get(F.array_intersect(wanted, F.map_keys(row)), F.lit(0))]
 
 
-def exact_sum(c: Column | str, scale: int = 4) -> Column:
+def exact_decimal(c: Column | str, scale: int) -> Column:
+    """A finite number as decimal(28, ``scale``); what is not finite is missing.
+
+    A number with more digits after the point, or too large, is an error and not cut.
+    """
+    value = finite(c)
+    units = value.try_cast(f"decimal(28,{scale})")
+    off = F.abs(units.cast("double") - value) > F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(value))
+    refused = F.raise_error(F.concat(value.cast("string"), F.lit(f" does not fit decimal(28,{scale})")))
+    return F.when(value.isNull(), F.lit(None)).when(units.isNull() | off, refused.cast(f"decimal(28,{scale})")).otherwise(units)
+
+
+def exact_sum(c: Column | str, scale: int) -> Column:
     """Sum of finite numbers that does not depend on row order or partitioning.
 
-    Whole parts and fractions (in units of 10 ** -scale) are summed as two whole
-    numbers: as exact as a decimal sum, at the speed of a plain one, and without
-    a bound a hot key could reach.
+    ``scale`` is how many digits the numbers have after the point.  The sum is a
+    decimal of 38 digits, so ten thousand million largest values still fit.
     """
-    value = col(c).cast("double")
-    whole = F.floor(value)
-    units = F.lit(10**scale)
-    fraction = F.floor((value - whole) * units + F.lit(0.5))
-    total = F.sum(whole).cast("decimal(20,0)") * units + F.sum(fraction)
-    return total.cast("double") / units.cast("double")
+    return F.sum(exact_decimal(c, scale)).cast("double")
 
 
-def exact_mean(c: Column | str, scale: int = 4) -> Column:
-    return exact_sum(c, scale) / F.nullif(F.count(col(c)), F.lit(0))
+def exact_mean(c: Column | str, scale: int) -> Column:
+    """Mean of the finite numbers; null if there are none."""
+    value = finite(c)
+    return exact_sum(value, scale) / F.nullif(F.count(value), F.lit(0))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.clean import half_up, pct_change
+from ..functions.clean import finite, half_up, pct_change
 from .ordering import first_by, top_per_key, with_position
 
 # Trailing windows as (bar interval, number of bars).
@@ -28,17 +28,20 @@ PERIODS = {
 }
 # How many bars back the day, week and month figures look.
 OFFSETS = (1, 5, 20)
-MOST_BARS = 1000
 
 
 def bar_columns() -> list[Column]:
-    """Aggregates that make a bar of ticks; the tick id breaks ties in time."""
-    when = F.struct("ts", "tick_id")
+    """Aggregates that make a bar of ticks; the tick id breaks ties in time.
+
+    A price that is not finite is missing; such a tick only adds its volume.
+    """
+    price = finite("price")
+    when = F.when(price.isNotNull(), F.struct("ts", "tick_id"))
     return [
-        F.min_by("price", when).alias("o"),
-        F.max("price").alias("h"),
-        F.min("price").alias("l"),
-        F.max_by("price", when).alias("c"),
+        F.min_by(price, when).alias("o"),
+        F.max(price).alias("h"),
+        F.min(price).alias("l"),
+        F.max_by(price, when).alias("c"),
         F.sum("volume").alias("v"),
         F.count(F.lit(1)).alias("ticks"),
     ]
@@ -118,8 +121,8 @@ def last_bars(bars: DataFrame, n: int, ordinal: str | None = None) -> DataFrame:
     Pages of one history may overlap: with an ``ordinal`` column the first
     delivery of a timestamp counts and later ones are dropped.
     """
-    if not 2 <= n <= MOST_BARS:
-        raise ValueError(f"number of bars must be between 2 and {MOST_BARS}: {n}")
+    if n < 2:
+        raise ValueError(f"number of bars must be 2 or more: {n}")
     if ordinal:
         bars = first_by(bars, ["code", "ts"], F.col(ordinal).asc())
     newest = top_per_key(bars, "code", [F.col("ts").desc()], n, name="_back")

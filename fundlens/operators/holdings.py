@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +104,7 @@ def top_holdings(holding: DataFrame, n: int = TOP_HOLDINGS, keys: tuple[str, ...
 def top_weight_total(holding: DataFrame, n: int = TOP_HOLDINGS) -> DataFrame:
     """Weight of the ``n`` largest holdings together."""
     return top_holdings(holding, n).groupBy("etf_id").agg(
-        half_up(exact_sum("weight"), 2).alias("top_weight")
+        half_up(exact_sum("weight", 4), 2).alias("top_weight")
     )
 
 
@@ -171,7 +173,7 @@ def holding_figures(holding: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(not_finite("weight_pct")).alias("bad"),
         F.count_if(weight < 0).alias("negative"),
         F.count_if(misshapen).alias("misshapen"),
-        exact_sum(weight).alias("weight"),
+        exact_sum(weight, 4).alias("weight"),
     )
     repeated = F.col("asset_code").isNotNull() & (F.col("rows") > 1)
     return per_asset.groupBy(*keys).agg(
@@ -181,7 +183,7 @@ def holding_figures(holding: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("bad").alias("bad_count"),
         F.sum("negative").alias("negative_count"),
         F.sum("misshapen").alias("misshapen_count"),
-        exact_sum("weight").alias("weight_sum"),
+        exact_sum("weight", 4).alias("weight_sum"),
         F.count_if(repeated).alias("repeated_assets"),
     )
 
@@ -195,13 +197,13 @@ def related_funds(holding: DataFrame) -> DataFrame:
     return with_position(first, [F.col("ord").asc(), F.col("etf_id").asc()], by=["stock_id"]).drop("ord")
 
 
-def holding_ids(holding: DataFrame, n: int = TOP_HOLDINGS) -> DataFrame:
-    """Ids of each fund's first ``n`` holdings by rank as an array of at most ``n`` entries."""
-    best = top_per_key(holding, "etf_id", [F.col("rank").asc(), F.col("stock_id").asc()], n, "_place")
-    ordered = F.sort_array(F.collect_list(F.struct("_place", "stock_id")))
-    return best.groupBy("etf_id").agg(
-        F.transform(ordered, lambda x: x["stock_id"]).alias("top_holdings")
-    )
+def holding_ids(holding: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
+    """Every holding of each fund with its place, by rank or in the given order.
+
+    The long form has no bound on a fund's list; a big fund spreads over tasks.
+    """
+    order = order or [F.col("rank").asc(), F.col("stock_id").asc()]
+    return with_position(holding, order, by=["etf_id"], name="place").select("etf_id", "place", "stock_id")
 
 
 def backfill_codes(holding: DataFrame, other: DataFrame) -> DataFrame:

@@ -239,12 +239,15 @@ def weight_violations(holding: DataFrame) -> DataFrame:
     return holding.where(~F.coalesce(valid, F.lit(False)))
 
 
-def array_mismatch(stored: DataFrame, derived: DataFrame, key: str, column: str) -> DataFrame:
-    """Keys whose stored array differs from the derived one."""
-    other = derived.select(key, F.col(column).alias("_derived"))
-    empty = F.array().cast("array<string>")
-    same = F.coalesce(F.col(column), empty) == F.coalesce(F.col("_derived"), empty)
-    return stored.select(key, column).join(other, key, "full").where(~same).drop("_derived")
+def array_mismatch(stored: DataFrame, derived: DataFrame, key: str = "etf_id", value: str = "stock_id") -> DataFrame:
+    """Keys whose stored list differs from the derived one, and at how many places.
+
+    Lists are in long form: key, place, value.
+    """
+    other = derived.select(key, "place", F.col(value).alias("_derived"))
+    both = stored.select(key, "place", value).join(other, [key, "place"], "full")
+    differing = both.where(~F.col(value).eqNullSafe(F.col("_derived")))
+    return differing.groupBy(key).agg(F.count(F.lit(1)).alias("differing_places"))
 
 
 def breadth_violations(summary: DataFrame, funds: int | Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import first_by
-from .quality import check_business, check_shape
+from .quality import check_business, check_document_shape, check_shape
 
 # Fixed values.
 PROVIDER_PRIORITY = ("PYKRX", "KRX_DIRECT", "SEIBRO", "ISSUER")
@@ -86,17 +86,17 @@ def priority_of(provider: Column | str, priority: Sequence[str] = PROVIDER_PRIOR
 def check_attempts(attempts: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Outcome of each (document, provider) attempt.
 
-    An attempt that fetched nothing keeps its own status; one with any misshapen
-    row is INVALID_SCHEMA; else the business check decides.
+    An attempt that fetched nothing keeps its own status; a misshapen document or
+    one with any misshapen row is INVALID_SCHEMA; else the business check decides.
     """
     keys = list(keys)
     by = [*keys, "provider"]
-    judged = check_business(attempts, check_shape(rows), by)
+    judged = check_document_shape(check_business(attempts, check_shape(rows), by))
     fetched = F.col("fetch_status") == "OK" if "fetch_status" in attempts.columns else F.lit(True)
     failed = F.col("fetch_status") if "fetch_status" in attempts.columns else F.lit("EMPTY")
     outcome = (
         F.when(~fetched, failed)
-        .when(F.col("misshapen_count") > 0, "INVALID_SCHEMA")
+        .when((F.col("misshapen_count") > 0) | (F.size("document_errors") > 0), "INVALID_SCHEMA")
         .otherwise(F.col("business_status"))
     )
     usable = fetched & outcome.isin("OK", "PARTIAL", "WEIGHT_MISSING") & (F.size("business_errors") == 0)

@@ -159,27 +159,38 @@ def rule_counts(records: DataFrame, tags: DataFrame) -> DataFrame:
 def apply_reviews(scores: DataFrame, reviews: DataFrame) -> DataFrame:
     """A reviewer's corrected list replaces all of a fund's scores, even by nothing.
 
-    ``reviews``: ord, etf_code, corrected (array of structs with the score columns).
+    ``reviews``: ord, etf_code, corrected (array of structs with the score columns).  Where
+    both tables have a batch_id, a review counts for that batch only.
     """
-    last = first_by(reviews, "etf_code", F.col("ord").desc())
-    untouched = scores.join(last.select("etf_code"), "etf_code", "left_anti")
-    scored = scores.select("etf_code").distinct()
-    corrected = last.join(scored, "etf_code", "left_semi").select("etf_code", F.inline("corrected"))
+    key = ["etf_code"]
+    if "batch_id" in scores.columns and "batch_id" in reviews.columns:
+        key = ["batch_id", "etf_code"]
+    last = first_by(reviews, key, F.col("ord").desc())
+    untouched = scores.join(last.select(*key), key, "left_anti")
+    scored = scores.select(*key).distinct()
+    corrected = last.join(scored, key, "left_semi").select(*key, F.inline("corrected"))
     return untouched.unionByName(corrected, allowMissingColumns=True)
 
 
+def latest_scores(scores: DataFrame) -> DataFrame:
+    """Of several batches that scored a fund, the scores of the last one by batch_id."""
+    last = scores.groupBy("etf_code").agg(F.max("batch_id").alias("batch_id"))
+    return scores.join(last, ["etf_code", "batch_id"], "left_semi")
+
+
 def merge_tags(rule: DataFrame, model: DataFrame, model_label: str = "model") -> tuple[DataFrame, DataFrame]:
     """Merge two scorers per (fund, tag): the merged tags and the conflicts.
 
     A rule at score 1 and confidence 1 stays and takes over the other's evidence;
-    otherwise the strictly greater confidence of the model wins.
+    otherwise the strictly greater confidence of the model wins.  A side with a
+    batch_id counts by its last batch per fund; of repeated tags the most confident counts.
     """
 
     def side(df: DataFrame, mark: str) -> DataFrame:
-        return df.select(
-            "etf_code", "tag_id",
-            F.struct("score", "confidence", "source", "evidence").alias(mark),
-        )
+        if "batch_id" in df.columns:
+            df = latest_scores(df)
+        best = F.max(F.struct("confidence", "score", "source", "evidence"))
+        return df.groupBy("etf_code", "tag_id").agg(best.alias(mark))
 
     pairs = side(rule, "r").join(side(model, "m"), ["etf_code", "tag_id"], "full")
     r, m = F.col("r"), F.col("m")

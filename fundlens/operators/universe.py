@@ -132,10 +132,10 @@ def theme_rollup(themes: DataFrame, members: DataFrame) -> DataFrame:
     """Theme figures from its member funds; a figure no member has keeps its old value."""
     rolled = members.groupBy("theme_id").agg(
         *[
-            half_up(exact_mean(finite(source)), 2).alias(f"m_{target}")
+            half_up(exact_mean(finite(source), 4), 2).alias(f"m_{target}")
             for source, target in ROLLUP_FIELDS.items()
         ],
-        half_up(exact_sum(finite("trading_value"))).alias("m_trading_value"),
+        half_up(exact_sum(finite("trading_value"), 4)).alias("m_trading_value"),
     )
     figures = [*ROLLUP_FIELDS.values(), "trading_value"]
     joined = themes.join(rolled, themes["id"] == rolled["theme_id"], "left")
@@ -157,7 +157,7 @@ def breadth(universe: DataFrame, themes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("funds"),
         F.count_if(rate > 0).alias("advancers"),
         F.count_if(rate < 0).alias("decliners"),
-        half_up(exact_sum(finite("trading_value"))).alias("total_trading_value"),
+        half_up(exact_sum(finite("trading_value"), 4)).alias("total_trading_value"),
     )
     ends = themes.where(F.col("return_1d").isNotNull()).agg(
         F.min_by("id", F.struct(-F.col("return_1d"), F.col("ord"))).alias("strongest_theme_id"),

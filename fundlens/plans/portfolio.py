@@ -107,14 +107,10 @@ def holdings_summary(spark: SparkSession, folder: str) -> DataFrame:
 @catalog.query(
     "derived_arrays",
     q.given(q.HOLDINGS)
-    + """SELECT etf_id, string_agg(stock_id, ',' ORDER BY rank) AS top_holdings
-FROM ranked WHERE rank <= 10 GROUP BY etf_id""",
+    + "SELECT etf_id, rank AS place, stock_id FROM ranked",
 )
 def derived_arrays(spark: SparkSession, folder: str) -> DataFrame:
-    best = holding_ops.top_holdings(tables.holdings(spark, folder))
-    return holding_ops.holding_ids(best).select(
-        "etf_id", F.array_join("top_holdings", ",").alias("top_holdings")
-    )
+    return holding_ops.holding_ids(tables.holdings(spark, folder), [F.col("weight").desc(), F.col("stock_id").asc()])
 
 
 @catalog.query(

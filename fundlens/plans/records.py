@@ -34,8 +34,7 @@ _MASTER = f"""master AS (
          c_name || {q.case('c_mktsegment', tables.NAME_SUFFIXES, "''")} AS name
   FROM customer),
 counts AS (
-  SELECT {q.code('o_custkey')} AS etf_code, count(*) AS holdings_count FROM orders
-  WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY o_custkey)"""
+  SELECT {q.code('o_custkey')} AS etf_code, count(*) AS holdings_count FROM orders GROUP BY o_custkey)"""
 _JOINED = """records AS (
   SELECT m.etf_code, m.code_type, coalesce(d.name, m.name) AS name, d.issuer, d.listing_date,
          d.benchmark_name, d.total_fee_pct, d.distribution_text, d.type_text,
@@ -82,7 +81,7 @@ def integrated(spark: SparkSession, folder: str) -> DataFrame:
     return meta.integrate(
         tables.fund_master(spark, folder),
         tables.details(spark, folder),
-        tables.recent_holding_counts(spark, folder),
+        tables.holding_counts(spark, folder),
     )
 
 
@@ -181,7 +180,7 @@ def field_priority(spark: SparkSession, folder: str) -> DataFrame:
     fields = {c: c for c in ("name", "issuer", "benchmark_name")}
     detail = meta.source_values(tables.details(spark, folder), "detail", fields, F.col("as_of"))
     listing = meta.source_values(
-        tables.recent_holding_counts(spark, folder), "listing_file", {"holdings": "holdings_count"}
+        tables.holding_counts(spark, folder), "listing_file", {"holdings": "holdings_count"}
     )
     picked = resolve.pick_by_priority(master.unionByName(detail).unionByName(listing))
     return picked.select("etf_code", "field", "value", "source_id", "priority", "confidence")
@@ -191,7 +190,7 @@ def field_priority(spark: SparkSession, folder: str) -> DataFrame:
     "holdings_lookup",
     f"""WITH holders AS (
   SELECT c_custkey AS ord, {q.code('c_custkey')} AS code, c_name AS name FROM customer
-  WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01')),
+  WHERE c_custkey IN (SELECT o_custkey FROM orders)),
 by_name AS (SELECT lower(name) AS k, first(code ORDER BY ord) AS code FROM holders GROUP BY k)
 SELECT CAST(o_orderkey AS VARCHAR) AS request_id, coalesce(h.code, n.code) AS holdings_code,
        CASE WHEN h.code IS NOT NULL THEN 'code' WHEN n.code IS NOT NULL THEN 'name' ELSE 'none' END AS matched_by
@@ -202,8 +201,7 @@ def holdings_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Order keys as requested codes, with a differently spaced fund name as second key."""
     orders = tables.read(spark, folder, "orders")
     customer = tables.read(spark, folder, "customer")
-    recent = orders.where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-    holders = customer.join(recent, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(
+    holders = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(
         F.col("c_custkey").alias("ord"), tables.code_of("c_custkey").alias("code"),
         F.col("c_name").alias("name"),
     )

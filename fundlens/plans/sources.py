@@ -245,22 +245,22 @@ def winning_rows(spark: SparkSession, folder: str) -> DataFrame:
     q.given(q.TICKS, q.BARS, q.QUOTES, q.FUNDS, q.SNAPSHOT, q.LAST_ORDERS)
     + """, offered AS (
   SELECT code, price, 'quotes' AS source, 0 AS place FROM quotes
-  UNION ALL SELECT code, price, 'orders', 1 FROM last_orders WHERE price > 250000
-  UNION ALL SELECT code, prev_close, 'mock', 2 FROM snapshot WHERE prev_close > 0)
+  UNION ALL SELECT code, price, 'orders', 1 FROM last_orders
+  UNION ALL SELECT code, prev_close, 'mock', 2 FROM snapshot)
 SELECT f.code, o.price, coalesce(source, 'none') AS source, coalesce(source = 'mock', FALSE) AS is_fallback,
        CASE WHEN source IS NULL THEN 'unavailable' ELSE 'ok' END AS status
 FROM funds f LEFT JOIN (
   SELECT * FROM offered QUALIFY row_number() OVER (PARTITION BY code ORDER BY place) = 1) o USING (code)""",
 )
 def source_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    """Prices from quotes, else from large orders, else from positive previous closes."""
+    """Prices from quotes, else from the last order, else from the previous close."""
     quotes = tables.quotes(spark, folder).select("code", "price")
-    orders = tables.last_order_prices(spark, folder).where(F.col("price") > 250000)
+    orders = tables.last_order_prices(spark, folder)
     closes = tables.snapshot(spark, folder).select("code", F.col("prev_close").alias("price"))
     return resolve.resolve_capability(
         tables.funds(spark, folder),
         [("quotes", quotes), ("orders", orders)],
-        closes.where(F.col("price") > 0),
+        closes,
         mode="hybrid",
     )
 
@@ -272,36 +272,23 @@ def _top_sql(name: str, condition: str) -> str:
          row_number() OVER (PARTITION BY o_custkey
            ORDER BY sum(CAST(l_extendedprice AS DECIMAL(18,4))) DESC, l_partkey) AS rank
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
-  WHERE {condition} GROUP BY o_custkey, l_partkey, p_name QUALIFY rank <= 10)"""
+  WHERE {condition} GROUP BY o_custkey, l_partkey, p_name)"""
 
 
 _SHIPPED, _ALL_LINES = _top_sql("shipped", "l_linestatus = 'F'"), _top_sql("whole", "TRUE")
-_BIG = _top_sql("big", "l_linestatus = 'F' AND l_quantity > 49")
+_OPEN = _top_sql("unshipped", "l_linestatus = 'O'")
 
 
 @catalog.query(
     "holdings_choice",
-    q.given(_BIG, _ALL_LINES)
-    + """SELECT etf_code, rank, code, weight, 'detail' AS holdings_source FROM big
-UNION ALL SELECT etf_code, rank, code, weight, 'listing_file' FROM whole
-WHERE etf_code NOT IN (SELECT etf_code FROM big)""",
+    q.given(_SHIPPED, _OPEN)
+    + """SELECT etf_code, rank, code, weight, 'detail' AS holdings_source FROM shipped
+UNION ALL SELECT etf_code, rank, code, weight, 'listing_file' FROM unshipped
+WHERE etf_code NOT IN (SELECT etf_code FROM shipped)""",
 )
 def holdings_choice(spark: SparkSession, folder: str) -> DataFrame:
-    orders = tables.read(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    lines = tables.read(spark, folder, "lineitem").where(
-        (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 49)
-    )
-    amounts = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_custkey", "l_partkey")
-        .agg(tables.clean.exact_sum("l_extendedprice").alias("amount"))
-    )
-    order = [F.col("amount").desc(), F.col("l_partkey").asc()]
-    first = top_per_key(amounts, "o_custkey", order, 10, "rank").select(
-        tables.code_of("o_custkey").alias("etf_code"), "rank",
-        tables.code_of("l_partkey").alias("code"), F.col("amount").alias("weight"),
-    )
-    second = tables.top_holdings_of(spark, folder).drop("name")
+    first = tables.ranked_holdings(spark, folder, status="F").drop("name")
+    second = tables.ranked_holdings(spark, folder, status="O").drop("name")
     chosen = resolve.choose_holdings(first, second, ("detail", "listing_file"))
     return chosen.withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -320,8 +307,8 @@ HAVING count(ra) > 0 AND count(rb) > 0 AND count(*) FILTER (WHERE na IS DISTINCT
 )
 def source_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.conflicts(
-        tables.top_holdings_of(spark, folder, status="F"),
-        tables.top_holdings_of(spark, folder),
+        tables.ranked_holdings(spark, folder, status="F"),
+        tables.ranked_holdings(spark, folder),
         ("detail", "listing_file"),
     )
 
@@ -335,10 +322,10 @@ SELECT s.etf_code, s.rank, s.name, k.code FROM shipped s LEFT JOIN known k
   ON s.etf_code = k.etf_code AND s.name = k.name""",
 )
 def name_code_backfill(spark: SparkSession, folder: str) -> DataFrame:
-    uncoded = tables.top_holdings_of(spark, folder, status="F").withColumn(
+    uncoded = tables.ranked_holdings(spark, folder, status="F").withColumn(
         "code", F.lit(None).cast("string")
     )
-    other = tables.top_holdings_of(spark, folder).withColumnRenamed("rank", "ord")
+    other = tables.ranked_holdings(spark, folder).withColumnRenamed("rank", "ord")
     return holding_ops.backfill_codes(uncoded, other).select(
         "etf_code", F.col("rank").cast("bigint").alias("rank"), "name", "code"
     )
@@ -399,7 +386,10 @@ FROM (SELECT count(*) AS n FROM {table} GROUP BY {', '.join(cols)} HAVING count(
 )
 def unique_audit(spark: SparkSession, folder: str) -> DataFrame:
     def audit(name: str, table: str, columns: tuple[str, ...]) -> DataFrame:
-        repeated = quality.duplicates(tables.read(spark, folder, table), columns)
+        rows = tables.read(spark, folder, table)
+        if table == "documents":  # a digest is shuffled, not the text
+            rows = rows.select(F.sha2("text", 256).alias("text"))
+        repeated = quality.duplicates(rows, columns)
         return repeated.agg(
             F.count(F.lit(1)).alias("repeated_keys"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")
         ).select(F.lit(name).alias("audited"), "repeated_keys", "rows")
@@ -419,24 +409,17 @@ def weight_audit(spark: SparkSession, folder: str) -> DataFrame:
 @catalog.query(
     "array_audit",
     q.given(q.HOLDINGS, _SHIPPED)
-    + """, stored AS (
-  SELECT etf_code, string_agg(code, ',' ORDER BY rank) AS ids FROM shipped GROUP BY etf_code),
-derived AS (SELECT etf_id, string_agg(stock_id, ',' ORDER BY rank) AS ids FROM ranked WHERE rank <= 10 GROUP BY etf_id)
-SELECT coalesce(etf_code, etf_id) AS etf_id, coalesce(stored.ids, '') AS stored_ids
-FROM stored FULL JOIN derived ON etf_code = etf_id
-WHERE coalesce(stored.ids, '') <> coalesce(derived.ids, '')""",
+    + """SELECT coalesce(etf_code, etf_id) AS etf_id, count(*) AS differing_places
+FROM shipped s FULL JOIN ranked r ON etf_code = etf_id AND s.rank = r.rank
+WHERE code IS DISTINCT FROM stock_id GROUP BY 1""",
 )
 def array_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Funds whose stored list (shipped lines) disagrees with the list derived from all edges."""
-    stored = tables.top_holdings_of(spark, folder, status="F").select(
-        F.col("etf_code").alias("etf_id"), "rank", F.col("code").alias("stock_id")
-    )
-    derived = holding_ops.top_holdings(tables.holdings(spark, folder))
-    found = quality.array_mismatch(
-        holding_ops.holding_ids(stored), holding_ops.holding_ids(derived), "etf_id", "top_holdings"
+    stored = tables.ranked_holdings(spark, folder, status="F").select(
+        F.col("etf_code").alias("etf_id"), F.col("rank").alias("place"), F.col("code").alias("stock_id")
     )
-    ids = F.array_join(F.coalesce("top_holdings", F.array().cast("array<string>")), ",")
-    return found.select("etf_id", ids.alias("stored_ids"))
+    order = [F.col("weight").desc(), F.col("stock_id").asc()]
+    return quality.array_mismatch(stored, holding_ops.holding_ids(tables.holdings(spark, folder), order))
 
 
 @catalog.query(

@@ -8,9 +8,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from ..functions.clean import clean_text, first_present, normalize_etf_code, parse_number, to_eok
-from ..storage import materialize
+from ..operators.ordering import with_position
 
 ROW_MAP = "map<string,string>"
 # Keys of a provider document that may hold its rows, in order.
@@ -63,11 +64,20 @@ GRID_TYPE = "struct<grid_data:array<map<string,string>>>"
 
 
 def with_ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
-    """Give rows a stable ordinal in read order.
+    """Number rows from 0 in the order of their files' names, and of their place in a file.
 
-    The number would change when the input is read again, so it is written once.
+    Spark deals splits to tasks by size, so the order of tasks is not that of files.  Rows that
+    come from no file are numbered in the order of partitions.  The numbers are written once.
     """
-    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "ordinal")
+    from_file = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}
+    try:
+        placed = df.withColumns(from_file)
+    except AnalysisException:
+        placed = df.withColumns({"_file": F.lit(""), "_block": F.lit(0).cast("bigint")})
+    placed = placed.withColumn("_row", F.monotonically_increasing_id())
+    order = [F.col("_file").asc(), F.col("_block").asc(), F.col("_row").asc()]
+    numbered = with_position(placed, order, name=name)
+    return numbered.withColumn(name, F.col(name) - 1).drop("_file", "_block", "_row")
 
 
 def read_holdings_csv(spark: SparkSession, path: str, keep_codes: bool = False) -> DataFrame:

@@ -93,6 +93,11 @@ def latest_entries(ledger: DataFrame) -> DataFrame:
 
 
 def to_score(current: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Records whose input or versions changed since they were last scored."""
+    """Records whose input or versions changed since they were last scored.
+
+    A ledger with a scored_at counts by its last entry per fund.
+    """
+    if "scored_at" in ledger.columns:
+        ledger = latest_entries(ledger)
     key = ["etf_code", "input_hash", "taxonomy_version", "prompt_version"]
     return current.join(ledger.select(*key).distinct(), key, "left_anti")

@@ -116,7 +116,7 @@ def quoted_funds(spark: SparkSession, folder: str) -> DataFrame:
 def themes(spark: SparkSession, folder: str) -> DataFrame:
     """Theme dimension with its base figures from account balances."""
     base = funds(spark, folder).groupBy("theme_id").agg(
-        F.min("ord").alias("ord"), clean.exact_sum("net_assets").alias("trading_value")
+        F.min("ord").alias("ord"), clean.exact_sum("net_assets", 4).alias("trading_value")
     )
     return base.select(
         "ord",
@@ -149,14 +149,14 @@ def holding_values(spark: SparkSession, folder: str, status: str | None = None)
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("o_custkey", "l_partkey")
-        .agg(clean.exact_sum("l_extendedprice").alias("amount"))
+        .agg(clean.exact_sum("l_extendedprice", 4).alias("amount"))
     )
 
 
 def holdings(spark: SparkSession, folder: str) -> DataFrame:
     """Unranked edges: etf_id, stock_id, weight (share of the fund in percent, two decimals)."""
     amounts = holding_values(spark, folder)
-    totals = amounts.groupBy("o_custkey").agg(clean.exact_sum("amount").alias("total"))
+    totals = amounts.groupBy("o_custkey").agg(clean.exact_sum("amount", 4).alias("total"))
     share = F.col("amount") / F.col("total") * 100
     return amounts.join(totals, "o_custkey").select(
         code_of("o_custkey").alias("etf_id"),
@@ -207,8 +207,8 @@ def model_scores(spark: SparkSession, folder: str) -> DataFrame:
     return (
         lines.groupBy("l_partkey", "l_returnflag")
         .agg(
-            (clean.exact_mean("l_discount") * 20).alias("score"),
-            (clean.exact_mean("l_tax") * 24).alias("confidence"),
+            (clean.exact_mean("l_discount", 4) * 20).alias("score"),
+            (clean.exact_mean("l_tax", 4) * 24).alias("confidence"),
         )
         .select(
             code_of("l_partkey").alias("etf_code"),
@@ -262,13 +262,11 @@ def provider_attempts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def top_holdings_of(
-    spark: SparkSession, folder: str, status: str | None = None, n: int = 10
-) -> DataFrame:
-    """Each fund's ``n`` largest holdings, optionally from lines of one status only."""
+def ranked_holdings(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
+    """All holdings of each fund by size, optionally from lines of one status only."""
     amounts = holding_values(spark, folder, status)
     order = [F.col("amount").desc(), F.col("l_partkey").asc()]
-    best = top_per_key(amounts, "o_custkey", order, n, name="rank")
+    best = with_position(amounts, order, by=["o_custkey"], name="rank")
     part = read(spark, folder, "part").select("p_partkey", "p_name")
     return best.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select(
         code_of("o_custkey").alias("etf_code"),
@@ -292,7 +290,7 @@ def curated_funds(spark: SparkSession, folder: str) -> DataFrame:
 def snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """End-of-day row of every fund, with figures from its orders."""
     orders = read(spark, folder, "orders").groupBy("o_custkey").agg(
-        clean.exact_sum("o_totalprice").alias("total"),
+        clean.exact_sum("o_totalprice", 4).alias("total"),
         F.max("o_totalprice").alias("high"),
         F.min("o_totalprice").alias("low"),
     )
@@ -328,7 +326,7 @@ def details(spark: SparkSession, folder: str) -> DataFrame:
         F.max("ts").cast("date").alias("as_of"),
         F.count_if(F.col("event_type") == "purchase").alias("purchases"),
         F.count(F.lit(1)).alias("n"),
-        clean.half_up(clean.exact_mean("value"), 2).alias("mean_value"),
+        clean.half_up(clean.exact_mean("value", 4), 2).alias("mean_value"),
     )
     return per_fund.select(
         code_of("user_id").alias("etf_code"),
@@ -354,9 +352,9 @@ def fund_master(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def recent_holding_counts(spark: SparkSession, folder: str, since: str = "2001-01-01") -> DataFrame:
-    """Funds with orders since a day, and how many."""
-    orders = read(spark, folder, "orders").where(F.col("o_orderdate") >= F.lit(since).cast("timestamp_ntz"))
+def holding_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Funds with orders, and how many."""
+    orders = read(spark, folder, "orders")
     return orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("holdings_count")).select(
         code_of("o_custkey").alias("etf_code"),
         "holdings_count",

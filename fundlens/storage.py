@@ -26,27 +26,31 @@ def scratch_root(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="fundlens-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-_written: list[str] = []
+_written: dict[str, list[str]] = {}
+
+
+def _session(spark: SparkSession) -> str:
+    return f"{spark.sparkContext.applicationId}/{spark._jsparkSession.sessionUUID()}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{scratch_root(spark)}/fundlens-{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written.setdefault(_session(spark), []).append(path)
     return path
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the scratch tables this process wrote; call it once results are stored."""
-    count = len(_written)
-    while _written:
-        delete(spark, _written.pop())
-    return count
+    """Delete this session's scratch tables and checkpoints; call it once results are stored."""
+    paths = _written.pop(_session(spark), [])
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

@@ -72,11 +72,12 @@ class LatestQuotes:
         for version in before[:-1]:
             delete(self.spark, self._folder(version))
 
-    def start(self, ticks: DataFrame, checkpoint: str) -> StreamingQuery:
+    def start(self, ticks: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+        """Start or resume from ``checkpoint``; without a trigger, take what there is and stop."""
         return (
             ticks.writeStream.foreachBatch(self.upsert)
             .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
+            .trigger(**(trigger or {"availableNow": True}))
             .start()
         )
 
@@ -95,15 +96,21 @@ def stale_keys(latest: DataFrame, now: Column, limit_seconds: int) -> DataFrame:
     )
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over all data there is now into a parquet table and return the table."""
+def run_to_table(
+    stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
+    """Run a stream over all data there is now into a parquet table and return the table.
+
+    With the same ``path`` and ``checkpoint`` a later call goes on where this one ended.
+    """
     spark = stream.sparkSession
-    path = new_path(spark, label)
+    path = path or new_path(spark, label)
+    checkpoint = checkpoint or new_path(spark, f"{label}-checkpoint")
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
-        .option("checkpointLocation", f"{path}-checkpoint")
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )

@@ -1,5 +1,6 @@
 """Cleaning, naming and display rules, with the expected values of the feed contract."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from fundlens.functions import clean, display, names
@@ -60,10 +61,36 @@ def test_rounding_is_half_up(one):
 def test_exact_sum(spark):
     values = [0.1] * 10 + [-1.25, 1e12 + 0.37]
     rows = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
-    total, mean = rows.agg(clean.exact_sum("x"), clean.exact_mean("x")).first()
+    total, mean = rows.agg(clean.exact_sum("x", 4), clean.exact_mean("x", 4)).first()
     assert total == 1000000000000.12
     assert mean == total / 12
-    assert rows.where("x > 1e15").agg(clean.exact_sum("x")).first()[0] is None
+    assert rows.where("x > 1e15").agg(clean.exact_sum("x", 4)).first()[0] is None
+
+    def sums(values, scale):
+        return spark.createDataFrame([(v,) for v in values], "x double").agg(clean.exact_sum("x", scale), clean.exact_mean("x", scale)).first()
+
+    nan = float("nan")
+    assert sums([1e-5] * 1000, 5) == (0.01, 1e-5)
+    assert sums([5e18, 5e18], 4) == (1e19, 5e18)
+    assert sums([1e19], 4) == (1e19, 1e19)
+    assert sums([nan, 2.0, float("inf"), None], 4) == (2.0, 2.0)
+    assert sums([nan, None], 4) == (None, None)
+    for values in ([1e-5], [1e30]):
+        with pytest.raises(Exception, match="does not fit"):
+            sums(values, 4)
+
+
+def test_not_finite_is_missing(one):
+    nan, inf = float("nan"), float("inf")
+    assert one(clean.half_up("x", 2), [nan, inf, -inf, None, 2.675, 1e300], "double") == [None, None, None, None, 2.68, 1e300]
+    assert one(clean.half_up("x"), [nan, -2.5, 1e19], "double") == [None, -2.0, 1e19]
+    assert one(clean.pct_change("x", F.lit(2.0)), [nan, inf, None, 3.0], "double") == [None, None, None, 50.0]
+    assert one(clean.pct_change(F.lit(3.0), "x"), [nan, inf, 0.0], "double") == [None, None, None]
+
+
+def test_all_blanks(one):
+    assert one(clean.clean_text("x"), ["\u3000a\u2003 b\ufeff", "\u2003-\u2003", "\u2028"]) == ["a b", None, None]
+    assert one(clean.name_key("x"), ["A\u3000B\u202fC"]) == ["abc"]
 
 
 def test_text_and_alias(one, spark):

@@ -303,9 +303,9 @@ def test_integrity_checks(spark, funds, edges, stocks):
     bad = quality.breadth_violations(summary, 6).collect()
     assert [(r.period, r.violations) for r in bad] == [("1w", ["counts", "extremes"])]
     derived = holdings.holding_ids(edges.where("ord < 7"))
-    assert {r.etf_id: r.top_holdings for r in derived.collect()}["etf-b"] == ["hynix", "samsung"]
-    stored = derived.withColumn("top_holdings", F.slice("top_holdings", 1, 2))
-    assert [r.etf_id for r in quality.array_mismatch(stored, derived, "etf_id", "top_holdings").collect()] == ["etf-a"]
+    assert [r.stock_id for r in derived.where("etf_id = 'etf-b'").orderBy("place").collect()] == ["hynix", "samsung"]
+    found = quality.array_mismatch(derived.where("place <= 2"), derived).collect()
+    assert [(r.etf_id, r.differing_places) for r in found] == [("etf-a", derived.where("etf_id = 'etf-a' and place > 2").count())]
     related = holdings.related_funds(edges).where("stock_id = 'samsung'").orderBy("position")
     assert [r.etf_id for r in related.collect()] == ["etf-a", "etf-b", "missing"]
     texts = spark.createDataFrame([(1, "오늘의 추천 ETF 목록"), (2, "사실만 적음")], "id int, text string")
