@@ -83,13 +83,10 @@ def heatmap(themes: DataFrame, period: str) -> DataFrame:
     shown = themes.select(
         F.col("id").alias("theme_id"), "name", F.col(column).alias("return_rate"), "trading_value"
     )
-    # The order is by trading value, so the largest one is that of position 1.
-    placed = with_position(shown, order).withColumn("_one", F.lit(1))
-    largest = placed.where(F.col("position") == 1).select(
-        "_one", F.coalesce("trading_value", F.lit(0.0)).alias("_largest")
-    )
+    largest = shown.agg(F.coalesce(F.max("trading_value"), F.lit(0.0)).alias("_largest")).scalar()
+    placed = with_position(shown, order).withColumn("_largest", largest)
     size = F.when(F.col("position") <= 2, "lg").when(F.col("position") <= 6, "md").otherwise("sm")
-    return placed.join(F.broadcast(largest), "_one").select(
+    return placed.select(
         "position",
         "theme_id",
         "name",

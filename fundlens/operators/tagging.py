@@ -362,8 +362,12 @@ def sample_by_category(
 
     ``records``: ord, etf_code, name.  With k categories, the first k candidates
     of each are enough to decide, so the sequential part sees at most k * k rows.
-    ``extra`` adds a last category for names with two or more hints.
+    ``extra`` adds a last category for names with two or more hints.  Of the columns
+    holdings_count, benchmark_name and type_text those that are there must not all be empty.
     """
+    facts = [c for c in ("holdings_count", "benchmark_name", "type_text") if c in records.columns]
+    if facts:
+        records = records.where(F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("0")) for c in facts]).isNotNull())
     tests = []
     for _, pattern, excluded in categories:
         hit = F.col("name").rlike(java_pattern(pattern))
@@ -419,6 +423,13 @@ def assign_batches(
     return named
 
 
+def subset(records: DataFrame, codes: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Records with one of the given codes, and of those the first ``limit`` in input order."""
+    if codes is not None:
+        records = records.join(codes.select("etf_code").distinct(), "etf_code", "left_semi")
+    return records if limit is None else records.orderBy("ord").limit(limit)
+
+
 def compact_records(records: DataFrame, holdings: DataFrame, n: int = 10) -> DataFrame:
     """Scorer input: one JSON text per fund with its ``n`` largest holdings."""
     best = top_per_key(

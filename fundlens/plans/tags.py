@@ -321,7 +321,7 @@ def _sample_sql() -> str:
         tests.append(test + (f" AND NOT regexp_matches(name, '{excluded}')" if excluded else ""))
     tests.append(f"len(list_filter([{record_plans._HINTS}], lambda x: x IS NOT NULL)) >= 2")
     matched = "\nUNION ALL ".join(
-        f"SELECT {i} AS place, ord, etf_code, name FROM records WHERE {test}" for i, test in enumerate(tests)
+        f"SELECT {i} AS place, ord, etf_code, name FROM records WHERE benchmark_name IS NOT NULL AND {test}" for i, test in enumerate(tests)
     )
     labels = [c[0] for c in tagging.SAMPLE_CATEGORIES] + [tagging.COMPLEX_CATEGORY]
     named = ", ".join(f"({i}, '{label}')" for i, label in enumerate(labels))
