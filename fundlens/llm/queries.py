@@ -16,6 +16,58 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+OP3_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *, regexp_replace(role, '(<|\[)(\\*)(/?)(s>|INST\])', '\1\\\2\3\4', 'g') AS shown_role,
+         regexp_replace(text, '(<|\[)(\\*)(/?)(s>|INST\])', '\1\\\2\3\4', 'g') AS shown_text FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<s>[INST] ' || shown_role || ' [/INST]' || chr(10) || shown_text || '</s>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id"""
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"""
+OP4_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} FROM documents),
+items AS (SELECT item_id, {_WORDS} FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), 10) AS n FROM items WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+places AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS (SELECT DISTINCT r, i, n, k FROM places JOIN windows USING (n, k)),
+hit AS (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM found),
+runs AS (
+  SELECT r, min(p) - 1 AS start, count(*) AS n FROM (SELECT r, p, p - row_number() OVER (PARTITION BY r ORDER BY p) AS g FROM hit)
+  GROUP BY r, g),
+longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, start) = 1),
+hits AS (SELECT r, count(*) AS n_hit FROM hit GROUP BY r),
+named AS (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found JOIN windows USING (n, k)),
+listed AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM named GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, l.n AS longest_hit, l.start AS longest_at
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN listed USING (r) LEFT JOIN longest l USING (r)"""
+
+OP6_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5"""
+
+
 @catalog.query("op1_quality")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -36,7 +88,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@catalog.query("op3_chat_format")
+@catalog.query("op3_chat_format", OP3_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -44,7 +96,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns.unionByName(control)))
 
 
-@catalog.query("op4_decontamination")
+@catalog.query("op4_decontamination", OP4_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -55,7 +107,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), file, "byte")
 
 
-@catalog.query("op6_exact_top_k")
+@catalog.query("op6_exact_top_k", OP6_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
