@@ -68,6 +68,79 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY rank <= 5"""
 
 
+OP7_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT r, w[i] || ' ' || w[i + 1] AS s FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM docs WHERE len(w) > 1)
+  UNION ALL SELECT r, w[1] FROM docs WHERE len(w) = 1),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM shingles a JOIN shingles b USING (s) WHERE a.r < b.r GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(r, other) AS (
+  SELECT r, r FROM docs UNION SELECT reached.r, b FROM reached JOIN both_ways ON other = a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(o.doc_id) AS component_id, d.doc_id = min(o.doc_id) AS kept
+FROM docs d LEFT JOIN sizes USING (r) JOIN reached USING (r) JOIN docs o ON o.r = other GROUP BY d.r, d.doc_id, n"""
+
+_RULES = sorted(url_filter.RULES, key=lambda x: -len(x[0] + x[1]))
+_FITS = [(f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')", h + p, v) for h, p, v in _RULES]
+_K = url_filter.SMOOTH
+OP9_SQL = f"""
+WITH given AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages),
+parsed AS (
+  SELECT page_id, translate(regexp_extract(after, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+         regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path FROM given),
+ruled AS (
+  SELECT *, CASE {' '.join(f"WHEN {f} THEN '{r}'" for f, r, _ in _FITS)} END AS rule,
+         CASE {' '.join(f"WHEN {f} THEN '{v}'" for f, _, v in _FITS)} END AS ruled,
+         string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/') AS plain FROM parsed),
+labelled AS (
+  SELECT *, CASE ruled WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS blocked,
+         CASE WHEN len(plain) > {url_filter.DEPTH}
+              THEN list_append(plain[1:{url_filter.DEPTH - 1}], array_to_string(plain[{url_filter.DEPTH}:], '/')) ELSE plain END AS lexical
+  FROM ruled),
+whole AS (
+  SELECT host, lexical, count(*) AS n, count(blocked) AS labelled, coalesce(sum(blocked), 0) AS blocked
+  FROM labelled GROUP BY host, lexical),
+steps AS (
+  SELECT host, lexical, n, i AS level, array_to_string(lexical[1:i - 1], '/') AS parent, lexical[i] AS segment
+  FROM (SELECT *, unnest(range(1, len(lexical) + 1)) AS i FROM whole)),
+children AS (SELECT host, level, parent, segment, sum(n) AS n FROM steps GROUP BY ALL),
+variable AS (
+  SELECT host, level, parent FROM children GROUP BY ALL
+  HAVING count(*) >= {url_filter.FAN} AND count(*) >= {url_filter.SPREAD} * sum(n)),
+named AS (
+  SELECT s.host, s.lexical, list(CASE WHEN v.host IS NULL THEN segment ELSE '*' END ORDER BY s.level) AS parts
+  FROM steps s LEFT JOIN variable v ON s.host = v.host AND s.level = v.level AND s.parent = v.parent GROUP BY s.host, s.lexical),
+found AS (
+  SELECT w.*, array_to_string(parts[1:len(parts) - 1], '/') AS branch, array_to_string(parts, '/') AS template
+  FROM whole w JOIN named USING (host, lexical)),
+leaves AS (SELECT host, branch, template, sum(labelled) AS labelled, sum(blocked) AS blocked FROM found GROUP BY ALL),
+branches AS (SELECT host, branch, sum(labelled) AS labelled, sum(blocked) AS blocked FROM leaves GROUP BY ALL),
+hosts AS (SELECT host, sum(labelled) AS labelled, sum(blocked) AS blocked FROM branches GROUP BY ALL),
+overall AS (SELECT (sum(blocked) + 1) / (sum(labelled) + 2) AS p FROM hosts),
+of_hosts AS (SELECT host, (blocked + p * {_K}) / (labelled + {_K}) AS p FROM hosts, overall),
+of_branches AS (
+  SELECT host, branch, (blocked + p * {_K}) / (labelled + {_K}) AS p, blocked / greatest(labelled, 1) AS share
+  FROM branches JOIN of_hosts USING (host)),
+grouped AS (
+  SELECT l.*, p, CASE WHEN labelled > 0 AND abs(blocked / greatest(labelled, 1) - share)
+      > {url_filter.SIMILAR} * sqrt(share * (1 - share) / greatest(labelled, 1)) + 1e-9 THEN template END AS grp
+  FROM leaves l JOIN of_branches USING (host, branch)),
+purities AS (
+  SELECT host, branch, grp, (sum(blocked) + p * {_K}) / (sum(labelled) + {_K}) AS purity FROM grouped GROUP BY host, branch, grp, p),
+judged AS (
+  SELECT f.host, f.lexical, f.template, purity FROM found f JOIN grouped g USING (host, branch, template)
+  JOIN purities u ON u.host = g.host AND u.branch = g.branch AND u.grp IS NOT DISTINCT FROM g.grp)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= {url_filter.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM labelled JOIN judged USING (host, lexical)"""
+
+
 @catalog.query("op1_quality")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -112,7 +185,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-@catalog.query("op7_near_duplicates")
+@catalog.query("op7_near_duplicates", OP7_SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"), similarity=0.8, words_each=2)
 
@@ -122,9 +195,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_pii(table(spark, folder, "documents"))
 
 
-@catalog.query("op9_url_filter")
+@catalog.query("op9_url_filter", OP9_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return url_filter.judge(table(spark, folder, "pages"))
+    return url_filter.judge(table(spark, folder, "pages")).drop("purity")
 
 
 @catalog.query("op10_packing")
