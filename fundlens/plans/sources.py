@@ -11,6 +11,7 @@ from ..operators import holdings as holding_ops
 from ..operators import quality, resolve
 from ..operators.ordering import top_per_key
 from ..sources import tables
+from ..storage import materialize
 from . import sql as q
 from .registry import catalog
 
@@ -233,7 +234,8 @@ def provider_failures(spark: SparkSession, folder: str) -> DataFrame:
 JOIN resolved d ON r.etf_code = d.etf_code AND r.provider = d.provider WHERE d.status <> 'UNRESOLVED'""",
 )
 def winning_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = provider_rows(spark, folder)
+    """Rows are normalized once and written; judging and picking both read that table."""
+    rows = materialize(provider_rows(spark, folder), "provider-rows")
     winners = resolved_documents(spark, folder, rows)
     return resolve.winning_rows(winners, rows, KEYS).select(
         "etf_code", "provider", "asset_code", "weight_pct", "rank"
