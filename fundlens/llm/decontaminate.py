@@ -79,6 +79,7 @@ class Benchmark:
     items_at: np.ndarray  # window i stands in items[items_at[i] : items_at[i + 1]]
     items: np.ndarray
     names: list[str]  # item_id of each item as text
+    places: np.ndarray  # suffix, item and word number of every place in the items
 
     @staticmethod
     def of(rows: list[tuple], depth: int) -> Benchmark:
@@ -116,6 +117,7 @@ class Benchmark:
         return Benchmark(
             depth, vocabulary, np.unique(one[lengths > 1] * size + two[lengths > 1]), single, suffixes, lengths, window,
             np.searchsorted(pairs[0], np.arange(len(lengths) + 1)), pairs[1], names,
+            np.stack([inverse, owners[item], np.arange(len(ranks)) - np.repeat(first[:-1], n)]),
         )
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
@@ -157,26 +159,33 @@ class SuffixArray:
             high[open_[~right]] = middle[~right]
         return low
 
-    def search(self, b: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each benchmark suffix the range where it occurs and the longest match of its words."""
+    def search(self, b: Benchmark) -> tuple[np.ndarray, np.ndarray]:
+        """For each benchmark suffix the range of the array where it occurs."""
         low = self._bound(b.suffixes, True)
         top = b.suffixes.copy()
         for k in range(0, b.depth, 2):
             top[k // 2][b.lengths <= k] = ~np.uint64(0)
             top[k // 2][b.lengths == k + 1] |= np.uint64(0xFFFFFFFF)
-        high = self._bound(top, False)
-        longest = np.zeros(len(low), np.int64)
-        if n := self.keys.shape[1]:
-            for neighbour in (low - 1, low):
-                inside = (neighbour >= 0) & (neighbour < n)
-                longest[inside] = np.maximum(longest[inside], common(self.keys[:, neighbour[inside]], b.suffixes[:, inside]))
-        return low, high, longest
+        return low, self._bound(top, False)
+
+    def longest(self, b: Benchmark, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the longest match of each benchmark suffix, and its place in the array.
+
+        The suffixes around the place where one would stand share the most words with it.
+        """
+        best, at = np.zeros(len(low), np.int64), np.zeros(len(low), np.int64)
+        for neighbour in (low - 1, low):
+            inside = np.flatnonzero((neighbour >= 0) & (neighbour < self.keys.shape[1]))
+            shared = common(self.keys[:, neighbour[inside]], b.suffixes[:, inside])
+            better = inside[shared > best[inside]]
+            best[better], at[better] = shared[shared > best[inside]], neighbour[better]
+        return best, at
 
 
 def find(b: Benchmark, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end) of hit runs in word numbers and (document, item) pairs of occurring windows."""
     array = SuffixArray(b, hashes, first)
-    low, high, _ = array.search(b)
+    low, high = array.search(b)
     used = np.flatnonzero(b.window & (high > low))
     count = high[used] - low[used]
     which = np.repeat(used, count)
@@ -294,6 +303,55 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     )
 
 
+def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item_id, start, n_words, doc_id, doc_start): the longest match of each benchmark suffix.
+
+    A suffix is named by its item and first word; of its words ``window`` at most are matched.
+    Of equally long matches the one of the least doc_id and first place counts.  Suffixes of
+    which no two words (one, for items of one word) occur together are not listed.
+    """
+    spark = documents.sparkSession
+    slim = benchmark.select("item_id", "text")
+    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, found = -(-total // BENCHMARK_BYTES) or 1, None
+    for part in range(parts):
+        mine = slim.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        b = Benchmark.of([(r.item_id, r.text) for r in mine.collect()], window)
+        matched = documents.select("doc_id", "text").mapInArrow(_longest(spark.sparkContext.broadcast(b)), "suffix bigint, n_words bigint, doc_id bigint, doc_start bigint")
+        best = F.max(F.struct("n_words", (-F.col("doc_id")).alias("d"), (-F.col("doc_start")).alias("s")))
+        best = matched.groupBy("suffix").agg(best.alias("m"))
+        suffix, item, start = b.places
+        listed = pa.table({"suffix": suffix.astype(np.int64), "item_id": np.array(b.names, object)[item], "start": start.astype(np.int64)}) if len(suffix) else None
+        places = spark.createDataFrame(listed) if listed else spark.createDataFrame([], "suffix bigint, item_id string, start bigint")
+        rows = places.join(best, "suffix").select("item_id", "start", "m.n_words", (-F.col("m.d")).alias("doc_id"), (-F.col("m.s")).alias("doc_start"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _longest(shared):
+    def run(batches):
+        b = shared.value
+        rows: list[np.ndarray] = []  # a column per suffix and block with a match
+        for batch in batches:
+            ids = np.asarray(batch.column(0).cast(pa.int64()).fill_null(0))
+            data, offsets = utf8(batch.column(1))
+            for lo, hi in blocks(offsets, BLOCK_BYTES):
+                hashes, first = words_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                array = SuffixArray(b, hashes, first)
+                n, at = array.longest(b, array.search(b)[0])
+                used = np.flatnonzero(n)
+                word = np.searchsorted(array.place, array.at[at[used]])
+                doc = array.doc[word]
+                rows.append(np.stack([used, n[used], ids[lo + doc], word - first[doc]]))
+        found = np.concatenate(rows, 1) if rows else np.zeros((4, 0), np.int64)
+        order = np.lexsort((found[3], found[2], -found[1], found[0]))
+        found = found[:, order]
+        first_of = np.concatenate([[True], found[0, 1:] != found[0, :-1]]) if found.shape[1] else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found[:, first_of]], names=["suffix", "n_words", "doc_id", "doc_start"])
+
+    return run
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` without those that hold an occurrence of a window; all columns stay."""
     found = look_up(documents, benchmark, documents.columns, window)

@@ -128,6 +128,26 @@ def test_contamination_of_documents(spark, folder):
         assert (r.longest_hit or 0) <= r.n_hit and (r.longest_hit is None) == (r.n_hit == 0)
 
 
+def test_longest_matches(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    rng = random.Random(8)
+    make = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    docs = [(i, make(rng.randint(0, 40))) for i in range(60)]
+    items = [(i, make(rng.randint(2, 14))) for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    found = decontaminate.longest_matches(df, spark.createDataFrame(items, "item_id bigint, text string"), 6)
+    got = {(int(r.item_id), r.start): r.n_words for r in found.collect()}
+    texts = {d: t.split() for d, t in docs}
+    for item, text in items:
+        x = text.split()
+        for k in range(len(x) - 1):
+            n = next((n for n in range(min(6, len(x) - k), 1, -1) if any(w[p : p + n] == x[k : k + n] for w in texts.values() for p in range(len(w)))), 0)
+            assert got.get((item, k), 0) == n
+    for r in found.collect():
+        x = dict(items)[int(r.item_id)].split()[r.start : r.start + r.n_words]
+        assert texts[r.doc_id][r.doc_start : r.doc_start + r.n_words] == x
+
+
 # near-duplicates
 
 
