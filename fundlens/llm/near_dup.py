@@ -35,7 +35,8 @@ BANDS, ROWS = 42, 6  # two sets of similarity 0.8 share no bucket with probabili
 SKETCH_BITS = 1024
 SET_BITS = 2048
 BLOCK_BYTES = 1 << 20
-BLOCK_ROWS = 1024  # classes of one bucket that are compared at a time
+BLOCK_ROWS = 2048  # classes of one bucket that are compared with as many others at a time
+FILTER_BITS = 1 << 25  # of the bitmap that tells which texts a comparison may need: 4 MB
 _rng = np.random.default_rng(20_11)
 FACTORS = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -171,6 +172,30 @@ def class_of(words_each: int):
     return start
 
 
+def rows_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be in the only column of ``wanted``, and few others.
+
+    The keys' hashes are set in a bitmap of fixed size, which is broadcast; so the texts of
+    other rows need not be shuffled.  Many keys let more rows through, but lose none.
+    """
+    page = 1 << 15  # bits of the bitmaps that Spark aggregates
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = wanted.select(place(wanted.columns[0]).alias("_at"))
+    pages = bits.groupBy(F.floor(F.col("_at") / page).alias("page")).agg(F.bitmap_construct_agg(F.col("_at") % page).alias("bits"))
+    whole = np.zeros((FILTER_BITS // page, page // 8), np.uint8)
+    for r in pages.collect():
+        whole[r.page] = np.frombuffer(r.bits, np.uint8)
+    shared, names = df.sparkSession.sparkContext.broadcast(whole.ravel()), df.columns
+
+    def run(batches):
+        for batch in batches:
+            at = np.asarray(batch.column(0))
+            there = (shared.value[at >> 3] >> (at & 7)) & 1
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(there.astype(bool)))
+
+    return df.select(place(key).alias("_llm_place"), *[F.col(f"`{c}`") for c in df.columns]).mapInArrow(run, df.schema)
+
+
 def class_texts(documents: DataFrame, first: DataFrame, pairs: DataFrame, words_each: int) -> DataFrame:
     """(class, text) for the classes in ``pairs``; ``first`` has the least doc_id of each.
 
@@ -178,7 +203,9 @@ def class_texts(documents: DataFrame, first: DataFrame, pairs: DataFrame, words_
     """
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     chosen = needed.join(first, "class").select(F.col("class").alias("_class"), F.col("least").alias("_least"))
-    held = documents.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("_least")))
+    chosen = materialize(chosen, "needed")
+    held = rows_in(documents.select("doc_id", "text"), "doc_id", chosen.select("_least"))
+    held = held.join(chosen, F.col("doc_id").eqNullSafe(F.col("_least")))
     named = annotate(held.select("_class", "text"), ["text"], "class binary", class_of(words_each))
     return named.where(F.col("class") == F.col("_class")).dropDuplicates(["class"]).select("class", "text")
 
@@ -206,29 +233,51 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, words_each:
 def other_pairs(members: DataFrame, similarity: float, best: int) -> DataFrame:
     """Pairs (a, b) in a bucket, of different components, whose sketches allow the similarity.
 
-    ``members`` has bucket, class, label, n_shingles, sketch and whole.  A bucket of n classes is cut
-    into blocks of ``BLOCK_ROWS``, each task compares two blocks and gives out the ``best``
-    pairs of any two components; ``more`` tells that they have further ones.
+    ``members`` has bucket, class, label, n_shingles, sketch and whole.  A task compares the
+    classes of one bucket, or two blocks of a larger one, and gives out the ``best`` pairs of
+    any two components; ``more`` tells that they have further ones.  In a large bucket the
+    classes of its largest component are only compared with the others, so what is sent does
+    not grow with that component's square.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
-    blocked = members.join(sizes, "bucket").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int"))
-    blocked = blocked.withColumn("_own", F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int"))
-    blocked = blocked.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    blocked = blocked.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
+    in_label = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("_k"))
+    sizes = in_label.groupBy("bucket").agg(
+        F.sum("_k").alias("_n"), F.max("_k").alias("_large"), F.max_by("label", F.struct("_k", "label")).alias("_top")
+    )
+    blocks_of = lambda n: F.greatest(F.ceil(n / BLOCK_ROWS), F.lit(1)).cast("int")
+    blocked = members.join(sizes, "bucket").withColumns({
+        "_major": (F.col("_n") > BLOCK_ROWS) & (F.col("label") == F.col("_top")),
+        "_minors": F.when(F.col("_n") > BLOCK_ROWS, blocks_of(F.col("_n") - F.col("_large"))).otherwise(F.lit(1)),
+        "_majors": F.when(F.col("_n") > BLOCK_ROWS, blocks_of(F.col("_large"))).otherwise(F.lit(0)),
+    })
+    own = F.pmod(F.xxhash64("class"), F.when(F.col("_major"), F.col("_majors")).otherwise(F.col("_minors"))).cast("int")
+    blocked = blocked.withColumn("_own", own)
+
+    def with_blocks(n: str, i, j):
+        each = F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(each, lambda x: F.struct(F.lit(n == "_majors" or i is None).alias("_cross"), (x if i is None else i(x)).alias("_i"), j(x).alias("_j")))
+
+    minor = F.concat(
+        with_blocks("_minors", lambda x: F.least(F.col("_own"), x), lambda x: F.greatest(F.col("_own"), x)),
+        with_blocks("_majors", lambda x: F.col("_own"), lambda x: x),
+    )
+    major = with_blocks("_minors", None, lambda x: F.col("_own"))
+    blocked = blocked.withColumn("_with", F.explode(F.when(F.col("_major"), major).otherwise(minor))).select("*", "_with.*")
     limit = most_ones(similarity)
     kind = members.schema["class"].dataType
     schema = StructType([StructField("a", kind), StructField("b", kind), *StructType.fromDDL("more boolean")])
 
     def compare(key: tuple[object, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+        _, cross, i, j = key
         frame = frame.sort_values("class", ignore_index=True)
         bits = np.stack(frame["sketch"].to_numpy()).view(np.uint64)
         whole = np.stack(frame["whole"].to_numpy()).view(np.uint64)
-        size, name, own = frame["n_shingles"].to_numpy(), frame["class"].to_numpy(), frame["_own"].to_numpy()
+        size, name = frame["n_shingles"].to_numpy(), frame["class"].to_numpy()
+        large, own = frame["_major"].to_numpy(), frame["_own"].to_numpy()
         code = pd.factorize(frame["label"], sort=True)[0]
-        other, found = np.flatnonzero(own == j), []
-        for r in np.flatnonzero(own == i):
-            ok = (code[other] != code[r]) & ((other > r) if i == j else True)
+        mine, other = (np.flatnonzero(~large), np.flatnonzero(large)) if cross else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+        found = []
+        for r in mine:
+            ok = (code[other] != code[r]) & ((other > r) if i == j and not cross else True)
             ok &= np.minimum(size[other], size[r]) >= np.maximum(size[other], size[r]) * similarity - 0.001
             near = other[ok]
             if len(near):
@@ -249,8 +298,8 @@ def other_pairs(members: DataFrame, similarity: float, best: int) -> DataFrame:
         taken = place < best
         return pd.DataFrame({"a": name[pairs[3, taken]], "b": name[pairs[4, taken]], "more": np.repeat(n > best, n)[taken]})
 
-    columns = ["bucket", "_i", "_j", "_own", "class", "label", "n_shingles", "sketch", "whole"]
-    found = blocked.select(*columns).groupBy("bucket", "_i", "_j").applyInPandas(compare, schema)
+    columns = ["bucket", "_cross", "_i", "_j", "_own", "_major", "class", "label", "n_shingles", "sketch", "whole"]
+    found = blocked.select(*columns).groupBy("bucket", "_cross", "_i", "_j").applyInPandas(compare, schema)
     return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
