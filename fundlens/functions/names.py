@@ -63,6 +63,7 @@ NAME_HINTS = (
     ("합성", "name_contains=합성(스왑) 구조"),
     ("만기매칭|목표전환", "name_contains=만기매칭/목표전환"),
 )
+# Patterns of a leverage factor and of a monthly schedule.
 LEVERAGE_IN_NAME = r"(?i)([0-9](?:\.[0-9])?)\s*X"
 MONTHLY_SCHEDULE = r"매월|매\s*1,\s*2,\s*3"
 

@@ -166,6 +166,7 @@ def missing(covered: DataFrame) -> DataFrame:
     )
 
 
+# Field of a web page -> field of a record, and the fields that make a record real.
 WEB_FIELDS = {
     "issuer": "issuer",
     "listing_date": "listing_date",

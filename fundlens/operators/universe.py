@@ -21,6 +21,7 @@ QUOTE_FIELDS = {
     "trading_value": "trading_value",
     "trading_value_change_rate": "trading_value_change_rate",
 }
+# Fields taken from the snapshot, and source -> target of the roll-up.
 SNAPSHOT_FIELDS = ("net_assets", "nav", "market_cap")
 ROLLUP_FIELDS = {
     "change_rate_1d": "return_1d",

@@ -467,12 +467,10 @@ WHERE l.doc_id IS NULL OR l.quality = 0""",
 def rescoring(spark: SparkSession, folder: str) -> DataFrame:
     """Documents to score: never scored, or scored under another taxonomy version."""
     documents = tables.read(spark, folder, "documents").withColumn("etf_code", tables.code_of("doc_id"))
+    # Hashed where it is read: joins carry keys and hashes, not texts.
     current = sinks.scoring_ledger(documents, ["doc_id", "text"], "1.0.0", "1.0.0")
-    labelled = documents.join(tables.read(spark, folder, "labels"), "doc_id")
-    stored = sinks.scoring_ledger(labelled, ["doc_id", "text"], "1.0.0", "1.0.0").join(
-        labelled.select("etf_code", "quality"), "etf_code"
-    )
-    ledger = stored.withColumn(
+    labels = tables.read(spark, folder, "labels").select(tables.code_of("doc_id").alias("etf_code"), "quality")
+    ledger = current.join(labels, "etf_code").withColumn(
         "taxonomy_version", F.when(F.col("quality") == 1, "1.0.0").otherwise("0.9.0")
     )
     return sinks.to_score(current, ledger).select("etf_code")

@@ -289,8 +289,8 @@ UNION ALL SELECT etf_code, rank, code, weight, 'listing_file' FROM unshipped
 WHERE etf_code NOT IN (SELECT etf_code FROM shipped)""",
 )
 def holdings_choice(spark: SparkSession, folder: str) -> DataFrame:
-    first = tables.ranked_holdings(spark, folder, status="F").drop("name")
-    second = tables.ranked_holdings(spark, folder, status="O").drop("name")
+    first = tables.holdings_by_size(spark, folder, status="F").drop("name")
+    second = tables.holdings_by_size(spark, folder, status="O").drop("name")
     chosen = resolve.choose_holdings(first, second, ("detail", "listing_file"))
     return chosen.withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -309,8 +309,8 @@ HAVING count(ra) > 0 AND count(rb) > 0 AND count(*) FILTER (WHERE na IS DISTINCT
 )
 def source_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.conflicts(
-        tables.ranked_holdings(spark, folder, status="F"),
-        tables.ranked_holdings(spark, folder),
+        tables.holdings_by_size(spark, folder, status="F"),
+        tables.holdings_by_size(spark, folder),
         ("detail", "listing_file"),
     )
 
@@ -324,10 +324,10 @@ SELECT s.etf_code, s.rank, s.name, k.code FROM shipped s LEFT JOIN known k
   ON s.etf_code = k.etf_code AND s.name = k.name""",
 )
 def name_code_backfill(spark: SparkSession, folder: str) -> DataFrame:
-    uncoded = tables.ranked_holdings(spark, folder, status="F").withColumn(
+    uncoded = tables.holdings_by_size(spark, folder, status="F").withColumn(
         "code", F.lit(None).cast("string")
     )
-    other = tables.ranked_holdings(spark, folder).withColumnRenamed("rank", "ord")
+    other = tables.holdings_by_size(spark, folder).withColumnRenamed("rank", "ord")
     return holding_ops.backfill_codes(uncoded, other).select(
         "etf_code", F.col("rank").cast("bigint").alias("rank"), "name", "code"
     )
@@ -417,7 +417,7 @@ WHERE code IS DISTINCT FROM stock_id GROUP BY 1""",
 )
 def array_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Funds whose stored list (shipped lines) disagrees with the list derived from all edges."""
-    stored = tables.ranked_holdings(spark, folder, status="F").select(
+    stored = tables.holdings_by_size(spark, folder, status="F").select(
         F.col("etf_code").alias("etf_id"), F.col("rank").alias("place"), F.col("code").alias("stock_id")
     )
     order = [F.col("weight").desc(), F.col("stock_id").asc()]

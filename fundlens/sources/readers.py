@@ -50,6 +50,7 @@ DETAIL_KEYS = {
     "type_text": (("summary_data", "ETF_TYP_SVC_NM"),),
     "fund_type_text": (("product_summary_data", "FUND_TYP"),),
 }
+# Number field -> where a detail reply has it.
 DETAIL_NUMBERS = {
     "total_fee_pct": (("product_summary_data", "TOT_PAY"), ("summary_data", "TOT_PAY")),
     "net_assets": (("status_data", "MKT_VAL"),),

@@ -262,7 +262,7 @@ def provider_attempts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def ranked_holdings(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
+def holdings_by_size(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
     """All holdings of each fund by size, optionally from lines of one status only."""
     amounts = holding_values(spark, folder, status)
     order = [F.col("amount").desc(), F.col("l_partkey").asc()]

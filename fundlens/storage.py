@@ -61,6 +61,12 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a scratch table that no DataFrame in use reads any more."""
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        delete(table.sparkSession, folder)
+
+
 def folder_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a path on whatever file system it is on."""
     where, system = _file_system(spark, path)
