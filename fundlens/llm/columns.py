@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,6 +16,19 @@ from pyspark.sql.types import StructType
 Work = Callable[..., Sequence[pa.Array]]
 
 
+def trim() -> None:
+    """Give freed memory back to the system.
+
+    Spark keeps a Python worker for later tasks, where what the allocators hold would count
+    beside those tasks' own needs.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def annotate(
     df: DataFrame, inputs: Sequence[str], added: str, start: Callable[[], Work], keep: Sequence[str] | None = None
 ) -> DataFrame:
@@ -37,6 +52,9 @@ def annotate(
         for batch in batches:
             columns = batch.columns
             yield pa.RecordBatch.from_arrays([*columns[n:], *work(*columns[:n])], names=names)
+            del batch, columns
+        del work
+        trim()
 
     return source.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ from .columns import annotate, blocks, ragged, utf8
 from .words import FOLD, WORDY, span_hashes, split
 
 WINDOW = 10
-BLOCK_BYTES = 2 << 20  # of training text whose suffixes are sorted together
+BLOCK_BYTES = 1 << 20  # of training text whose suffixes are sorted together
 BENCHMARK_BYTES = 64 << 20  # of benchmark text that is broadcast at a time
 
 

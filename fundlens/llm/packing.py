@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..storage import materialize
-from .tokens import Encoder
+from .columns import trim
+from .tokens import CACHED_PIECES, Encoder
 
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 8 * 4096
@@ -113,6 +114,7 @@ def pack(
     end: int = 2,
     tiers: tuple[int, ...] = TIERS,
     step_tokens: int = STEP_TOKENS,
+    cached: int = CACHED_PIECES,
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step).
 
@@ -121,6 +123,7 @@ def pack(
     text gives a piece.  Each id lies in exactly one piece.  A window of ``tier`` tokens is
     full, except the last one of all.  Windows of a tier are dealt to steps of
     ``step_tokens``: ``step`` counts them within the tier, and all but its last are equal.
+    ``cached`` bounds the pieces of text whose ids a task remembers, about 200 bytes each.
     Other columns are not looked at.  An empty table gives no pieces.
     """
     widest = max(tiers)
@@ -129,7 +132,7 @@ def pack(
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        encoder, packer, part = Encoder(tokenizer_file, style), Packer(tiers), TaskContext.get().partitionId()
+        encoder, packer, part = Encoder(tokenizer_file, style, cached), Packer(tiers), TaskContext.get().partitionId()
         kinds = None
 
         def rows_out(rows: list[tuple]) -> pa.RecordBatch:
@@ -149,6 +152,8 @@ def pack(
                     yield rows_out(rows)
         if rows := packer.rest():
             yield rows_out(rows)
+        del encoder, packer
+        trim()
 
     pieces = materialize(documents.select("doc_id", "text").mapInArrow(run, schema), "pieces")
 

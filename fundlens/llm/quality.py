@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .columns import annotate, blocks, ragged, utf8
+from .columns import annotate, blocks, ragged, trim, utf8
 from .words import NOT_BLANK, mix, span_hashes, split
 
 FORMS, SHAPES, DIMS, ONES = 8192, 1024, 32, 2
 REACH = 2  # words on either side that count as context
 BLOCK_BYTES = 1 << 20
+POOLED_BYTES = 1 << 18  # of text whose words' vectors are in memory at once
 SAMPLE_ROWS = 20_000  # labelled documents that a classifier is fitted on, at most
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 0.01, 1e-4
 FEATURES = 4 * DIMS
@@ -98,6 +99,7 @@ def context_table(documents: DataFrame) -> np.ndarray:
                 add_contexts(total, *units(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
         table = total.reshape(n, DIMS).astype(np.int64)
         used = np.flatnonzero(table.any(1))
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(table[used, i]) for i in range(DIMS))], names=["bucket", *names])
 
     parts = documents.select("text").mapInArrow(run, "bucket bigint, " + ", ".join(f"{c} bigint" for c in names))
@@ -128,7 +130,7 @@ class Pooler:
     def pool(self, texts: pa.Array) -> np.ndarray:
         data, offsets = utf8(texts)
         out = np.zeros((len(texts), FEATURES), np.float32)
-        for lo, hi in blocks(offsets, BLOCK_BYTES):
+        for lo, hi in blocks(offsets, POOLED_BYTES):
             form, shape, first = units(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             full = np.flatnonzero(np.diff(first))
             if len(full):

@@ -48,7 +48,8 @@ def version(file: str) -> str:
 class Encoder:
     """Turns texts into bytes of little-endian unsigned 32-bit ids."""
 
-    def __init__(self, file: str, style: str) -> None:
+    def __init__(self, file: str, style: str, cached: int = CACHED_PIECES) -> None:
+        self.cached = cached
         if style not in ("byte", "word"):
             raise ValueError(f"style is byte or word, not {style}")
         self.tokenizer, self.word_style = load(file), style == "word"
@@ -154,7 +155,7 @@ class Encoder:
         if short:
             new = {p for i in short for p, x in zip(bodies[i], found[i]) if x is None}
             long = {p for p in new if len(p) > LONGEST_CACHED}
-            if len(self.pieces) + len(self.cores) + len(self.lone) > CACHED_PIECES:
+            if len(self.pieces) + len(self.cores) + len(self.lone) > self.cached:
                 self.pieces, self.cores, self.lone = {}, {}, {}
             self._learn(new - long - {""})
             aside = {p: self.whole(p if self.word_style else " " + p) for p in long}

@@ -13,6 +13,7 @@ import numpy as np
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
+_KEPT_POWERS = (1 << 20) + (1 << 17)  # blocks of texts are about 1 MB; longer ones compute their own
 
 _bytes = np.arange(256)
 FOLD = np.where((_bytes >= 65) & (_bytes <= 90), _bytes + 32, _bytes).astype(np.uint8)
@@ -34,10 +35,10 @@ _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CD
 def _powers(base: int, n: int) -> np.ndarray:
     known = _POWERS.get(base)
     if known is None or len(known) < n:
-        known = np.full(max(n, 1 << 20), base, np.uint64)
+        known = np.full(max(n, _KEPT_POWERS), base, np.uint64)
         known[0] = 1
         np.cumprod(known, out=known)
-        if n <= 1 << 22:
+        if n <= _KEPT_POWERS:
             _POWERS[base] = known
     return known[:n]
 

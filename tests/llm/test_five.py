@@ -35,9 +35,8 @@ def test_encoder_gives_the_library_s_ids(file, style):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
-def test_full_caches_start_anew(monkeypatch):
-    monkeypatch.setattr("fundlens.llm.tokens.CACHED_PIECES", 3)
-    encoder = Encoder(WORD, "word")
+def test_full_caches_start_anew():
+    encoder = Encoder(WORD, "word", cached=3)
     for text in ("some few words here", "and other words there", "some few words here"):
         assert encoder.many([text])[0] == encoder.whole(text)
 
