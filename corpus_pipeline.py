@@ -42,7 +42,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), "word")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), "word", cached=200_000)
 
 
 STAGES = [
