@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..storage import materialize
+from ..storage import discard, materialize
 from .columns import annotate, blocks, ragged, utf8
 from .components import components
 from .words import FOLD, NOT_BLANK, mix, span_hashes, split
@@ -231,7 +231,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, words_each:
 
 
 def other_pairs(members: DataFrame, similarity: float, best: int) -> DataFrame:
-    """Pairs (a, b) in a bucket, of different components, whose sketches allow the similarity.
+    """(bucket, a, b, more): pairs of different components whose sketches allow the similarity.
 
     ``members`` has bucket, class, label, n_shingles, sketch and whole.  A task compares the
     classes of one bucket, or two blocks of a larger one, and gives out the ``best`` pairs of
@@ -264,10 +264,10 @@ def other_pairs(members: DataFrame, similarity: float, best: int) -> DataFrame:
     blocked = blocked.withColumn("_with", F.explode(F.when(F.col("_major"), major).otherwise(minor))).select("*", "_with.*")
     limit = most_ones(similarity)
     kind = members.schema["class"].dataType
-    schema = StructType([StructField("a", kind), StructField("b", kind), *StructType.fromDDL("more boolean")])
+    schema = StructType([StructField("a", kind), StructField("b", kind), *StructType.fromDDL("more boolean, bucket bigint")])
 
     def compare(key: tuple[object, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        _, cross, i, j = key
+        bucket, cross, i, j = key
         frame = frame.sort_values("class", ignore_index=True)
         bits = np.stack(frame["sketch"].to_numpy()).view(np.uint64)
         whole = np.stack(frame["whole"].to_numpy()).view(np.uint64)
@@ -289,18 +289,17 @@ def other_pairs(members: DataFrame, similarity: float, best: int) -> DataFrame:
                 low, high = np.minimum(code[near], code[r]), np.maximum(code[near], code[r])
                 found.append(np.stack([low, high, ones, np.minimum(near, r), np.maximum(near, r)]))
         if not found:
-            return pd.DataFrame(columns=["a", "b", "more"])
+            return pd.DataFrame(columns=["a", "b", "more", "bucket"])
         pairs = np.concatenate(found, 1)
         pairs = pairs[:, np.lexsort(pairs[::-1])]  # by components, nearest first
         begins = np.flatnonzero(np.concatenate([[True], (pairs[:2, 1:] != pairs[:2, :-1]).any(0)])) if pairs.shape[1] else np.zeros(0, np.int64)
         n = np.diff(np.append(begins, pairs.shape[1]))
         place = np.arange(pairs.shape[1]) - np.repeat(begins, n)
         taken = place < best
-        return pd.DataFrame({"a": name[pairs[3, taken]], "b": name[pairs[4, taken]], "more": np.repeat(n > best, n)[taken]})
+        return pd.DataFrame({"a": name[pairs[3, taken]], "b": name[pairs[4, taken]], "more": np.repeat(n > best, n)[taken], "bucket": bucket})
 
     columns = ["bucket", "_cross", "_i", "_j", "_own", "_major", "class", "label", "n_shingles", "sketch", "whole"]
-    found = blocked.select(*columns).groupBy("bucket", "_cross", "_i", "_j").applyInPandas(compare, schema)
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+    return blocked.select(*columns).groupBy("bucket", "_cross", "_i", "_j").applyInPandas(compare, schema)
 
 
 def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -333,8 +332,10 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, words_each: i
     """
     signed = materialize(signatures(documents, words_each), "signatures")
     classes = signed.where("class is not null")
-    first = classes.groupBy("class").agg(F.min("doc_id").alias("least"))
     distinct = materialize(classes.select("class", "n_shingles", "buckets", "sketch", "whole").dropDuplicates(["class"]), "classes")
+    slim = materialize(signed.select("doc_id", "n_shingles", "class"), "memberships")
+    discard(signed)
+    first = slim.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     rows = distinct.select(F.explode("buckets").alias("bucket"), "class")
     shared = rows.groupBy("bucket").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     buckets = materialize(rows.join(shared, "bucket"), "buckets")
@@ -346,27 +347,28 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, words_each: i
     labels = components(links)
 
     # A link joins two components whole, so each two are tried by their nearest pairs first.
-    # More are taken until every pair that may be linked was compared or is in one component.
+    # More are taken, in the buckets that have more, until every pair that may be linked was
+    # compared or is in one component.
     best = 64
     while True:
         members = open_buckets(buckets, labels).join(sketches, "class")
         found = materialize(other_pairs(members, similarity, best), "pairs")
-        new = materialize(found.select("a", "b").join(candidates, ["a", "b"], "left_anti"), "candidates")
-        further = not found.where("more").isEmpty()
+        new = materialize(found.select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti"), "candidates")
+        further = materialize(found.where("more").select("bucket").distinct(), "further")
         if not new.isEmpty():
             texts = class_texts(documents, first, new, words_each)
             links = materialize(links.union(confirmed(new, texts, similarity, words_each)), "links")
             candidates = candidates.union(new)
             labels = components(links)
-        if not further:
+        if further.isEmpty():
             break
+        buckets = buckets.join(further, "bucket", "left_semi")
         best *= 64
 
     placed = first.join(labels.withColumnRenamed("node", "class"), "class", "left")
     placed = placed.select("class", "least", F.coalesce("label", "class").alias("label"))
     ids = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     component = placed.join(ids, "label").select("class", "component_id")
-    slim = signed.select("doc_id", "n_shingles", "class")
     joined = slim.where("class is not null").join(component, "class").select("doc_id", "n_shingles", "component_id")
     alone = slim.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
