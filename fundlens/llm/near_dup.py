@@ -199,15 +199,14 @@ def rows_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 def class_texts(documents: DataFrame, first: DataFrame, pairs: DataFrame, words_each: int) -> DataFrame:
     """(class, text) for the classes in ``pairs``; ``first`` has the least doc_id of each.
 
-    Rows may share a doc_id and differ in text, so the class is told from the text again.
+    Rows may share a doc_id, or lack one, and differ in text, so the class is told from the
+    text again, and rows are joined by it.
     """
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    chosen = needed.join(first, "class").select(F.col("class").alias("_class"), F.col("least").alias("_least"))
-    chosen = materialize(chosen, "needed")
-    held = rows_in(documents.select("doc_id", "text"), "doc_id", chosen.select("_least"))
-    held = held.join(chosen, F.col("doc_id").eqNullSafe(F.col("_least")))
-    named = annotate(held.select("_class", "text"), ["text"], "class binary", class_of(words_each))
-    return named.where(F.col("class") == F.col("_class")).dropDuplicates(["class"]).select("class", "text")
+    chosen = materialize(needed.join(first, "class").select("class", "least"), "needed")
+    held = rows_in(documents.select("doc_id", "text"), "doc_id", chosen.select("least"))
+    named = annotate(held, ["text"], "class binary", class_of(words_each), keep=["text"])
+    return named.join(chosen.select("class"), "class", "left_semi").dropDuplicates(["class"]).select("class", "text")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, words_each: int) -> DataFrame:

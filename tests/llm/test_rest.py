@@ -201,6 +201,7 @@ def test_near_duplicates_of_odd_texts(spark, monkeypatch, words_each, block):
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", block)
     rows = list(enumerate(near_texts(words_each)))
     rows += [(3, rows[3][1]), (None, rows[8][1]), (None, "nothing like it here")]
+    rows += [(None, " ".join(f"n{k}" for k in range(40) if k != i)) for i in range(20)]
     df = spark.createDataFrame([(*r, *MORE) for r in rows], "doc_id bigint, text string" + EXTRA).repartition(4)
     found = near_dup.near_duplicates(df, 0.8, words_each)
     assert Counter(tuple(r)[:3] for r in found.collect()) == brute_groups(rows, words_each)
