@@ -301,9 +301,11 @@ def other_pairs(members: DataFrame, similarity: float, best: int) -> DataFrame:
     return blocked.select(*columns).groupBy("bucket", "_cross", "_i", "_j").applyInPandas(compare, schema)
 
 
-def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def open_buckets(buckets: DataFrame, labels: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(bucket, class, label) of buckets of three classes and more in two components and more.
 
+    ``wanted`` has the only buckets to look at, if given.
+
     Of buckets with the same classes one is enough; two are the same if their number, least
     class and two sums of 64-bit hashes agree.
     """
@@ -313,6 +315,8 @@ def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
         F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n"), F.min("class").alias("_first"),
         F.bit_xor(F.xxhash64("class")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("_y"),
     )
+    if wanted is not None:
+        mixed = mixed.join(wanted, "bucket", "left_semi")
     mixed = mixed.where("_low <> _high").groupBy("_n", "_first", "_x", "_y").agg(F.min("bucket").alias("bucket"))
     return named.join(mixed.select("bucket"), "bucket", "left_semi")
 
@@ -348,20 +352,23 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, words_each: i
     # A link joins two components whole, so each two are tried by their nearest pairs first.
     # More are taken, in the buckets that have more, until every pair that may be linked was
     # compared or is in one component.
-    best = 64
+    best, wanted = 64, None
     while True:
-        members = open_buckets(buckets, labels).join(sketches, "class")
+        members = open_buckets(buckets, labels, wanted).join(sketches, "class")
         found = materialize(other_pairs(members, similarity, best), "pairs")
         new = materialize(found.select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti"), "candidates")
-        further = materialize(found.where("more").select("bucket").distinct(), "further")
         if not new.isEmpty():
             texts = class_texts(documents, first, new, words_each)
             links = materialize(links.union(confirmed(new, texts, similarity, words_each)), "links")
             candidates = candidates.union(new)
             labels = components(links)
-        if further.isEmpty():
+        left = labels.select(F.col("node").alias("a"), F.col("label").alias("_la"))
+        right = labels.select(F.col("node").alias("b"), F.col("label").alias("_lb"))
+        apart = F.coalesce("_la", "a") != F.coalesce("_lb", "b")
+        wanted = found.where("more").join(left, "a", "left").join(right, "b", "left").where(apart)
+        wanted = materialize(wanted.select("bucket").distinct(), "further")
+        if wanted.isEmpty():
             break
-        buckets = buckets.join(further, "bucket", "left_semi")
         best *= 64
 
     placed = first.join(labels.withColumnRenamed("node", "class"), "class", "left")
