@@ -5,6 +5,8 @@ suffix of the benchmark up in that array by binary search.  The range found hold
 where the suffix occurs, its neighbours give the longest match.  Suffixes are compared up to
 the length of a window, which decides every hit, and those that cannot match two words of any
 benchmark suffix (one, for one-word windows) are left out of the array before it is sorted.
+Longest matches go on beyond the window: where whole windows were found, the words of both
+sides are sorted once more to their ends, by prefix doubling.
 
 Words are compared by 64-bit hashes; within the benchmark's vocabulary they become ranks.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .columns import annotate, blocks, ragged, utf8
+from .columns import annotate, blocks, ragged, trim, utf8
 from .words import FOLD, WORDY, span_hashes, split
 
 WINDOW = 10
@@ -65,6 +67,15 @@ def common(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return n
 
 
+def cut(packed: np.ndarray, lengths: np.ndarray, rest: int = 0) -> None:
+    """Put ``rest`` (0 or all ones) for what packed rows hold after ``lengths`` words."""
+    low = np.uint64(0xFFFFFFFF)
+    for k, pair in enumerate(packed):
+        pair[lengths <= 2 * k] = np.uint64(rest)
+        half = lengths == 2 * k + 1
+        pair[half] = (pair[half] & ~low) | (np.uint64(rest) & low)
+
+
 @dataclass
 class Benchmark:
     """Part of a benchmark, ready to be looked up: arrays only, so that it can be broadcast."""
@@ -79,7 +90,8 @@ class Benchmark:
     items_at: np.ndarray  # window i stands in items[items_at[i] : items_at[i + 1]]
     items: np.ndarray
     names: list[str]  # item_id of each item as text
-    places: np.ndarray  # suffix, item and word number of every place in the items
+    places: np.ndarray  # suffix, item, word number and words of the item, for every place in the items
+    text: np.ndarray  # ranks of the items' words, a 0 after each item
 
     @staticmethod
     def of(rows: list[tuple], depth: int) -> Benchmark:
@@ -97,9 +109,7 @@ class Benchmark:
         packed = windows_of(apart, at, depth)
         # A key after a 0 may hold the next item's words: cut it to the item.
         length = np.minimum(left, depth)
-        for k in range(0, depth, 2):
-            packed[k // 2][length <= k] = 0
-            packed[k // 2][length == k + 1] &= ~np.uint64(0xFFFFFFFF)
+        cut(packed, length)
         suffixes, inverse = np.unique(packed, axis=1, return_inverse=True)
         inverse = inverse.reshape(-1)
         lengths = np.zeros(suffixes.shape[1], np.int64)
@@ -117,7 +127,7 @@ class Benchmark:
         return Benchmark(
             depth, vocabulary, np.unique(one[lengths > 1] * size + two[lengths > 1]), single, suffixes, lengths, window,
             np.searchsorted(pairs[0], np.arange(len(lengths) + 1)), pairs[1], names,
-            np.stack([inverse, owners[item], np.arange(len(ranks)) - np.repeat(first[:-1], n)]),
+            np.stack([inverse, owners[item], np.arange(len(ranks)) - np.repeat(first[:-1], n), np.repeat(n, n)]), apart,
         )
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
@@ -161,25 +171,131 @@ class SuffixArray:
 
     def search(self, b: Benchmark) -> tuple[np.ndarray, np.ndarray]:
         """For each benchmark suffix the range of the array where it occurs."""
-        low = self._bound(b.suffixes, True)
-        top = b.suffixes.copy()
-        for k in range(0, b.depth, 2):
-            top[k // 2][b.lengths <= k] = ~np.uint64(0)
-            top[k // 2][b.lengths == k + 1] |= np.uint64(0xFFFFFFFF)
-        return low, self._bound(top, False)
+        return self._range(b.suffixes, b.lengths)
+
+    def _range(self, suffixes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        top = suffixes.copy()
+        cut(top, lengths, 0xFFFFFFFFFFFFFFFF)
+        return self._bound(suffixes, True), self._bound(top, False)
 
-    def longest(self, b: Benchmark, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words of the longest match of each benchmark suffix, and its place in the array.
+    def longest(self, b: Benchmark, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number, words, place in ``text``) of the longest match of each benchmark suffix.
 
-        The suffixes around the place where one would stand share the most words with it.
+        A suffix of which no whole window occurs counts under its own number; the places of
+        others under the number of suffixes and theirs, as what follows the window may differ.
+        Of equally long matches that of the document of least ``order`` and of the first place
+        is taken.
         """
-        best, at = np.zeros(len(low), np.int64), np.zeros(len(low), np.int64)
+        low, high = self.search(b)
+        whole = (b.lengths == b.depth) & (high > low)
+        # The suffixes around the place where one would stand share the most words with it.
+        best = np.zeros(len(low), np.int64)
         for neighbour in (low - 1, low):
-            inside = np.flatnonzero((neighbour >= 0) & (neighbour < self.keys.shape[1]))
+            inside = np.flatnonzero((neighbour >= 0) & (neighbour < self.keys.shape[1]) & ~whole)
             shared = common(self.keys[:, neighbour[inside]], b.suffixes[:, inside])
-            better = inside[shared > best[inside]]
-            best[better], at[better] = shared[shared > best[inside]], neighbour[better]
-        return best, at
+            best[inside] = np.maximum(best[inside], shared)
+        used = np.flatnonzero((best > 1) | ((best == 1) & b.window & (b.lengths == 1)))
+        keys = b.suffixes[:, used].copy()
+        cut(keys, best[used])
+        lo, hi = self._range(keys, best[used])
+        at = self.at[first_of(self._turns(self.at, order), lo, hi)]
+        place, n, far = self._beyond(b, whole, low, high, order)
+        return np.concatenate([used, len(low) + place]), np.concatenate([best[used], n]), np.concatenate([at, far])
+
+    def _turns(self, at: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Which place comes first, second, ... by its document's order and by itself."""
+        turn = np.empty(len(at), np.int64)
+        turn[np.lexsort((at, order[self.doc[np.searchsorted(self.place, at)]]))] = np.arange(len(at))
+        return turn
+
+    def _beyond(self, b: Benchmark, whole: np.ndarray, low: np.ndarray, high: np.ndarray, order: np.ndarray):
+        """(place in the benchmark, words, place in ``text``) of the longest match where a whole window occurs.
+
+        A match of n words is a chain of windows that all occur, so it lies in stretches of
+        such windows on both sides and only these are sorted.
+        """
+        place = np.flatnonzero(whole[b.places[0]])
+        if not len(place):
+            return place, place, place
+        change = np.zeros(self.keys.shape[1] + 1, np.int64)
+        np.add.at(change, low[whole], 1)
+        np.add.at(change, high[whole], -1)
+        at = np.sort(self.at[np.cumsum(change)[:-1] > 0])
+        ours, mine = stretches(b.text, np.flatnonzero(b.text)[place], b.depth)
+        theirs, other = stretches(self.text, at, b.depth)
+        ranks = doubled(np.concatenate([ours, theirs]))
+        sorted_ = np.argsort(ranks[-1][other + len(ours)])
+        at, other = at[sorted_], other[sorted_] + len(ours)
+        where = np.searchsorted(ranks[-1][other], ranks[-1][mine])
+        best = np.zeros(len(mine), np.int64)
+        for neighbour in (where - 1, where):
+            inside = np.flatnonzero((neighbour >= 0) & (neighbour < len(other)))
+            x, y, n = mine[inside], other[neighbour[inside]], np.zeros(len(inside), np.int64)
+            for k in range(len(ranks) - 1, -1, -1):
+                n += (ranks[k][x + n] == ranks[k][y + n]).astype(np.int64) << k
+            best[inside] = np.maximum(best[inside], n)
+        # The places that share all these words stand side by side around it.
+        level = np.frexp(best.astype(np.float64))[1] - 1
+        rest = best - (np.int64(1) << level.astype(np.int64))
+
+        def same(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            x, y, k, r = mine[i], other[j], level[i], rest[i]
+            # Within the array wherever the first half is the same.
+            return (ranks[k, x] == ranks[k, y]) & (ranks[k, x + r] == ranks[k, np.minimum(y + r, ranks.shape[1] - 1)])
+
+        bounds = []
+        for below in (True, False):
+            lo, hi = (np.zeros_like(where), where.copy()) if below else (where.copy(), np.full_like(where, len(other)))
+            while (open_ := np.flatnonzero(lo < hi)).size:
+                middle = (lo[open_] + hi[open_]) // 2
+                right = same(open_, middle) ^ below
+                lo[open_[right]] = middle[right] + 1
+                hi[open_[~right]] = middle[~right]
+            bounds.append(lo)
+        return place, best, at[first_of(self._turns(at, order), *bounds)]
+
+
+def stretches(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """What of ``text`` the windows from ``at`` on cover, a 0 after each stretch, and where each begins there."""
+    change = np.zeros(len(text) + 1, np.int64)
+    change[at] += 1
+    change[at + depth] -= 1
+    held = np.flatnonzero(np.cumsum(change) > 0)
+    place = np.arange(len(held)) + np.concatenate([[0], np.cumsum(np.diff(held) > 1)])
+    out = np.zeros(place[-1] + 2, np.int64)
+    out[place] = text[held]
+    return out, place[np.searchsorted(held, at)]
+
+
+def doubled(text: np.ndarray) -> np.ndarray:
+    """Row k: ranks of the 2 ** k words from each place on; in the last row no two are equal.
+
+    Each 0 is unlike any other word, so what is equal lies between two of them.
+    """
+    ends = np.flatnonzero(text == 0)
+    text = text.copy()
+    text[ends] = text.max() + 1 + np.arange(len(ends))
+    ranks, n = [np.unique(text, return_inverse=True)[1].astype(np.int32)], len(text)
+    while ranks[-1].max() + 1 < n:
+        width = 1 << (len(ranks) - 1)
+        second = np.zeros(n, np.int64)
+        second[: n - width] = ranks[-1][width:]
+        ranks.append(np.unique(ranks[-1] * np.int64(n) + second, return_inverse=True)[1].astype(np.int32))
+    return np.stack(ranks)
+
+
+def first_of(turn: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Index of the least ``turn`` in each range; no range is empty, no turn occurs twice."""
+    least, index = [turn], np.argsort(turn)
+    while 2 << (len(least) - 1) <= len(turn):
+        half = 1 << (len(least) - 1)
+        least.append(np.minimum(least[-1][:-half], least[-1][half:]))
+    out = np.zeros(len(low), np.int64)
+    level = np.frexp((high - low).astype(np.float64))[1] - 1
+    for k in np.unique(level):
+        i = np.flatnonzero(level == k)
+        out[i] = np.minimum(least[k][low[i]], least[k][high[i] - (1 << int(k))])
+    return index[out]
 
 
 def find(b: Benchmark, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -306,9 +422,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, start, n_words, doc_id, doc_start): the longest match of each benchmark suffix.
 
-    A suffix is named by its item and first word; of its words ``window`` at most are matched.
-    Of equally long matches the one of the least doc_id and first place counts.  Suffixes of
-    which no two words (one, for items of one word) occur together are not listed.
+    A suffix is named by its item and first word and goes to the item's end, as its match may;
+    ``window`` only says how many words are looked up before longer matches are told apart.
+    Of equally long matches the one of the least doc_id and first place counts, one without a
+    doc_id last.  Suffixes of which no two words (one, for items of one word) occur together
+    are not listed.
     """
     spark = documents.sparkSession
     slim = benchmark.select("item_id", "text")
@@ -318,36 +436,57 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WI
         mine = slim.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         b = Benchmark.of([(r.item_id, r.text) for r in mine.collect()], window)
         matched = documents.select("doc_id", "text").mapInArrow(_longest(spark.sparkContext.broadcast(b)), "suffix bigint, n_words bigint, doc_id bigint, doc_start bigint")
-        best = F.max(F.struct("n_words", (-F.col("doc_id")).alias("d"), (-F.col("doc_start")).alias("s")))
+        best = F.min(F.struct((-F.col("n_words")).alias("n"), F.col("doc_id").isNull().alias("_"), "doc_id", "doc_start"))
         best = matched.groupBy("suffix").agg(best.alias("m"))
-        suffix, item, start = b.places
-        listed = pa.table({"suffix": suffix.astype(np.int64), "item_id": np.array(b.names, object)[item], "start": start.astype(np.int64)}) if len(suffix) else None
-        places = spark.createDataFrame(listed) if listed else spark.createDataFrame([], "suffix bigint, item_id string, start bigint")
-        rows = places.join(best, "suffix").select("item_id", "start", "m.n_words", (-F.col("m.d")).alias("doc_id"), (-F.col("m.s")).alias("doc_start"))
+        suffix, item, start, words = b.places
+        listed = pa.table({
+            "place": np.arange(len(suffix)), "suffix": suffix.astype(np.int64), "item_id": pa.array(np.array(b.names, object)[item], pa.string()),
+            "start": start.astype(np.int64), "alone": words == 1,
+        }) if len(suffix) else None
+        places = spark.createDataFrame(listed) if listed else spark.createDataFrame([], "place bigint, suffix bigint, item_id string, start bigint, alone boolean")
+        # What is known of all places with these words, and of this one.
+        both = F.explode(F.array("suffix", F.col("place") + F.lit(len(b.lengths)))).alias("suffix")
+        rows = places.select("place", "item_id", "start", "alone", both).join(best, "suffix")
+        rows = rows.groupBy("place", "item_id", "start", "alone").agg(F.min("m").alias("m")).where("m.n < -1 or alone")
+        rows = rows.select("item_id", "start", (-F.col("m.n")).alias("n_words"), "m.doc_id", "m.doc_start")
         found = rows if found is None else found.unionByName(rows)
     return found
 
 
 def _longest(shared):
+    def best_of(rows: list[np.ndarray]) -> np.ndarray:
+        found = np.concatenate(rows, 1)
+        found = found[:, np.lexsort((found[4], found[3], found[2], -found[1], found[0]))]
+        return found[:, np.concatenate([[True], found[0, 1:] != found[0, :-1]])]
+
     def run(batches):
         b = shared.value
-        rows: list[np.ndarray] = []  # a column per suffix and block with a match
+        rows: list[np.ndarray] = []  # suffix, words, whether without a doc_id, doc_id, place
+        held = kept = 0
         for batch in batches:
+            missing = np.asarray(batch.column(0).is_null()).astype(np.int64)
             ids = np.asarray(batch.column(0).cast(pa.int64()).fill_null(0))
             data, offsets = utf8(batch.column(1))
             for lo, hi in blocks(offsets, BLOCK_BYTES):
                 hashes, first = words_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 array = SuffixArray(b, hashes, first)
-                n, at = array.longest(b, array.search(b)[0])
-                used = np.flatnonzero(n)
-                word = np.searchsorted(array.place, array.at[at[used]])
+                order = np.empty(hi - lo, np.int64)
+                order[np.lexsort((ids[lo:hi], missing[lo:hi]))] = np.arange(hi - lo)
+                suffix, n, at = array.longest(b, order)
+                if not len(suffix):
+                    continue
+                word = np.searchsorted(array.place, at)
                 doc = array.doc[word]
-                rows.append(np.stack([used, n[used], ids[lo + doc], word - first[doc]]))
-        found = np.concatenate(rows, 1) if rows else np.zeros((4, 0), np.int64)
-        order = np.lexsort((found[3], found[2], -found[1], found[0]))
-        found = found[:, order]
-        first_of = np.concatenate([[True], found[0, 1:] != found[0, :-1]]) if found.shape[1] else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found[:, first_of]], names=["suffix", "n_words", "doc_id", "doc_start"])
+                rows.append(np.stack([suffix, n, missing[lo + doc], ids[lo + doc], word - first[doc]]))
+                held += len(suffix)
+                if held > max(2 * kept, 1 << 16):
+                    rows = [best_of(rows)]
+                    held = kept = rows[0].shape[1]
+        if rows:
+            suffix, n, no_id, doc_id, at = best_of(rows)
+            columns = [pa.array(suffix), pa.array(n), pa.array(doc_id, mask=no_id > 0), pa.array(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["suffix", "n_words", "doc_id", "doc_start"])
+        trim()
 
     return run
 

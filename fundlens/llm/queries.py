@@ -174,6 +174,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@catalog.query("op4_longest_matches")
+def op4_longest(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.longest_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @catalog.query("op5_token_counts")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     file = public_tokenizers.path("byte_bpe_50k.json")

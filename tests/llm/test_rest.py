@@ -148,6 +148,38 @@ def test_longest_matches(spark, monkeypatch):
         assert texts[r.doc_id][r.doc_start : r.doc_start + r.n_words] == x
 
 
+@pytest.mark.parametrize("window", [1, 3, 10])
+def test_longest_matches_beyond_the_window(spark, monkeypatch, window):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
+    rng = random.Random(window)
+    make = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    passage = [f"p{i}" for i in range(60)]
+    items = [(0, " ".join(passage)), (1, "a b " * 30), (2, "c"), (3, "zz a"), *((i, make(rng.randint(2, 40))) for i in range(4, 16))]
+    texts = [" ".join(passage[:25]), "x y " + " ".join(passage[5:]) + " z", " ".join(passage) + " end", " ".join(passage), "a " + "b a " * 20, "zz q", None]
+    texts += [make(rng.randint(0, 50)) for _ in range(40)]
+    texts += [make(3) + " " + " ".join(t.split()[k : k + 25]) + " " + make(4) for _, t in items[4:] for k in (0, 3)]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    docs = list(zip(ids, texts)) + [(None, " ".join(passage)), (ids[2], "q " + " ".join(passage))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    found = decontaminate.longest_matches(df, spark.createDataFrame(items, "item_id bigint, text string"), window)
+    want = {}
+    words = [(d, (t or "").split()) for d, t in docs]
+    for item, text in items:
+        x = text.split()
+        for k in range(len(x)):
+            best = None
+            for d, w in words:
+                for p in range(len(w)):
+                    n = next((n for n in range(min(len(x) - k, len(w) - p)) if w[p + n] != x[k + n]), min(len(x) - k, len(w) - p))
+                    if n > 1 or (n == 1 and len(x) == 1):
+                        best = min(best or (0,), (-n, d is None, d or 0, p))
+            if best:
+                want[str(item), k] = (-best[0], None if best[1] else best[2], best[3])
+    assert {(r.item_id, r.start): (r.n_words, r.doc_id, r.doc_start) for r in found.collect()} == want
+    assert want["0", 0][0] == 60 and want["1", 0][0] > 10 and ("3", 0) not in want
+
+
 # near-duplicates
 
 
