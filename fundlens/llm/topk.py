@@ -10,11 +10,14 @@ leaf's entries hold the vector and that distance.  A search opens nodes by their
 possible distance and passes over an entry without computing its distance when the stored
 distances and the triangle inequality already rule it out.  Bounds are widened a little
 against rounding and scores are whole numbers, so results are exact, ties included.
+Vectors so large that a product might not fit a long stand apart from the trees; they are
+compared with every other one in whole numbers of any size.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from dataclasses import dataclass, field
 
@@ -32,9 +35,11 @@ TREE_ROWS = 8192
 PAGE = 128
 FAN = 16
 QUERY_BLOCK = 4096  # queries that are broadcast at a time
-LARGEST = 1 << 26  # of a component after scaling; sums of products then fit a long
+LARGEST = 1 << 26  # of a component after scaling in a tree; larger vectors stand apart
+BEYOND = 1 << 63  # a component after scaling that fits no long by itself
 SEED_ROWS = 2048  # rows that give each search its first bound
 SLACK = 1e-6
+BELOW = -(1 << 63)  # stands for every score that is too small for a long
 
 
 @dataclass
@@ -96,6 +101,11 @@ class Search:
         self.pages = [Node(v.astype(np.float64), d, r, c, i) for v, d, r, c, i in pages]
         self.computed = 0
 
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """vec_ids and vectors of the whole tree."""
+        leaves = [p for p in self.pages if p.ids is not None]
+        return np.concatenate([p.ids for p in leaves]), np.concatenate([p.pivots for p in leaves])
+
     def _far(self, score, base: float):
         return np.sqrt(np.maximum(base - 2.0 * score, 0.0))
 
@@ -137,6 +147,28 @@ class Search:
         return heapq.nsmallest(k, found, key=lambda x: (-x[0], x[1]))
 
 
+def is_large(vector: np.ndarray) -> bool:
+    """Whether its product with a vector of its kind might not fit a long."""
+    return bool(np.abs(vector).max(initial=0) > min(LARGEST, math.isqrt((1 << 62) // max(len(vector), 1))))
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size."""
+    return np.frompyfunc(int, 1, 1)(x)
+
+
+def best_of_all(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+    """The k best (score, vec_id) by products of whole numbers of any size.
+
+    A score below what a long holds is given as ``BELOW``.
+    """
+    scored = ((int(s), int(i)) for s, i in zip(vectors @ query, ids) if i != own)
+    best = heapq.nsmallest(k, scored, key=lambda x: (-x[0], x[1]))
+    if best and best[0][0] >= 1 << 63:
+        raise OverflowError(f"the score of query {own} and vector {best[0][1]} does not fit a long: {best[0][0]}")
+    return [(max(s, BELOW), i) for s, i in best]
+
+
 def scaled(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     """floor(256 * x) of each usable vector, and which rows those are."""
     rows, out = [], []
@@ -146,33 +178,37 @@ def scaled(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     for row, n in enumerate(lengths):
         vector = flat[at : at + n]
         at += n
-        if n and np.abs(vector).max() <= LARGEST:  # False for NaN, too
+        if n and np.abs(vector).max() < BEYOND:  # False for NaN, too
             rows.append(row)
             out.append(vector)
     return np.array(rows, np.int64), out
 
 
 def build(vectors: DataFrame) -> DataFrame:
-    """M-trees over ``vectors`` (vec_id, embedding), one row (dims, n, tree) each."""
+    """M-trees over ``vectors`` (vec_id, embedding), one row (dims, large, n, tree) each.
+
+    ``large`` rows hold vectors that stand apart, as (vec_ids, vectors).
+    """
 
     def run(batches):
         for batch in batches:
             ids = np.asarray(batch.column(0).cast(pa.int64()))
             rows, found = scaled(batch.column(1))
-            by_size: dict[int, list[int]] = {}
+            by_size: dict[tuple[int, bool], list[int]] = {}
             for i, v in enumerate(found):
-                by_size.setdefault(len(v), []).append(i)
-            for dims, members in by_size.items():
+                by_size.setdefault((len(v), is_large(v)), []).append(i)
+            for (dims, large), members in by_size.items():
                 for lo in range(0, len(members), TREE_ROWS):
                     part = members[lo : lo + TREE_ROWS]
-                    tree = Tree(ids[rows[part]], np.stack([found[i] for i in part]))
+                    of, held = ids[rows[part]], np.stack([found[i] for i in part])
+                    tree = pickle.dumps((of, held), 5) if large else Tree(of, held).packed()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([dims], pa.int32()), pa.array([len(part)], pa.int64()), pa.array([tree.packed()], pa.binary())],
-                        names=["dims", "n", "tree"],
+                        [pa.array([dims], pa.int32()), pa.array([large]), pa.array([len(part)], pa.int64()), pa.array([tree], pa.binary())],
+                        names=["dims", "large", "n", "tree"],
                     )
 
     usable = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("bigint"), "embedding")
-    return usable.mapInArrow(run, "dims int, n bigint, tree binary")
+    return usable.mapInArrow(run, "dims int, large boolean, n bigint, tree binary")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
@@ -180,10 +216,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
 
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on it.  Candidates are
     all rows of the query's length but those with its vec_id; ties go to the smaller vec_id.
-    Rows that are null, empty or hold a null or non-finite component, or one beyond
-    ``LARGEST`` after scaling, take no part, nor does a null vec_id.  A repeated row is a
-    candidate each time; of repeated query ids the least vector is searched.  Fewer than k
-    candidates give fewer rows, an empty table none.  Other columns are not looked at.
+    Rows that are null, empty or hold a null or non-finite component, or one that after
+    scaling fits no long by itself, take no part, nor does a null vec_id.  Products are exact at any size; a score in the result that does not fit a
+    long is an error.  A repeated row is a candidate each time; of repeated query ids the
+    least vector is searched.  Fewer than k candidates give fewer rows, an empty table none.
+    Other columns are not looked at.
 
     Trees are written once.  Queries are collected and broadcast ``QUERY_BLOCK`` at a time,
     and every tree answers each block; only k rows per query and tree are shuffled.
@@ -197,7 +234,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     queries = materialize(chosen, "queries")
     n = max(1, -(-queries.count() // QUERY_BLOCK))
     found = None
-    seed = [pickle.loads(r.tree) for r in trees.orderBy("n", F.xxhash64("tree")).limit(1).collect()]
+    seed = [pickle.loads(r.tree) for r in trees.where("not large").orderBy("n", F.xxhash64("tree")).limit(1).collect()]
     for block in range(n):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).toArrow()
         rows, usable = scaled(part.column(1).combine_chunks() if part.num_rows else pa.array([], pa.list_(pa.float32())))
@@ -207,7 +244,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         answers = trees.mapInArrow(_answers(shared, k), "query_id bigint, vec_id bigint, score bigint")
         found = answers if found is None else found.unionByName(answers)
     order = [F.desc("score"), F.asc("vec_id")]
-    return top_per_key(found, "query_id", order, k, name="rank").select("query_id", "rank", "vec_id", "score")
+    ranked = top_per_key(found, "query_id", order, k, name="rank")
+    small = F.raise_error(F.concat(F.lit("a score does not fit a long, of query "), F.col("query_id").cast("string")))
+    score = F.when(F.col("score") == F.lit(BELOW), small).otherwise(F.col("score"))
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def _first_bounds(ids: np.ndarray, vectors: list[np.ndarray], seed: list, k: int) -> np.ndarray:
@@ -218,7 +258,7 @@ def _first_bounds(ids: np.ndarray, vectors: list[np.ndarray], seed: list, k: int
         rows = np.concatenate([v for v, _ in leaves])[:SEED_ROWS].astype(np.float64)
         names = np.concatenate([i for _, i in leaves])[:SEED_ROWS]
         for q, (own, vector) in enumerate(zip(ids, vectors)):
-            if len(vector) == rows.shape[1]:
+            if len(vector) == rows.shape[1] and not is_large(vector):
                 scores = (rows @ vector)[names != own]
                 if len(scores) >= k:
                     floors[q] = np.partition(scores, len(scores) - k)[len(scores) - k] - 1
@@ -229,11 +269,19 @@ def _answers(shared, k: int):
     def run(batches):
         ids, vectors, floors = shared.value
         for batch in batches:
-            for dims, blob in zip(batch.column(0).to_pylist(), batch.column(2)):
-                tree, rows = Search(blob.as_py()), []
+            for dims, large, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
+                tree, rows, everything = None if large else Search(blob.as_py()), [], None
                 for own, vector, floor in zip(ids.tolist(), vectors, floors):
-                    if len(vector) == dims:
-                        rows += [(own, vec, score) for score, vec in tree.best(vector, own, k, floor)]
+                    if len(vector) != dims:
+                        continue
+                    if large or is_large(vector):
+                        if everything is None:
+                            of, held = pickle.loads(blob.as_py()) if large else tree.rows()
+                            everything = whole(held), of
+                        best = best_of_all(*everything, whole(vector), own, k)
+                    else:
+                        best = tree.best(vector, own, k, floor)
+                    rows += [(own, vec, score) for score, vec in best]
                 columns = zip(*rows) if rows else [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 

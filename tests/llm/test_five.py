@@ -244,6 +244,24 @@ def test_exact_top_k(spark, folder, monkeypatch):
     assert found_top(catalog.plans["op6_exact_top_k"](spark, folder)) == want
 
 
+def test_exact_top_k_of_large_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    rows += [(500, [3e5, 0.25, 0.0, 0.0]), (501, [-4e9, 3.0, 0.0, 0.0]), (502, [1e8 + 1, 7.0, 1.0, 0.0]), (550, [0.0, 0.0, 2e7, 1.0]), (551, [1e8 + 1, 7.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    ints = {i: [math.floor(256 * c) for c in x] for i, x in rows}
+    want = {}
+    for q in (0, 50, 100, 150, 200, 250, 500, 550):
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], w)), i) for i, w in ints.items() if i != q)
+        want[q] = [(i, -s) for s, i in scores[:5]]
+    assert any(i in (500, 501, 502, 550) for i, _ in want[50])
+    assert found_top(topk.top_k(df, F.col("vec_id") % 50 == 0)) == want
+    for sign in (1.0, -1.0):  # two vectors only, so a score that is too small counts as well
+        beyond = spark.createDataFrame([(0, [1e9, 1e9]), (1, [sign * 1e9, sign * 1e9])], "vec_id bigint, embedding array<double>")
+        with pytest.raises(Exception, match="does not fit a long"):
+            topk.top_k(beyond, F.col("vec_id") == 0).collect()
+
+
 def test_tree_saves_distances():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 6)) * 4000
