@@ -1,7 +1,7 @@
 """Near-duplicate groups by MinHash, with odd sketches as the filter between bands and full sets.
 
 1. Each text becomes its set of word shingles.  Equal sets are one class, known by a digest.
-2. A class has ``ROWS * BANDS`` MinHash values.  Classes whose values agree on all rows of a
+2. A class has ``ROWS * BANDS`` MinHash values, in bands by the wanted similarity.  Classes whose values agree on all rows of a
    band share a bucket.
 3. The values are also folded into an odd sketch: value i and its place are hashed to one bit
    of a bitmap, and each time that bit is flipped.  Equal values cancel, so the ones in the XOR
@@ -31,7 +31,8 @@ from .columns import annotate, blocks, ragged, utf8
 from .components import components
 from .words import FOLD, NOT_BLANK, mix, span_hashes, split
 
-BANDS, ROWS = 42, 6  # two sets of similarity 0.8 share no bucket with probability 3e-6
+BANDS, ROWS = 42, 6  # of similarity 0.8 and more; the number of values is the same for all
+MISSED = 4e-6  # at most, the probability that two sets of the wanted similarity share no bucket
 SKETCH_BITS = 1024
 SET_BITS = 2048
 BLOCK_BYTES = 1 << 20
@@ -43,6 +44,15 @@ SHIFTS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint
 PLACES = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
+def bands_for(similarity: float) -> tuple[int, int]:
+    """Bands and rows that find a pair of this similarity but for a probability of ``MISSED``."""
+    for rows in range(ROWS, 0, -1):
+        bands = BANDS * ROWS // rows
+        if (1 - similarity**rows) ** bands <= MISSED:
+            return bands, rows
+    raise ValueError(f"similarity {similarity} is too low for {BANDS * ROWS} MinHash values")
+
+
 def shingle_sets(texts: pa.Array, words_each: int):
     """Sorted hashes of the distinct shingles of each text, a block of texts at a time."""
     data, offsets = utf8(texts)
@@ -111,13 +121,14 @@ def most_apart(left, right, similarity: float):
     return (left + right) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def signatures(documents: DataFrame, words_each: int) -> DataFrame:
+def signatures(documents: DataFrame, words_each: int, similarity: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, class, buckets, sketch, whole); class is null for a text without words."""
+    bands, rows = bands_for(similarity)
 
     def start():
         def work(texts: pa.Array) -> list[pa.Array]:
             sizes, classes, keys, sketches, wholes = [], [], [], [], []
-            band = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77))
+            band = mix(np.arange(bands, dtype=np.uint64) + np.uint64(77))
             for s in shingle_sets(texts, words_each):
                 sizes.append(len(s))
                 if not len(s):
@@ -126,7 +137,7 @@ def signatures(documents: DataFrame, words_each: int) -> DataFrame:
                 classes.append(_digest(s))
                 values = min_hashes(s)
                 key = band.copy()
-                for row in values.reshape(BANDS, ROWS).T:
+                for row in values[: bands * rows].reshape(bands, rows).T:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + row)
                 keys.append(key.view(np.int64))
                 sketches.append(odd_sketch(values))
@@ -135,7 +146,7 @@ def signatures(documents: DataFrame, words_each: int) -> DataFrame:
             flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             return [
                 pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
-                ragged(flat(keys), full * BANDS, pa.int64()), ragged(flat(sketches), full * (SKETCH_BITS // 64), pa.int64()),
+                ragged(flat(keys), full * bands, pa.int64()), ragged(flat(sketches), full * (SKETCH_BITS // 64), pa.int64()),
                 ragged(flat(wholes), full * (SET_BITS // 64), pa.int64()),
             ]
 
@@ -331,9 +342,10 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, words_each: i
     are linked with nothing.  Equal sets are linked by their digest, whatever their number;
     repeated rows keep a row each.  A row without a doc_id is linked like any other and is
     never the least one unless all of its component are without.  An empty table stays empty.
-    Other columns are not looked at.
+    Other columns are not looked at.  Bands are chosen for the similarity; one for which no
+    choice misses a pair with a probability of ``MISSED`` at most (below 0.05) is an error.
     """
-    signed = materialize(signatures(documents, words_each), "signatures")
+    signed = materialize(signatures(documents, words_each, similarity), "signatures")
     classes = signed.where("class is not null")
     distinct = materialize(classes.select("class", "n_shingles", "buckets", "sketch", "whole").dropDuplicates(["class"]), "classes")
     slim = materialize(signed.select("doc_id", "n_shingles", "class"), "memberships")

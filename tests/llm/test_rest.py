@@ -241,6 +241,24 @@ def test_near_duplicates_of_odd_texts(spark, monkeypatch, words_each, block):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [30, 50])
+def test_near_duplicates_of_low_similarity(spark, percent):
+    rng = random.Random(percent)
+    rows, n = [], 60
+    for i in range(80):
+        both = -(-2 * n * percent // (100 + percent))  # two sets of n words with about this similarity
+        words = [f"w{i}x{k}" for k in range(2 * n - both)]
+        rows += [(2 * i, " ".join(words[:n])), (2 * i + 1, " ".join(words[n - both :]))]
+    rng.shuffle(rows)
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), percent / 100, 1)
+    want = brute_groups(rows, 1, percent)
+    assert Counter(tuple(r)[:3] for r in found.collect()) == want
+    assert len({c for _, _, c in want}) == 80
+    assert near_dup.bands_for(0.8) == (42, 6)
+    with pytest.raises(ValueError):
+        near_dup.bands_for(0.01)
+
+
 def test_near_duplicates_of_documents(spark):
     folder = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in table(spark, folder, "documents").collect()]
