@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Catalog
-from . import chat, decontaminate, near_dup, packing, pii, quality, sharding, token_counts, topk, url_filter
+from . import (
+    chat, decontaminate, near_dup, packing, pii, quality, sharding, token_counts, topk, url_filter, whitening,
+)
 
 catalog = Catalog()
 
@@ -209,3 +211,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     file = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table(spark, folder, "documents"), file, "word")
+
+
+@catalog.query("op13_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, folder, "embeddings"))
