@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Catalog
 from . import (
-    chat, decontaminate, near_dup, packing, pii, quality, sharding, token_counts, topk, url_filter, whitening,
+    chat, decontaminate, near_dup, packing, pii, quality, repair, sharding, token_counts, topk, url_filter, whitening,
 )
 
 catalog = Catalog()
@@ -213,6 +213,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), file, "word")
 
 
+@catalog.query("op11_conversation_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.damaged_and_repaired(table(spark, folder, "conversations"))
+
+
 @catalog.query("op13_whitening")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened_rows(table(spark, folder, "embeddings"))
