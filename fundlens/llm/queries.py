@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Catalog
 from . import (
-    chat, decontaminate, near_dup, packing, pii, quality, repair, sharding, token_counts, topk, url_filter, whitening,
+    chat, decontaminate, extraction, near_dup, packing, pii, quality, repair, sharding, token_counts, topk, url_filter, whitening,
 )
 
 catalog = Catalog()
@@ -218,6 +218,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return repair.damaged_and_repaired(table(spark, folder, "conversations"))
 
 
+@catalog.query("op12_html_extraction")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract(table(spark, folder, "pages"))
+
+
 @catalog.query("op13_whitening")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened_rows(table(spark, folder, "embeddings"))
