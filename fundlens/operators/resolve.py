@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .ordering import first_by
 from .quality import check_business, check_document_shape, check_shape
 
@@ -25,12 +27,15 @@ def resolve_base_date(
 ) -> DataFrame:
     """Newest available date at or before the request, within the look-back.
 
-    ``requests``: etf_code, requested_date and optionally anchor_date and a
-    lookback_days column of at most ``lookback_days``.  ``available``: etf_code, date.
+    ``requests``: etf_code, requested_date and optionally anchor_date, lookback_days (any
+    number of days; the argument where it is null) and attempted (false: NOT_ATTEMPTED, with
+    no date and no look-back).  ``available``: etf_code, date.
 
-    Each available date covers itself and the days after it, and the newest one
-    covering a day is kept.  Requests then meet it by plain equality, so neither
-    a fund with many requests nor one with many dates needs a task to itself.
+    Days asked for and days available are first reduced to one row per fund and day; a window
+    per fund then carries the newest available day along.  So a window has at most as many
+    rows as the calendar has days, however many requests a fund has and however far they look
+    back.  The days are written once, so that requests meet them by a plain equality join,
+    which splits a fund and day with very many requests.
     """
     start = F.col("requested_date")
     if "anchor_date" in requests.columns:
@@ -38,44 +43,31 @@ def resolve_base_date(
     start = F.coalesce(start, today if today is not None else F.current_date())
     allowed = F.lit(lookback_days)
     if "lookback_days" in requests.columns:
-        given = F.coalesce(F.col("lookback_days"), allowed)
-        message = F.lit(f"lookback_days above {lookback_days}: raise the argument")
-        allowed = F.when(given > lookback_days, F.raise_error(message).cast("int")).otherwise(given)
-    steps = F.explode(F.array(*[F.lit(i) for i in range(lookback_days + 1)]))
-    newest = (
-        available.select("etf_code", F.col("date").alias("_found"))
-        .distinct()
-        .withColumn("_step", steps)
-        .select("etf_code", F.date_add("_found", F.col("_step")).alias("_day"), "_found")
-        .groupBy("etf_code", "_day")
-        .agg(F.max("_found").alias("_found"))
+        allowed = F.coalesce(F.col("lookback_days"), allowed)
+    tried = F.coalesce(F.col("attempted"), F.lit(True)) if "attempted" in requests.columns else F.lit(True)
+    asked = requests.withColumns({"_day": start, "_allowed": allowed, "_tried": tried})
+    days = available.select("etf_code", F.col("date").alias("_day"), F.lit(True).alias("_there")).unionByName(
+        asked.where("_tried").select("etf_code", "_day", F.lit(False).alias("_there"))
     )
-    asked = requests.withColumn("_day", start).withColumn("_allowed", allowed)
+    days = days.where("_day is not null").groupBy("etf_code", "_day").agg(F.max("_there").alias("_there"))
+    so_far = W.partitionBy("etf_code").orderBy("_day").rowsBetween(W.unboundedPreceding, W.currentRow)
+    newest = F.last(F.when(F.col("_there"), F.col("_day")), ignorenulls=True).over(so_far)
+    found = days.select("etf_code", "_day", newest.alias("_found"), F.lit(True).alias("_tried")).where("_found is not null")
     distance = F.date_diff("_day", "_found")
     hit = F.coalesce(distance <= F.col("_allowed"), F.lit(False))
-    kept = [c for c in requests.columns if c not in ("lookback_days", "anchor_date")]
-    return asked.join(newest, ["etf_code", "_day"], "left").select(
+    kept = [c for c in requests.columns if c not in ("lookback_days", "anchor_date", "attempted")]
+    return asked.join(materialize(found, "newest-days"), ["etf_code", "_day", "_tried"], "left").select(
         *kept,
         F.when(hit, F.col("_found")).alias("resolved_base_date"),
-        F.when(hit, distance).otherwise(F.col("_allowed")).alias("lookback_days"),
-        F.when(hit & (distance == 0), "EXACT")
+        F.when(hit, distance).when(F.col("_tried"), F.col("_allowed")).alias("lookback_days"),
+        F.when(~F.col("_tried"), "NOT_ATTEMPTED")
+        .when(hit & (distance == 0), "EXACT")
         .when(hit, "RESOLVED_PRIOR")
         .otherwise("UNRESOLVED")
         .alias("date_status"),
     )
 
 
-def not_attempted(requests: DataFrame) -> DataFrame:
-    """Requests whose source could not be asked at all."""
-    return requests.select(
-        "etf_code",
-        "requested_date",
-        F.lit(None).cast("date").alias("resolved_base_date"),
-        F.lit(None).cast("int").alias("lookback_days"),
-        F.lit("NOT_ATTEMPTED").alias("date_status"),
-    )
-
-
 def priority_of(provider: Column | str, priority: Sequence[str] = PROVIDER_PRIORITY) -> Column:
     column = F.col(provider) if isinstance(provider, str) else provider
     listed = F.array(*[F.lit(p) for p in priority])
@@ -152,8 +144,48 @@ def resolve_holdings(
     )
 
 
+#: What is kept of a judged attempt.
+_JUDGED = ("provider", "listed", "outcome", "usable", "row_count", "business_warnings")
+
+
+def resolve_in_rounds(
+    attempts: DataFrame,
+    raw: DataFrame,
+    normalize: Callable[[DataFrame], DataFrame],
+    keys: Sequence[str],
+    priority: Sequence[str] = PROVIDER_PRIORITY,
+) -> DataFrame:
+    """:func:`resolve_holdings`, asking a provider only for documents none before it settled.
+
+    One round per provider, in order: its rows in ``raw`` (a filter that reaches the scan, or
+    picks its partition) are normalized and judged for the documents still open.  Providers
+    without a place in ``priority`` share the last round.  A round's outcomes are written, one
+    row per attempt, and close documents for the rounds after it.
+    """
+    keys = list(keys)
+    rounds = [F.col("provider") == p for p in priority] + [~F.coalesce(F.col("provider").isin(*priority), F.lit(False))]
+    asked_for = {r.provider for r in attempts.select("provider").distinct().collect()}
+    wanted = [bool(p in asked_for) for p in priority] + [bool(asked_for - set(priority))]
+    judged = None
+    for theirs in [condition for condition, there in zip(rounds, wanted) if there]:
+        asked, rows = attempts.where(theirs), raw.where(theirs)
+        if judged is not None:
+            settled = judged.where("usable").select(*keys)
+            asked = asked.join(settled, keys, "left_anti")
+            rows = rows.join(settled, keys, "left_anti")
+        outcome = check_attempts(asked, normalize(rows), keys).select(*keys, *_JUDGED)
+        outcome = materialize(outcome, "judged")
+        judged = outcome if judged is None else judged.unionByName(outcome)
+    if judged is None:
+        judged = check_attempts(attempts, normalize(raw), keys).select(*keys, *_JUDGED)
+    return resolve_holdings(judged, keys, priority)
+
+
 def winning_rows(documents: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows of each document's winner, and of nobody else."""
+    """The rows of each document's winner, and of nobody else.
+
+    ``rows`` may be raw ones still; only those of winners then need to be normalized.
+    """
     winners = documents.where(F.col("status") != "UNRESOLVED").select(*keys, "provider")
     return rows.join(winners, [*keys, "provider"], "left_semi")
 

@@ -52,6 +52,49 @@ def base_date_asof(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@catalog.query(
+    "base_date_lookback",
+    f"""WITH requests AS (
+  SELECT DISTINCT o_custkey, CAST(l_shipdate AS DATE) AS d, l_returnflag AS flag,
+         CASE l_linenumber % 3 WHEN 0 THEN 0 WHEN 1 THEN 7 ELSE 400 END AS allowed
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+days AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS found FROM orders),
+hits AS (
+  SELECT r.*, CASE WHEN flag <> 'R' AND d - found <= allowed THEN found END AS found
+  FROM requests r ASOF LEFT JOIN days a ON a.o_custkey = r.o_custkey AND d >= found)
+SELECT {q.code('o_custkey')} AS etf_code, CASE WHEN flag <> 'N' THEN strftime(d, '%Y-%m-%d') END AS requested_date,
+       strftime(found, '%Y-%m-%d') AS resolved_base_date,
+       CASE WHEN flag <> 'R' THEN CAST(coalesce(date_diff('day', found, d), allowed) AS INTEGER) END AS lookback_days,
+       CASE WHEN flag = 'R' THEN 'NOT_ATTEMPTED' WHEN found IS NULL THEN 'UNRESOLVED'
+            WHEN found = d THEN 'EXACT' ELSE 'RESOLVED_PRIOR' END AS date_status
+FROM hits""",
+)
+def base_date_lookback(spark: SparkSession, folder: str) -> DataFrame:
+    """Look-backs of 0, 7 and 400 days; open lines have an anchor only, returned ones are not asked for."""
+    orders = tables.read(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = tables.read(spark, folder, "lineitem").select("l_orderkey", "l_shipdate", "l_returnflag", "l_linenumber")
+    day, flag = F.col("l_shipdate").cast("date"), F.col("l_returnflag")
+    step = F.col("l_linenumber") % 3
+    requests = (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(
+            tables.code_of("o_custkey").alias("etf_code"),
+            F.when(flag != "N", day).alias("requested_date"),
+            F.when(flag == "N", day).alias("anchor_date"),
+            F.when(step == 0, 0).when(step == 1, 7).otherwise(400).alias("lookback_days"),
+            (flag != "R").alias("attempted"),
+        )
+        .distinct()
+    )
+    available = orders.select(
+        tables.code_of("o_custkey").alias("etf_code"), F.col("o_orderdate").cast("date").alias("date")
+    )
+    resolved = resolve.resolve_base_date(requests, available)
+    return resolved.withColumns(
+        {c: F.date_format(c, "yyyy-MM-dd") for c in ("requested_date", "resolved_base_date")}
+    )
+
+
 _ROWS = f"""provider_rows AS (
   SELECT {q.code('l_orderkey')} AS etf_code,
          {q.case('l_returnflag', tables.PROVIDER_OF_FLAG)} AS provider,
@@ -188,11 +231,9 @@ resolved AS (
 _PROVIDER_SQL = q.given(_ROWS, _judged_sql("etf_code, provider"), _RESOLVED)
 
 
-def resolved_documents(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
-    rows = provider_rows(spark, folder) if rows is None else rows
-    attempts = tables.provider_attempts(spark, folder)
-    checked = resolve.check_attempts(attempts, rows, KEYS)
-    return resolve.resolve_holdings(checked, KEYS)
+def resolved_documents(spark: SparkSession, folder: str) -> DataFrame:
+    raw = tables.raw_provider_rows(spark, folder)
+    return resolve.resolve_in_rounds(tables.provider_attempts(spark, folder), raw, holding_ops.normalize_columns, KEYS)
 
 
 @catalog.query(
@@ -234,12 +275,10 @@ def provider_failures(spark: SparkSession, folder: str) -> DataFrame:
 JOIN resolved d ON r.etf_code = d.etf_code AND r.provider = d.provider WHERE d.status <> 'UNRESOLVED'""",
 )
 def winning_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows are normalized once and written; judging and picking both read that table."""
-    rows = materialize(provider_rows(spark, folder), "provider-rows")
-    winners = resolved_documents(spark, folder, rows)
-    return resolve.winning_rows(winners, rows, KEYS).select(
-        "etf_code", "provider", "asset_code", "weight_pct", "rank"
-    )
+    """Of the raw rows only winners' are normalized; judging looked at open documents alone."""
+    won = materialize(resolved_documents(spark, folder).select(*KEYS, "provider", "status"), "winners")
+    raw = resolve.winning_rows(won, tables.raw_provider_rows(spark, folder), KEYS)
+    return holding_ops.normalize_columns(raw).select("etf_code", "provider", "asset_code", "weight_pct", "rank")
 
 
 @catalog.query(

@@ -77,3 +77,27 @@ SELECT code, age_seconds FROM aged WHERE age_seconds >= 21600""",
 def stale_keys(spark: SparkSession, folder: str) -> DataFrame:
     now = F.lit(FRESHNESS_NOW).cast("timestamp_ntz").cast("timestamp")
     return stream_ops.stale_keys(latest_table(spark, folder), now, 6 * 3600).drop("ts")
+
+
+_LIMIT_HOURS = 6
+
+
+@catalog.query(
+    "stale_events",
+    q.given(q.TICKS)
+    + f""", marked AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS mark FROM ticks),
+closed AS (
+  SELECT code, ts, mark, lag(ts) OVER w AS before, lead(ts) OVER w AS after FROM ticks, marked
+  WHERE time_bucket(INTERVAL {_LIMIT_HOURS} HOURS, ts, TIMESTAMP '1970-01-01') + INTERVAL {_LIMIT_HOURS} HOURS <= mark
+  WINDOW w AS (PARTITION BY code ORDER BY ts))
+SELECT code, 'stale' AS state, strftime(ts + INTERVAL {_LIMIT_HOURS} HOURS, '%Y-%m-%d %H:%M:%S') AS at FROM closed
+WHERE coalesce(after - ts >= INTERVAL {_LIMIT_HOURS} HOURS, ts + INTERVAL {_LIMIT_HOURS} HOURS <= mark)
+UNION ALL SELECT code, 'returned', strftime(ts, '%Y-%m-%d %H:%M:%S') FROM closed
+WHERE ts - before >= INTERVAL {_LIMIT_HOURS} HOURS""",
+)
+def stale_events(spark: SparkSession, folder: str) -> DataFrame:
+    """When each code fell silent for six hours and when it was heard again, as the stream found it."""
+    watched = stream_ops.watch_stale(tick_stream(spark, folder), _LIMIT_HOURS * 3600, "1 hour")
+    with stream_ops.rocksdb(spark):
+        events = stream_ops.run_to_table(watched, "stale-events")
+    return events.select("code", "state", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))

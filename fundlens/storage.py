@@ -75,6 +75,30 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in system.listStatus(where)]
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, such as a manifest."""
+    where, system = _file_system(spark, path)
+    stream = system.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small text file in place at once: readers see the old one, none, or all of the new one."""
+    where, system = _file_system(spark, path)
+    part, _ = _file_system(spark, f"{path.rsplit('/', 1)[0]}/_part-{uuid.uuid4().hex}")
+    stream = system.create(part, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    system.delete(where, False)
+    if not system.rename(part, where):
+        raise OSError(f"cannot write {path}")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where, system = _file_system(spark, path)
     system.delete(where, True)

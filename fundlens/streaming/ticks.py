@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.bars import bar_columns
 from ..operators.ordering import first_by
-from ..storage import delete, folder_names, new_path
+from ..storage import delete, discard, folder_names, materialize, new_path, read_text, write_text
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int | None = None) -> DataFrame:
@@ -42,35 +47,69 @@ def latest_of(ticks: DataFrame) -> DataFrame:
     return first_by(ticks, "code", F.col("ts").desc(), F.col("tick_id").desc())
 
 
+#: Buckets of the latest-quote table; each is rewritten only by a batch that has one of its keys.
+BUCKETS = 64
+
+
 class LatestQuotes:
     """Keeps the newest tick per code as a table, upserted once per micro-batch.
 
-    Every batch writes a version named by its batch id, merged from the version
-    before it.  A batch that runs again after a failure reads the same previous
-    version and overwrites its own, so nothing is lost or counted twice, and a
-    restarted driver finds the state on disk.  Two versions are kept.
+    Codes are dealt to buckets by a hash.  A batch reads and rewrites the buckets of its own
+    codes and leaves all others alone: it writes ``bucket=.../version=<batch id>`` by dynamic
+    partition overwrite, and then one small manifest that names the version of every bucket.
+    Readers follow the newest manifest, so they never see half a batch.  A batch that runs
+    again after a failure starts from the manifest before it and overwrites its own version:
+    nothing is lost or counted twice, and a restarted driver finds the state on disk.  What
+    the last two manifests do not name is deleted.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS) -> None:
+        self.spark, self.buckets = spark, buckets
         self.path = path or new_path(spark, "latest")
 
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/version={version}"
+    def _manifest(self, version: int) -> dict:
+        return json.loads(read_text(self.spark, f"{self.path}/manifest/{version}"))
 
     def versions(self) -> list[int]:
-        names = folder_names(self.spark, self.path)
-        return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+        """Batches whose manifest is there; the last one is current."""
+        names = folder_names(self.spark, f"{self.path}/manifest")
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _folder(self, bucket: int | str, version: int) -> str:
+        return f"{self.path}/bucket={bucket}/version={version}"
+
+    def _read(self, manifest: dict, buckets: Iterable[int | str]) -> DataFrame:
+        schema = StructType.fromJson(manifest["schema"])
+        folders = [self._folder(b, manifest["versions"][str(b)]) for b in buckets if str(b) in manifest["versions"]]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*folders)
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        merged = latest_of(batch)
         before = [v for v in self.versions() if v < batch_id]
-        if before:
-            previous = self.spark.read.schema(batch.schema).parquet(self._folder(before[-1]))
-            merged = latest_of(previous.unionByName(merged))
-        merged.write.mode("overwrite").parquet(self._folder(batch_id))
-        for version in before[:-1]:
-            delete(self.spark, self._folder(version))
+        manifest = self._manifest(before[-1]) if before else {"buckets": self.buckets, "schema": batch.schema.jsonValue(), "versions": {}}
+        # A hot code leaves one row per task before anything is shuffled.
+        newest = materialize(latest_of(batch), "latest-batch")
+        bucket = F.pmod(F.hash("code"), F.lit(manifest["buckets"])).alias("bucket")
+        touched = sorted(r.bucket for r in newest.select(bucket).distinct().collect())
+        if touched:
+            both = self._read(manifest, touched).unionByName(newest).select("*", bucket, F.lit(batch_id).alias("version"))
+            # A bucket goes to one task and one file; choosing the newest needs no further shuffle.
+            merged = first_by(both.repartition("bucket"), ["bucket", "code"], F.col("ts").desc(), F.col("tick_id").desc())
+            writer = merged.write.partitionBy("bucket", "version").mode("overwrite")
+            writer.option("partitionOverwriteMode", "dynamic").parquet(self.path)
+        discard(newest)
+        versions = manifest["versions"] | {str(b): batch_id for b in touched}
+        write_text(self.spark, f"{self.path}/manifest/{batch_id}", json.dumps(manifest | {"versions": versions}))
+        self._forget([*before, batch_id])
+
+    def _forget(self, versions: list[int]) -> None:
+        for old, following in zip(versions[:-2], versions[1:-1]):
+            kept = self._manifest(following)["versions"]
+            for bucket, version in self._manifest(old)["versions"].items():
+                if kept[bucket] != version:
+                    delete(self.spark, self._folder(bucket, version))
+            delete(self.spark, f"{self.path}/manifest/{old}")
 
     def start(self, ticks: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """Start or resume from ``checkpoint``; without a trigger, take what there is and stop."""
@@ -85,7 +124,8 @@ class LatestQuotes:
         versions = self.versions()
         if not versions:
             raise ValueError("no batch has been processed")
-        return self.spark.read.parquet(self._folder(versions[-1]))
+        manifest = self._manifest(versions[-1])
+        return self._read(manifest, manifest["versions"])
 
 
 def stale_keys(latest: DataFrame, now: Column, limit_seconds: int) -> DataFrame:
@@ -96,6 +136,94 @@ def stale_keys(latest: DataFrame, now: Column, limit_seconds: int) -> DataFrame:
     )
 
 
+def quiet_spans(ticks: DataFrame, limit_seconds: int, late: str = "1 hour") -> DataFrame:
+    """First and last tick per code and window of ``limit_seconds``.
+
+    No silence within such a window can be that long, so these two ticks are all that
+    :class:`StaleWatch` needs of it, however many there were.
+    """
+    window = F.window("ts", f"{limit_seconds} seconds")
+    return ticks.withWatermark("ts", late).groupBy("code", window).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+class StaleWatch(StatefulProcessor):
+    """Per code: silent for the limit -> one ``stale`` row; heard again -> one ``returned`` row.
+
+    State is the last tick, whether the code is stale, and since when it waits.  A timer in
+    event time runs from the last tick to the limit, so a code that never trades again is
+    reported too; ``forget_seconds`` after that its state is dropped, and a later tick then
+    counts as the first.
+    """
+
+    def __init__(self, limit_seconds: int, forget_seconds: int | None = None) -> None:
+        self.limit, self.forget = limit_seconds * 1000, None if forget_seconds is None else forget_seconds * 1000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "last long, stale boolean")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - Spark's names
+        spans = sorted((r.first, r.last) for r in rows)
+        known = self.seen.get() if self.seen.exists() else None
+        last, stale = known if known else (None, False)
+        for first, final in spans:
+            if last is not None:
+                if not stale and first - last >= self.limit * 1000:
+                    yield self._row(key, "stale", last + self.limit * 1000)
+                    stale = True
+                if stale:
+                    yield self._row(key, "returned", first)
+            last, stale = max(final, last or final), False
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.seen.update((last, stale))
+        self.handle.registerTimer(last // 1000 + self.limit)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        last, stale = self.seen.get()
+        if stale:
+            self.seen.clear()
+            return
+        yield self._row(key, "stale", last + self.limit * 1000)
+        self.seen.update((last, True))
+        if self.forget is not None:
+            self.handle.registerTimer(last // 1000 + self.limit + self.forget)
+
+    @staticmethod
+    def _row(key, state: str, micros: int) -> Row:
+        return Row(code=key[0], state=state, at=micros)
+
+    def close(self) -> None:
+        pass
+
+
+def watch_stale(ticks: DataFrame, limit_seconds: int, late: str = "1 hour", forget_seconds: int | None = None) -> DataFrame:
+    """(code, state, at) whenever a code goes stale or returns, each once, in event time.
+
+    A window's ticks count once the watermark has passed its end.  The session's state store
+    must be RocksDB (:func:`rocksdb`).
+    """
+    spans = quiet_spans(ticks, limit_seconds, late)
+    slim = spans.select("code", "window", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"))
+    events = slim.groupBy("code").transformWithState(
+        statefulProcessor=StaleWatch(limit_seconds, forget_seconds),
+        outputStructType="code string, state string, at long", outputMode="Append", timeMode="EventTime",
+    )
+    return events.select("code", "state", F.timestamp_micros("at").alias("at"))
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, as timers and :class:`StaleWatch` need."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def run_to_table(
     stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None
 ) -> DataFrame:

@@ -236,12 +236,79 @@ def test_base_dates(spark, requested, anchor, days, lookback, expected):
     assert got.requested_date == parse(requested)
 
 
-def test_base_date_refuses_a_longer_look_back_than_it_covers(spark):
-    requests = spark.createDataFrame([("1", dt.date(2026, 7, 1), 30)], "etf_code string, requested_date date, lookback_days int")
-    available = spark.createDataFrame([("1", dt.date(2026, 6, 5))], "etf_code string, date date")
-    with pytest.raises(Exception, match="lookback_days above 7"):
-        resolve.resolve_base_date(requests, available).collect()
-    assert resolve.resolve_base_date(requests, available, lookback_days=30).first().lookback_days == 26
+def test_base_dates_of_any_look_back_in_one_table(spark):
+    day = dt.date(2026, 7, 1)
+    requests = spark.createDataFrame(
+        [("1", day, 30, True), ("1", day, 400, None), ("1", day, 0, True), ("1", day, None, True), ("1", day, 9, False), (None, day, 5, True), ("2", None, 1, True)],
+        "etf_code string, requested_date date, lookback_days int, attempted boolean",
+    )
+    available = spark.createDataFrame(
+        [("1", dt.date(2026, 6, 5)), ("1", dt.date(2026, 6, 5)), ("1", None), (None, day), ("2", dt.date(1999, 1, 1))], "etf_code string, date date"
+    )
+    got = resolve.resolve_base_date(requests.repartition(5), available, today=F.lit(dt.date(1999, 1, 2)))
+    assert sorted((r.etf_code or "", str(r.resolved_base_date), r.lookback_days or 0, r.date_status) for r in got.collect()) == [
+        ("", "None", 5, "UNRESOLVED"), ("1", "2026-06-05", 26, "RESOLVED_PRIOR"), ("1", "2026-06-05", 26, "RESOLVED_PRIOR"),
+        ("1", "None", 0, "NOT_ATTEMPTED"), ("1", "None", 0, "UNRESOLVED"), ("1", "None", 7, "UNRESOLVED"), ("2", "1999-01-01", 1, "RESOLVED_PRIOR")]
+
+
+def test_base_dates_copy_no_date(spark, monkeypatch):
+    """What is written has one row per fund and day, whatever the look-back."""
+    written = []
+    real = resolve.materialize
+    monkeypatch.setattr(resolve, "materialize", lambda df, label: written.append(real(df, label)) or written[-1])
+    requests = spark.createDataFrame([("1", dt.date(2026, 7, d % 20 + 1), 4000) for d in range(500)], "etf_code string, requested_date date, lookback_days int")
+    available = spark.createDataFrame([("1", dt.date(2020, 1, d + 1)) for d in range(30)], "etf_code string, date date")
+    got = resolve.resolve_base_date(requests, available)
+    assert written[0].count() == 50 and {str(r.resolved_base_date) for r in got.collect()} == {"2020-01-30"}
+
+
+def _documents(spark):
+    """Three documents: settled by the first provider, by the second, by none; and one of an unlisted provider."""
+    attempts = spark.createDataFrame(
+        [(d, p, i) for d in ("000001", "000002", "000003", "000004") for i, p in enumerate(["MOCK", "SEIBRO", "PYKRX", "KRX_DIRECT"])],
+        "etf_code string, provider string, listed int",
+    )
+    rows = []
+    for p in ("PYKRX", "KRX_DIRECT", "SEIBRO", "MOCK"):
+        rows.append(("000001", p, "000660", "a", "50"))
+        if p != "PYKRX":
+            rows.append(("000002", p, "000660", "a", "60"))
+        if p == "MOCK":
+            rows.append(("000004", p, "000660", "a", "1"))
+        else:
+            rows.append(("000004", p, "000660", None, "1"))
+    raw = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "etf_code string, provider string, code string, name string, weight string, pos int")
+    return attempts, raw
+
+
+def test_rounds_agree_with_judging_everything(spark):
+    attempts, raw = _documents(spark)
+    whole = resolve.resolve_holdings(resolve.check_attempts(attempts, holdings.normalize_columns(raw), ["etf_code"]), ["etf_code"])
+    rounds = resolve.resolve_in_rounds(attempts, raw, holdings.normalize_columns, ["etf_code"])
+    assert sorted(rounds.collect(), key=str) == sorted(whole.collect(), key=str)
+    found = {r.etf_code: (r.provider, r.status, r.is_fallback) for r in rounds.collect()}
+    assert found == {
+        "000001": ("PYKRX", "OK", False), "000002": ("KRX_DIRECT", "OK", True),
+        "000003": ("MOCK", "UNRESOLVED", False), "000004": ("MOCK", "OK", True)}
+    won = resolve.winning_rows(rounds, raw, ["etf_code"])
+    assert sorted((r.etf_code, r.provider) for r in won.collect()) == [("000001", "PYKRX"), ("000002", "KRX_DIRECT"), ("000004", "MOCK")]
+
+
+def test_later_rounds_normalize_open_documents_only(spark):
+    attempts, raw = _documents(spark)
+    seen = []
+
+    def counted(rows):
+        seen.append(sorted(r.etf_code for r in rows.collect()))
+        return holdings.normalize_columns(rows)
+
+    resolve.resolve_in_rounds(attempts, raw, counted, ["etf_code"]).collect()
+    assert seen == [["000001", "000004"], ["000002", "000004"], ["000004"], ["000004"]]
+
+
+def test_no_attempts(spark):
+    attempts, raw = _documents(spark)
+    assert resolve.resolve_in_rounds(attempts.limit(0), raw, holdings.normalize_columns, ["etf_code"]).collect() == []
 
 
 def test_capability_modes(spark):

@@ -160,6 +160,75 @@ def test_stream_latest_merges_batches_and_repeats_safely(spark, tmp_path):
     assert {r.code for r in stale.collect()} == {"b", "c", "d"}
 
 
+def test_latest_quotes_rewrite_touched_buckets_only(spark):
+    latest = stream_ops.LatestQuotes(spark, buckets=16)
+    rows = [(f"c{i}", at(9), i, float(i), 1) for i in range(200)]
+    latest.upsert(spark.createDataFrame(rows, TICK), 0)
+    assert len(latest._manifest(0)["versions"]) == 16
+    change = spark.createDataFrame([("c7", at(10), 900, 70.0, 1), ("c7", at(10), 901, 71.0, 1), ("c9", at(8), 902, 9.9, 1)], TICK)
+
+    def files():
+        return {f for b in range(16) for f in storage.folder_names(spark, f"{latest.path}/bucket={b}")}
+
+    for _ in range(2):  # the batch and its repetition
+        latest.upsert(change, 1)
+        versions = latest._manifest(1)["versions"]
+        assert 1 <= sum(v == 1 for v in versions.values()) <= 2
+        assert files() == {"version=0", "version=1"}
+    written = [b for b in range(16) if "version=1" in storage.folder_names(spark, f"{latest.path}/bucket={b}")]
+    assert [str(b) for b in written] == sorted((b for b, v in versions.items() if v == 1), key=int)
+    assert all(len([n for n in storage.folder_names(spark, f"{latest.path}/bucket={b}/version=1") if n.startswith("part")]) == 1 for b in written)
+    expected = {code: price for code, _, _, price, _ in rows} | {"c7": 71.0}
+    assert {r.code: r.price for r in latest.table().collect()} == expected
+    latest.upsert(spark.createDataFrame([], TICK), 2)
+    latest.upsert(spark.createDataFrame([(None, at(1), 1, 5.0, 1)], TICK), 3)
+    again = stream_ops.LatestQuotes(spark, latest.path, buckets=3)  # the stored number of buckets counts
+    assert {r.code: r.price for r in again.table().collect()} == expected | {None: 5.0}
+    assert again.versions() == [2, 3]
+    touched = {b for b in range(16) if storage.folder_names(spark, f"{latest.path}/bucket={b}") == ["version=1"]}
+    assert touched  # what no manifest names any more is gone
+
+
+def test_half_a_batch_is_not_seen(spark):
+    latest = stream_ops.LatestQuotes(spark, buckets=4)
+    latest.upsert(spark.createDataFrame([("a", at(9), 1, 1.0, 1)], TICK), 0)
+    real = stream_ops.write_text
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    stream_ops.write_text = lost
+    try:
+        with pytest.raises(RuntimeError):
+            latest.upsert(spark.createDataFrame([("a", at(10), 2, 2.0, 1)], TICK), 1)
+    finally:
+        stream_ops.write_text = real
+    assert [r.price for r in latest.table().collect()] == [1.0]
+    latest.upsert(spark.createDataFrame([("a", at(10), 2, 2.0, 1)], TICK), 1)
+    assert [r.price for r in latest.table().collect()] == [2.0]
+
+
+def test_stale_watch_over_two_restarts(spark, tmp_path):
+    source, checkpoint, path = tmp_path / "t", storage.new_path(spark, "test-stale"), storage.new_path(spark, "test-stale-out")
+    source.mkdir()
+    stream = spark.readStream.schema(TICK).parquet(str(source))
+    watched = stream_ops.watch_stale(stream, 3600, "10 minutes", forget_seconds=86400)
+
+    def run(rows):
+        write_ticks(spark, source, rows)
+        with stream_ops.rocksdb(spark):
+            table = stream_ops.run_to_table(watched, "stale", path, checkpoint)
+        return sorted((r.code, r.state, r.at.strftime("%d %H:%M")) for r in table.collect())
+
+    first = run([("a", at(9), 1, 1.0, 1), ("a", at(9, 59), 2, 1.0, 1), ("b", at(9, 5), 3, 1.0, 1), ("b", at(12), 4, 1.0, 1)])
+    # b was silent from 9:05; a's silence is past the limit at 10:59.
+    assert first == [("a", "stale", "01 10:59"), ("b", "stale", "01 10:05")]
+    second = run([("a", at(13), 5, 1.0, 1), ("c", at(14, 30), 6, 1.0, 1)])
+    assert second == sorted([*first, ("a", "returned", "01 13:00"), ("a", "stale", "01 14:00"), ("b", "returned", "01 12:00"), ("b", "stale", "01 13:00")])
+    third = run([("a", at(9, 30), 7, 1.0, 1), ("c", at(2, day=3), 8, 1.0, 1)])  # too late for a
+    assert third == sorted([*second, ("c", "stale", "01 15:30")])
+
+
 def test_stream_dedup(spark, tmp_path):
     rows = [("a", at(9), 1, 5.0, 1), ("a", at(9), 1, 5.0, 1), ("a", at(9), 2, 5.0, 1)]
     write_ticks(spark, tmp_path / "t", rows)
