@@ -132,3 +132,24 @@ def test_display(one):
     assert one(display.bar_width("x", F.lit(50.0)), [50.0, 1.0, 25.0], "double") == [100.0, 4.0, 50.0]
     assert one(display.relative_size("x", F.lit(4.0)), [1.0, None], "double") == [0.25, 0.0]
     assert one(display.change_amount(F.lit(10000.0), "x"), [1.2], "double") == [120.0]
+
+
+def test_exact_sum_of_many_sizes(spark):
+    import random
+    from decimal import Decimal
+    from fractions import Fraction
+
+    rng = random.Random(6)
+    for scale in (0, 2, 4, 6):
+        values = [float(Decimal(rng.randrange(-(10**k), 10**k)).scaleb(-scale)) for k in range(1, 20 - scale) for _ in range(40)]
+        # Beyond 53 bits a double's shortest decimal is what counts.
+        exact = float(sum(Fraction(Decimal(repr(v))) for v in values))
+        df = spark.createDataFrame([(v,) for v in [*values, None, float("nan"), float("inf")]], "x double").repartition(7)
+        assert df.agg(clean.exact_sum("x", scale)).first()[0] == exact
+    assert spark.createDataFrame([(None,)], "x double").agg(clean.exact_sum("x", 4)).first()[0] is None
+    assert spark.createDataFrame([(-0.25,), (0.25,)], "x double").agg(clean.exact_sum("x", 2)).first()[0] == 0.0
+    tiny = spark.range(1000).select(F.lit(1e-10).alias("x"))
+    with pytest.raises(Exception, match="does not fit"):
+        tiny.agg(clean.exact_sum("x", 4)).collect()
+    near = spark.createDataFrame([(0.1 + 0.2,)], "x double")
+    assert near.agg(clean.exact_sum("x", 4)).first()[0] == 0.3
