@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .columns import blocks, utf8
+from .columns import blocks, trim, utf8
 
 HEAD, MIDDLE, TAIL = b"<s>[INST] ", b" [/INST]\n", b"</s>\n"
 LEARNED_ROLE = "assistant"
@@ -90,6 +90,8 @@ def format_chat(turns: DataFrame) -> DataFrame:
         for batch in batches:
             for part in _formatted(batch):
                 yield pa.RecordBatch.from_arrays(part, names=schema.names)
+            batch = part = None
+        trim()
 
     return slim.mapInArrow(run, schema)
 

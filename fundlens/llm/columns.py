@@ -29,6 +29,14 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
+def free(name: str, taken: Sequence[str]) -> str:
+    """``name``, with underscores before it while a given column is called so, in any case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
 def annotate(
     df: DataFrame, inputs: Sequence[str], added: str, start: Callable[[], Work], keep: Sequence[str] | None = None
 ) -> DataFrame:

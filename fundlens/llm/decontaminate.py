@@ -492,6 +492,12 @@ def _longest(shared):
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``documents`` without those that hold an occurrence of a window; all columns stay."""
-    found = look_up(documents, benchmark, documents.columns, window)
-    return found.where(F.size("_llm_runs") == 0).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """``documents`` without those that hold an occurrence of a window; all columns stay.
+
+    Null and empty texts stay, as they hold no words; repeated rows are judged alike.  Items
+    without words have no window, and a null item_id does no harm.  With an empty benchmark
+    all rows stay, and an empty table stays empty.  Columns may be called anything.
+    """
+    inner = [c if c == "text" else f"_given{i}" for i, c in enumerate(documents.columns)]
+    found = look_up(documents.toDF(*inner), benchmark, inner, window)
+    return found.where(F.size("_llm_runs") == 0).select(*inner).toDF(*documents.columns)

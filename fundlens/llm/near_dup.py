@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..storage import discard, materialize
-from .columns import annotate, blocks, ragged, utf8
+from .columns import annotate, blocks, ragged, trim, utf8
 from .components import components
 from .words import FOLD, NOT_BLANK, mix, span_hashes, split
 
@@ -203,6 +203,8 @@ def rows_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
             at = np.asarray(batch.column(0))
             there = (shared.value[at >> 3] >> (at & 7)) & 1
             yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(there.astype(bool)))
+            batch = at = there = None
+        trim()
 
     return df.select(place(key).alias("_llm_place"), *[F.col(f"`{c}`") for c in df.columns]).mapInArrow(run, df.schema)
 
@@ -345,6 +347,11 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, words_each: i
     Other columns are not looked at.  Bands are chosen for the similarity; one for which no
     choice misses a pair with a probability of ``MISSED`` at most (below 0.05) is an error.
     """
+    return _with_classes(documents, similarity, words_each).drop("class")
+
+
+def _with_classes(documents: DataFrame, similarity: float, words_each: int) -> DataFrame:
+    """:func:`near_duplicates` with the digest of each row's set, ``class``, beside it."""
     signed = materialize(signatures(documents, words_each, similarity), "signatures")
     classes = signed.where("class is not null")
     distinct = materialize(classes.select("class", "n_shingles", "buckets", "sketch", "whole").dropDuplicates(["class"]), "classes")
@@ -384,20 +391,40 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, words_each: i
         best *= 64
 
     placed = first.join(labels.withColumnRenamed("node", "class"), "class", "left")
-    placed = placed.select("class", "least", F.coalesce("label", "class").alias("label"))
-    ids = placed.groupBy("label").agg(F.min("least").alias("component_id"))
-    component = placed.join(ids, "label").select("class", "component_id")
-    joined = slim.where("class is not null").join(component, "class").select("doc_id", "n_shingles", "component_id")
-    alone = slim.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    placed = materialize(placed.select("class", "least", F.coalesce("label", "class").alias("label")), "placed")
+    # Written, so that adaptive execution may split a component of very many classes, or broadcast.
+    ids = materialize(placed.groupBy("label").agg(F.min("least").alias("component_id")), "components")
+    component = materialize(placed.join(ids, "label").select("class", "component_id"), "component-of-class")
+    joined = slim.where("class is not null").join(component, "class").select("doc_id", "n_shingles", "component_id", "class")
+    alone = slim.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "class")
     return joined.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(documents: DataFrame, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
     """``documents`` with one document of each group of near-duplicates: that of the least doc_id.
 
-    All columns stay.  Rows that repeat a doc_id are one document; rows without one stay, as
-    nothing could name them.
+    All columns stay.  Rows that repeat a doc_id with one text are one document.  Where a
+    doc_id stands for several texts, each is judged by itself.  Rows without a doc_id stay, as
+    nothing could name them, and so do null and empty texts.  An empty table stays empty.
+    Columns may be called anything.
     """
-    gone = near_duplicates(documents, similarity, words_each).where("not kept and doc_id is not null")
-    gone = gone.select(F.col("doc_id").alias("_llm_gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_llm_gone"), "left_anti")
+    inner = [c if c in ("doc_id", "text") else f"_given{i}" for i, c in enumerate(documents.columns)]
+    return _kept(documents.toDF(*inner), similarity, words_each).toDF(*documents.columns)
+
+
+def _kept(documents: DataFrame, similarity: float, words_each: int) -> DataFrame:
+    judged = materialize(_with_classes(documents, similarity, words_each).where("doc_id is not null").select("doc_id", "class", "kept"), "judged")
+    gone = judged.where("not kept").select("doc_id", "class").distinct()
+    gone = gone.select(F.col("doc_id").alias("_llm_gone"), F.col("class").alias("_llm_class"))
+    # An id that stays with one text and goes with another; only its rows have their class told again.
+    both = materialize(gone.join(judged.where("kept"), F.col("doc_id") == F.col("_llm_gone"), "left_semi"), "both")
+    clear = gone.join(both.select("_llm_gone").distinct(), "_llm_gone", "left_anti")
+    kept = documents.join(clear, F.col("doc_id") == F.col("_llm_gone"), "left_anti")
+    if both.isEmpty():
+        return kept
+    ids = both.select("_llm_gone").distinct()
+    sure = kept.join(ids, F.col("doc_id") == F.col("_llm_gone"), "left_anti")
+    unsure = kept.join(ids, F.col("doc_id") == F.col("_llm_gone"), "left_semi")
+    told = annotate(unsure, ["text"], "_llm_told binary", class_of(words_each))
+    same = (F.col("doc_id") == F.col("_llm_gone")) & (F.col("_llm_told") == F.col("_llm_class"))
+    return sure.unionByName(told.join(both, same, "left_anti").drop("_llm_told"))

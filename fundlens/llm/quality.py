@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .columns import annotate, blocks, ragged, trim, utf8
+from .columns import annotate, blocks, free, ragged, trim, utf8
 from .words import NOT_BLANK, mix, span_hashes, split
 
 FORMS, SHAPES, DIMS, ONES = 8192, 1024, 32, 2
@@ -99,6 +99,7 @@ def context_table(documents: DataFrame) -> np.ndarray:
                 add_contexts(total, *units(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
         table = total.reshape(n, DIMS).astype(np.int64)
         used = np.flatnonzero(table.any(1))
+        batch = data = offsets = total = None
         trim()
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(table[used, i]) for i in range(DIMS))], names=["bucket", *names])
 
@@ -262,9 +263,14 @@ def score(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) ->
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """``documents`` with a score of ``threshold`` or more; all columns stay, nothing is joined."""
+    """``documents`` with a score of ``threshold`` or more; all columns stay, nothing is joined.
+
+    Null and empty texts are scored by a zero vector; repeated rows are judged alike; without
+    labels every score is one half; an empty table stays empty.  Columns may be called anything.
+    """
     model, _ = fit(documents, labels, sample)
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    score = free("_llm_score", documents.columns)
 
     def start():
         def work(texts: pa.Array) -> list[pa.Array]:
@@ -272,5 +278,5 @@ def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, s
 
         return work
 
-    scored = annotate(documents, ["text"], "_llm_score double", start)
-    return scored.where(F.col("_llm_score") >= threshold).drop("_llm_score")
+    scored = annotate(documents, ["text"], f"{score} double", start)
+    return scored.where(F.col(score) >= threshold).drop(score)

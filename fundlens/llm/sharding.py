@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..operators.ordering import with_position
+from .columns import free
 
 BITS = 5
 
@@ -78,13 +79,23 @@ def shard(
     ``law`` "rows" cuts runs whose row counts are at most one apart, "bytes" runs whose sums
     of the column ``size`` are near equal.  ``tie`` orders rows in a cell of the curve; equal
     rows stand next to each other.  Null and missing values fall into a dimension's first
-    cell, NaN into its last.  An empty table stays empty.
+    cell, NaN into its last.  An empty table stays empty.  A column given under an added
+    name stays, and the added one gets underscores before its name.
 
     Cells are found in one pass, with bounded lists of cuts; positions come from a range
     sort, so a value that a third of the rows share is spread over tasks by ``tie``.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"law is rows or bytes, not {law}")
+    inner = {c: f"_given{i}" for i, c in enumerate(df.columns)}
+    slim = df.toDF(*inner.values())
+    found = _sharded(slim, [inner[d] for d in dimensions], [inner[t] for t in tie], shards, law, inner.get(size), bits)
+    return found.toDF(*df.columns, *(free(c, df.columns) for c in ("curve", "shard", "slot")))
+
+
+def _sharded(
+    df: DataFrame, dimensions: Sequence[str], tie: Sequence[str], shards: int, law: str, size: str | None, bits: int
+) -> DataFrame:
     count = 1 << bits
     names = [f"_cell{i}" for i in range(len(dimensions))]
     placed = df
