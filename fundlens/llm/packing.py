@@ -133,7 +133,7 @@ def pack(
 
     def run(batches):
         encoder, packer, part = Encoder(tokenizer_file, style, cached), Packer(tiers), TaskContext.get().partitionId()
-        kinds = None
+        kinds = cut = doc = ids = rows = None
 
         def rows_out(rows: list[tuple]) -> pa.RecordBatch:
             doc, start, n, crc, total, tier, window, offset, ids = zip(*rows)
@@ -150,9 +150,11 @@ def pack(
                     packer.add(doc, ids + tail)
                 if rows := packer.pack():
                     yield rows_out(rows)
+            # Nothing of this batch is held while the next one is read.
+            batch = cut = doc = ids = rows = None
         if rows := packer.rest():
             yield rows_out(rows)
-        del encoder, packer
+        encoder = packer = rows = None
         trim()
 
     pieces = materialize(documents.select("doc_id", "text").mapInArrow(run, schema), "pieces")

@@ -21,10 +21,14 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿœŒ"
 #: letters, ASCII punctuation but the apostrophe, and the same again on a next line
 PLAIN = re.compile(rf"([{LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)(?:\n([{LETTERS}]+)([!-&(-/:-@\[-`{{-~]*))?")
+_MARK = r"[!-&(-/:-@\[-`{-~]*"
+PARTS = rf"\A(?P<a>[{LETTERS}]+)(?P<m>{_MARK})(?:\n(?P<b>[{LETTERS}]+)(?P<n>{_MARK}))?\z"
 CACHED_PIECES = 1_000_000  # entries of a cache; a full one starts anew
 LONGEST_CACHED = 48  # characters of a piece that is kept
 RUNS_PER_CALL = 256
@@ -45,6 +49,34 @@ def version(file: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
+class Ragged:
+    """Arrays of ids of any lengths, one after the other."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        self.values, self.lengths = values, lengths
+        self.starts = np.cumsum(lengths) - lengths
+
+    @staticmethod
+    def of(parts: Sequence[bytes]) -> Ragged:
+        return Ragged(np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
+
+    def take(self, index: np.ndarray) -> Ragged:
+        lengths = self.lengths[index]
+        places = np.repeat(self.starts[index] - (np.cumsum(lengths) - lengths), lengths)
+        places += np.arange(len(places))
+        return Ragged(self.values[places], lengths)
+
+    def join(self, numbers: np.ndarray) -> Ragged:
+        """Neighbours joined, ``numbers`` of them each."""
+        at = np.concatenate([[0], np.cumsum(self.lengths)])
+        ends = np.cumsum(numbers)
+        return Ragged(self.values, at[ends] - at[ends - numbers])
+
+    def parts(self) -> list[bytes]:
+        raw = self.values.astype("<u4", copy=False).tobytes()
+        return [raw[4 * a : 4 * (a + n)] for a, n in zip(self.starts.tolist(), self.lengths.tolist())]
+
+
 class Encoder:
     """Turns texts into bytes of little-endian unsigned 32-bit ids."""
 
@@ -71,7 +103,9 @@ class Encoder:
         """Encode letter runs, each after a space, and keep their ids."""
         for i in range(0, len(runs), RUNS_PER_CALL):
             part = runs[i : i + RUNS_PER_CALL]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            # The fast call keeps no offsets; the ids are the same.
+            found = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids = np.array(found[0].ids, "<u4")
             edges = np.flatnonzero(self.edge[ids])
             cuts = (edges + 1 if self.word_style else edges).tolist()
             cuts = [0, *cuts] if self.word_style else [*cuts, len(ids)]
@@ -135,10 +169,63 @@ class Encoder:
         for i, text in enumerate(texts):  # some MB at a time, so that pieces of few texts are held
             size += len(text or "")
             if size > 2_000_000 or i + 1 == len(texts):
-                out += self._some(texts[start : i + 1])
+                some = texts[start : i + 1]
+                out += self._words(some) if self.word_style else self._some(some)
                 size, start = 0, i + 1
         return out
 
+    def _words(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Ids of some MB of text in the ``word`` style, each different piece looked up once.
+
+        A piece is up to two letter runs and two marks; ids of pieces, and then of texts, are
+        gathered by codes.
+        """
+        column = pc.fill_null(pa.array(texts, pa.large_string()), "")
+        special = np.zeros(len(column), bool)
+        for s in self.specials:
+            special |= np.asarray(pc.match_substring(column, s))
+        # ASCII only; the tokenizer does the rest.
+        pieces = pc.split_pattern(pc.ascii_lower(pc.if_else(pa.array(special), "", column)), " ")
+        coded = pieces.flatten().dictionary_encode()
+        table = self._pieces(coded.dictionary)
+        found = table.take(np.asarray(coded.indices)).join(np.asarray(pc.list_value_length(pieces), np.int64)).parts()
+        for i in np.flatnonzero(special):
+            found[i] = self.whole(texts[i])
+        return found
+
+    def _pieces(self, pieces: pa.Array) -> Ragged:
+        """Ids of different pieces without spaces."""
+        if len(self.pieces) + len(self.cores) + len(self.lone) > self.cached:
+            self.pieces, self.cores, self.lone = {}, {}, {}
+        split = pc.extract_regex(pieces, PARTS)
+        short = np.asarray(pc.less_equal(pc.utf8_length(pieces), LONGEST_CACHED))
+        plain = np.asarray(split.is_valid()) & short
+        parts = split.filter(pa.array(plain)).flatten()
+        runs = pa.concat_arrays([parts[0], parts[2]]).dictionary_encode()
+        marks = pa.concat_arrays([parts[1], parts[3]]).dictionary_encode()
+        run_texts = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
+        mark_texts = marks.dictionary.to_pylist()
+        self.cores.setdefault("", b"")
+        self._runs([r for r in run_texts if r not in self.cores])
+        other = np.flatnonzero(~plain)
+        other_ids = []
+        for text, is_short in zip(pieces.take(pa.array(other)).to_pylist(), short[other].tolist()):
+            ids = self.pieces.get(text)
+            if ids is None:
+                ids = self.whole(text) if text else b""
+                if is_short:
+                    self.pieces[text] = ids
+            other_ids.append(ids)
+        table = Ragged.of(
+            [*map(self.cores.__getitem__, run_texts), *(self._bare(m) if m else b"" for m in mark_texts), *other_ids, b""]
+        )
+        n, first_mark, first_other = int(plain.sum()), len(run_texts), len(run_texts) + len(mark_texts)
+        codes = np.full((len(pieces), 4), first_other + len(other), np.int64)
+        run_codes, mark_codes = np.asarray(runs.indices), np.asarray(marks.indices) + first_mark
+        codes[plain] = np.stack([run_codes[:n], mark_codes[:n], run_codes[n:], mark_codes[n:]], 1)
+        codes[other, 0] = first_other + np.arange(len(other))
+        return table.take(codes.ravel()).join(np.full(len(pieces), 4, np.int64))
+
     def _some(self, texts: Sequence[str | None]) -> list[bytes]:
         cut: list[list[str] | None] = []
         for text in texts:
