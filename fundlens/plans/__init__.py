@@ -1,6 +1,6 @@
 """Named end-to-end queries with their reference SQL."""
 
-from . import market, portfolio, records, sources, streams, tags, trips  # noqa: F401
+from . import documents, market, portfolio, records, sources, streams, tags, trips  # noqa: F401
 from .registry import catalog
 
 __all__ = ["catalog"]

@@ -10,6 +10,7 @@ from ..operators import metadata as meta
 from ..operators import quality, resolve
 from ..operators import universe as universe_ops
 from ..sources import readers, sinks, tables
+from ..storage import new_path
 from . import sql as q
 from .registry import catalog
 
@@ -476,6 +477,28 @@ def rescoring(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.to_score(current, ledger).select("etf_code")
 
 
+@catalog.query(
+    "rescoring_ledger",
+    f"""SELECT {q.code('d.doc_id')} AS etf_code,
+  CASE WHEN l.doc_id IS NULL THEN 'new' ELSE 'older version' END AS reason
+FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR l.quality = 0""",
+)
+def rescoring_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs in the ledger, the second given twice: all labelled documents, then the good ones anew."""
+    documents = tables.read(spark, folder, "documents").withColumn("etf_code", tables.code_of("doc_id"))
+    current = sinks.scoring_ledger(documents, ["doc_id", "text"], "1.0.0", "1.0.0")
+    labels = tables.read(spark, folder, "labels").select(tables.code_of("doc_id").alias("etf_code"), "quality")
+    first = current.join(labels, "etf_code").withColumns({"taxonomy_version": F.lit("0.9.0"), "scored_at": F.lit(1)})
+    second = current.join(labels.where("quality = 1"), "etf_code").withColumn("scored_at", F.lit(2))
+    ledger = sinks.ScoringLedger(spark, new_path(spark, "scores"), buckets=8)
+    for run in (first, second, second):
+        ledger.record(run.drop("quality"))
+    known = ledger.table()
+    due = sinks.to_score(current, known).select("etf_code")
+    seen = known.select("etf_code", F.lit(True).alias("seen"))
+    return due.join(seen, "etf_code", "left").select("etf_code", F.when(F.col("seen"), "older version").otherwise("new").alias("reason"))
+
+
 @catalog.query(
     "run_ledger",
     """WITH results AS (

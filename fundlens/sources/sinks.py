@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import half_up
 from ..operators.ordering import first_by, top_per_key
+from .upserts import BUCKETS, UpsertTable
 
 
 def holdings_documents(holding: DataFrame, n: int, key: str = "etf_code") -> DataFrame:
@@ -66,8 +68,14 @@ def run_summary(results: DataFrame, source: str, now: Column) -> DataFrame:
     )
 
 
-def append_run(results: DataFrame, path: str, source: str, now: Column) -> None:
-    run_summary(results, source, now).write.mode("append").parquet(path)
+def append_run(results: DataFrame, path: str, source: str, now: Column, run_id: str | None = None) -> None:
+    """Add a run's summary to the ledger; a job that runs again under its ``run_id`` replaces its own row.
+
+    Without one every call is a run of its own.
+    """
+    entry = run_summary(results, source, now).withColumn("run_id", F.lit(run_id or uuid.uuid4().hex))
+    writer = entry.write.partitionBy("run_id").mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def input_hash(columns: Sequence[str]) -> Column:
@@ -92,6 +100,17 @@ def latest_entries(ledger: DataFrame) -> DataFrame:
     return first_by(ledger, "etf_code", F.col("scored_at").desc(), F.col("input_hash").asc())
 
 
+class ScoringLedger(UpsertTable):
+    """The last entry of each fund, kept as a table; the same run recorded twice changes nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        super().__init__(spark, "etf_code", latest_entries, path, buckets)
+
+    def record(self, entries: DataFrame) -> None:
+        """Add the entries of a run (with scored_at), each in place of an older one of its fund."""
+        self.upsert(entries, max(self.versions(), default=-1) + 1)
+
+
 def to_score(current: DataFrame, ledger: DataFrame) -> DataFrame:
     """Records whose input or versions changed since they were last scored.
 

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
-from pyspark.sql.types import StructType
 
 from ..operators.bars import bar_columns
 from ..operators.ordering import first_by
-from ..storage import delete, discard, folder_names, materialize, new_path, read_text, write_text
+from ..sources.upserts import BUCKETS, UpsertTable
+from ..storage import new_path
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int | None = None) -> DataFrame:
@@ -47,69 +46,15 @@ def latest_of(ticks: DataFrame) -> DataFrame:
     return first_by(ticks, "code", F.col("ts").desc(), F.col("tick_id").desc())
 
 
-#: Buckets of the latest-quote table; each is rewritten only by a batch that has one of its keys.
-BUCKETS = 64
-
-
-class LatestQuotes:
+class LatestQuotes(UpsertTable):
     """Keeps the newest tick per code as a table, upserted once per micro-batch.
 
-    Codes are dealt to buckets by a hash.  A batch reads and rewrites the buckets of its own
-    codes and leaves all others alone: it writes ``bucket=.../version=<batch id>`` by dynamic
-    partition overwrite, and then one small manifest that names the version of every bucket.
-    Readers follow the newest manifest, so they never see half a batch.  A batch that runs
-    again after a failure starts from the manifest before it and overwrites its own version:
-    nothing is lost or counted twice, and a restarted driver finds the state on disk.  What
-    the last two manifests do not name is deleted.
+    A batch that runs again after a failure starts from the version before its own, so nothing
+    is lost or counted twice, and a restarted driver finds the state on disk.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS) -> None:
-        self.spark, self.buckets = spark, buckets
-        self.path = path or new_path(spark, "latest")
-
-    def _manifest(self, version: int) -> dict:
-        return json.loads(read_text(self.spark, f"{self.path}/manifest/{version}"))
-
-    def versions(self) -> list[int]:
-        """Batches whose manifest is there; the last one is current."""
-        names = folder_names(self.spark, f"{self.path}/manifest")
-        return sorted(int(n) for n in names if n.isdigit())
-
-    def _folder(self, bucket: int | str, version: int) -> str:
-        return f"{self.path}/bucket={bucket}/version={version}"
-
-    def _read(self, manifest: dict, buckets: Iterable[int | str]) -> DataFrame:
-        schema = StructType.fromJson(manifest["schema"])
-        folders = [self._folder(b, manifest["versions"][str(b)]) for b in buckets if str(b) in manifest["versions"]]
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*folders)
-
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        before = [v for v in self.versions() if v < batch_id]
-        manifest = self._manifest(before[-1]) if before else {"buckets": self.buckets, "schema": batch.schema.jsonValue(), "versions": {}}
-        # A hot code leaves one row per task before anything is shuffled.
-        newest = materialize(latest_of(batch), "latest-batch")
-        bucket = F.pmod(F.hash("code"), F.lit(manifest["buckets"])).alias("bucket")
-        touched = sorted(r.bucket for r in newest.select(bucket).distinct().collect())
-        if touched:
-            both = self._read(manifest, touched).unionByName(newest).select("*", bucket, F.lit(batch_id).alias("version"))
-            # A bucket goes to one task and one file; choosing the newest needs no further shuffle.
-            merged = first_by(both.repartition("bucket"), ["bucket", "code"], F.col("ts").desc(), F.col("tick_id").desc())
-            writer = merged.write.partitionBy("bucket", "version").mode("overwrite")
-            writer.option("partitionOverwriteMode", "dynamic").parquet(self.path)
-        discard(newest)
-        versions = manifest["versions"] | {str(b): batch_id for b in touched}
-        write_text(self.spark, f"{self.path}/manifest/{batch_id}", json.dumps(manifest | {"versions": versions}))
-        self._forget([*before, batch_id])
-
-    def _forget(self, versions: list[int]) -> None:
-        for old, following in zip(versions[:-2], versions[1:-1]):
-            kept = self._manifest(following)["versions"]
-            for bucket, version in self._manifest(old)["versions"].items():
-                if kept[bucket] != version:
-                    delete(self.spark, self._folder(bucket, version))
-            delete(self.spark, f"{self.path}/manifest/{old}")
+        super().__init__(spark, "code", latest_of, path or new_path(spark, "latest"), buckets)
 
     def start(self, ticks: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """Start or resume from ``checkpoint``; without a trigger, take what there is and stop."""
@@ -120,14 +65,6 @@ class LatestQuotes:
             .start()
         )
 
-    def table(self) -> DataFrame:
-        versions = self.versions()
-        if not versions:
-            raise ValueError("no batch has been processed")
-        manifest = self._manifest(versions[-1])
-        return self._read(manifest, manifest["versions"])
-
-
 def stale_keys(latest: DataFrame, now: Column, limit_seconds: int) -> DataFrame:
     """Codes whose newest tick is older than the limit, with its age."""
     age = (F.unix_micros(now) - F.unix_micros("ts")) / F.lit(1e6)

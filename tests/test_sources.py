@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fundlens import storage
 from fundlens.operators import holdings
-from fundlens.sources import readers, sinks
+from fundlens.sources import readers, sinks, upserts
 from fundlens.streaming import ticks as stream_ops
 
 CSV = (
@@ -192,17 +192,17 @@ def test_latest_quotes_rewrite_touched_buckets_only(spark):
 def test_half_a_batch_is_not_seen(spark):
     latest = stream_ops.LatestQuotes(spark, buckets=4)
     latest.upsert(spark.createDataFrame([("a", at(9), 1, 1.0, 1)], TICK), 0)
-    real = stream_ops.write_text
+    real = upserts.write_text
 
     def lost(*_):
         raise RuntimeError("driver lost")
 
-    stream_ops.write_text = lost
+    upserts.write_text = lost
     try:
         with pytest.raises(RuntimeError):
             latest.upsert(spark.createDataFrame([("a", at(10), 2, 2.0, 1)], TICK), 1)
     finally:
-        stream_ops.write_text = real
+        upserts.write_text = real
     assert [r.price for r in latest.table().collect()] == [1.0]
     latest.upsert(spark.createDataFrame([("a", at(10), 2, 2.0, 1)], TICK), 1)
     assert [r.price for r in latest.table().collect()] == [2.0]

@@ -187,3 +187,19 @@ def test_ledgers(spark, tmp_path):
         sinks.append_run(results, path, "detail", F.lit("2026-07-14").cast("timestamp"))
     runs = spark.read.parquet(path).collect()
     assert len(runs) == 2 and runs[0].success_rate == 66.7
+    for _ in range(2):  # the same run again
+        sinks.append_run(results, path, "detail", F.lit("2026-07-15").cast("timestamp"), "run-3")
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_scoring_ledger_keeps_one_entry_per_fund(spark, tmp_path):
+    kind = "etf_code string, input_hash string, taxonomy_version string, prompt_version string, scored_at long"
+    ledger = sinks.ScoringLedger(spark, str(tmp_path / "scores"), buckets=4)
+    ledger.record(spark.createDataFrame([(f"f{i}", "h", "1", "1", 1) for i in range(20)], kind))
+    second = spark.createDataFrame([("f3", "new", "1", "1", 2), ("f4", "late", "1", "1", 0)], kind)
+    for _ in range(3):
+        ledger.record(second)
+        rows = {r.etf_code: r.input_hash for r in ledger.table().collect()}
+        assert ledger.table().count() == len(rows) == 20
+        assert (rows["f3"], rows["f4"], rows["f5"]) == ("new", "h", "h")
+    assert ledger.versions() == [2, 3]
