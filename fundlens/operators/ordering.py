@@ -76,11 +76,18 @@ def with_position(
         name, F.col("_offset") + F.col("_index") + 1
     )
     if by:
-        starts = placed.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(
-            F.min(name).alias("_start")
-        )
+        # Where a group begins is looked up per partition and group: no task gets more rows of
+        # a group than the range partition had.
         same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-        placed = placed.join(starts, same, "left").withColumn(
-            name, F.col(name) - F.col("_start") + 1
+        local = numbered.groupBy("_part", *by).agg(F.min("_index").alias("_index"))
+        parts = local.join(F.broadcast(offsets), "_part").select(
+            F.col("_part").alias("_by_part"),
+            *[F.col(c).alias(f"_by_{c}") for c in by],
+            (F.col("_offset") + F.col("_index")).alias("_start"),
+        )
+        first = parts.groupBy(*[F.col(f"_by_{c}").alias(c) for c in by]).agg(F.min("_start").alias("_first"))
+        starts = parts.join(first, same).select("_by_part", *[f"_by_{c}" for c in by], "_first")
+        placed = placed.join(starts, [F.col("_part") == F.col("_by_part"), *same], "left").withColumn(
+            name, F.col(name) - F.col("_first")
         )
     return placed.select(*df.columns, name)

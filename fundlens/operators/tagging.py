@@ -178,18 +178,25 @@ def latest_scores(scores: DataFrame) -> DataFrame:
     return scores.join(last, ["etf_code", "batch_id"], "left_semi")
 
 
-def merge_tags(rule: DataFrame, model: DataFrame, model_label: str = "model") -> tuple[DataFrame, DataFrame]:
+def merge_tags(
+    rule: DataFrame, model: DataFrame, model_label: str = "model", unique: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Merge two scorers per (fund, tag): the merged tags and the conflicts.
 
     A rule at score 1 and confidence 1 stays and takes over the other's evidence;
     otherwise the strictly greater confidence of the model wins.  A side with a
     batch_id counts by its last batch per fund; of repeated tags the most confident counts.
+    ``unique`` says that both sides have one row per fund and tag, which spares looking for
+    repeats; with it a repeated tag would be merged once per row.
     """
 
     def side(df: DataFrame, mark: str) -> DataFrame:
         if "batch_id" in df.columns:
             df = latest_scores(df)
-        best = F.max(F.struct("confidence", "score", "source", "evidence"))
+        parts = F.struct("confidence", "score", "source", "evidence")
+        if unique:
+            return df.select("etf_code", "tag_id", parts.alias(mark))
+        best = F.max(parts)
         return df.groupBy("etf_code", "tag_id").agg(best.alias(mark))
 
     pairs = side(rule, "r").join(side(model, "m"), ["etf_code", "tag_id"], "full")

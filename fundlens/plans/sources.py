@@ -328,9 +328,8 @@ UNION ALL SELECT etf_code, rank, code, weight, 'listing_file' FROM unshipped
 WHERE etf_code NOT IN (SELECT etf_code FROM shipped)""",
 )
 def holdings_choice(spark: SparkSession, folder: str) -> DataFrame:
-    first = tables.holdings_by_size(spark, folder, status="F").drop("name")
-    second = tables.holdings_by_size(spark, folder, status="O").drop("name")
-    chosen = resolve.choose_holdings(first, second, ("detail", "listing_file"))
+    first, second = tables.holdings_by_sizes(spark, folder, ["F", "O"])
+    chosen = resolve.choose_holdings(first.drop("name"), second.drop("name"), ("detail", "listing_file"))
     return chosen.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -347,11 +346,8 @@ FROM places GROUP BY etf_code
 HAVING count(ra) > 0 AND count(rb) > 0 AND count(*) FILTER (WHERE na IS DISTINCT FROM nb) > 0""",
 )
 def source_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    return resolve.conflicts(
-        tables.holdings_by_size(spark, folder, status="F"),
-        tables.holdings_by_size(spark, folder),
-        ("detail", "listing_file"),
-    )
+    shipped, whole = tables.holdings_by_sizes(spark, folder, ["F", None])
+    return resolve.conflicts(shipped, whole, ("detail", "listing_file"))
 
 
 @catalog.query(
@@ -363,10 +359,8 @@ SELECT s.etf_code, s.rank, s.name, k.code FROM shipped s LEFT JOIN known k
   ON s.etf_code = k.etf_code AND s.name = k.name""",
 )
 def name_code_backfill(spark: SparkSession, folder: str) -> DataFrame:
-    uncoded = tables.holdings_by_size(spark, folder, status="F").withColumn(
-        "code", F.lit(None).cast("string")
-    )
-    other = tables.holdings_by_size(spark, folder).withColumnRenamed("rank", "ord")
+    shipped, whole = tables.holdings_by_sizes(spark, folder, ["F", None])
+    uncoded, other = shipped.withColumn("code", F.lit(None).cast("string")), whole.withColumnRenamed("rank", "ord")
     return holding_ops.backfill_codes(uncoded, other).select(
         "etf_code", F.col("rank").cast("bigint").alias("rank"), "name", "code"
     )

@@ -68,7 +68,8 @@ def rule_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return tagging.merge_tags(rule_rows(spark, folder), tables.model_scores(spark, folder))
+    # One record per product, each rule once; scores are grouped by product and flag.
+    return tagging.merge_tags(rule_rows(spark, folder), tables.model_scores(spark, folder), unique=True)
 
 
 def fund_list(spark: SparkSession, folder: str) -> DataFrame:

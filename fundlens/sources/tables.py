@@ -7,6 +7,8 @@ Amounts are summed as decimals so that results do not depend on partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -262,20 +264,38 @@ def provider_attempts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def holdings_by_size(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
-    """All holdings of each fund by size, optionally from lines of one status only."""
-    amounts = holding_values(spark, folder, status)
+def holdings_by_sizes(spark: SparkSession, folder: str, statuses: Sequence[str | None]) -> list[DataFrame]:
+    """All holdings of each fund by size, once per status, from lines of that status (None: of all).
+
+    Lines are read and summed once, and all lists get their ranks in one sorted table.
+    """
+    orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    lines = read(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    price = F.col("l_extendedprice")
+    sums = [
+        clean.exact_sum(F.when(F.col("l_linestatus") == s, price) if s else price, 4).alias(f"_amount{i}")
+        for i, s in enumerate(statuses)
+    ]
+    each = [F.struct(F.lit(i).alias("_list"), F.col(f"_amount{i}").alias("amount")) for i in range(len(statuses))]
+    amounts = lines.groupBy("o_custkey", "l_partkey").agg(*sums)
+    amounts = amounts.select("o_custkey", "l_partkey", F.inline(F.array(*each))).where("amount is not null")
     order = [F.col("amount").desc(), F.col("l_partkey").asc()]
-    best = with_position(amounts, order, by=["o_custkey"], name="rank")
+    best = with_position(amounts, order, by=["_list", "o_custkey"], name="rank")
     part = read(spark, folder, "part").select("p_partkey", "p_name")
-    return best.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select(
+    named = best.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select(
+        "_list",
         code_of("o_custkey").alias("etf_code"),
         "rank",
         code_of("l_partkey").alias("code"),
         F.col("p_name").alias("name"),
         F.col("amount").alias("weight"),
     )
+    return [named.where(F.col("_list") == i).drop("_list") for i in range(len(statuses))]
+
 
+def holdings_by_size(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
+    """All holdings of each fund by size, optionally from lines of one status only."""
+    return holdings_by_sizes(spark, folder, [status])[0]
 
 
 def curated_funds(spark: SparkSession, folder: str) -> DataFrame:
