@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import top_per_key
 from ..storage import materialize
+from .columns import trim
 
 SCALE = 256
 TREE_ROWS = 8192
@@ -36,7 +37,6 @@ PAGE = 128
 FAN = 16
 QUERY_BLOCK = 4096  # queries that are broadcast at a time
 LARGEST = 1 << 26  # of a component after scaling in a tree; larger vectors stand apart
-BEYOND = 1 << 63  # a component after scaling that fits no long by itself
 SEED_ROWS = 2048  # rows that give each search its first bound
 SLACK = 1e-6
 BELOW = -(1 << 63)  # stands for every score that is too small for a long
@@ -99,6 +99,7 @@ class Search:
         self.top, self.root, _, self.first, pages = pickle.loads(blob)
         self.first = self.first.astype(np.float64)
         self.pages = [Node(v.astype(np.float64), d, r, c, i) for v, d, r, c, i in pages]
+        self.widest = max((float(np.abs(p.pivots).max(initial=0)) for p in self.pages), default=0.0)
         self.computed = 0
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
@@ -109,42 +110,70 @@ class Search:
     def _far(self, score, base: float):
         return np.sqrt(np.maximum(base - 2.0 * score, 0.0))
 
-    def best(self, query: np.ndarray, own: int, k: int, floor: float) -> list[tuple[int, int]]:
-        """The k best (score, vec_id) with a score of ``floor`` or more."""
-        base = float(query @ query) + self.top
-        bound = float(self._far(floor, base)) if np.isfinite(floor) else np.inf
-        exact = float(np.abs(query).max(initial=0)) * LARGEST * len(query) < 2**53 or None
-        found: list[tuple[int, int]] = []
-        queue = [(0.0, self.root, float(self._far(query @ self.first, base)))]
+    def best_of(
+        self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each query, as (place of the query, vec_id, score).
+
+        ``floors`` has a whole score per query that k vectors are known to reach, or ``BELOW``.
+        A node is visited once for all queries that it is still open to: bounds are compared
+        for all of them at once, and what is left is one product of matrices.
+        """
+        base = np.einsum("ij,ij->i", queries, queries) + self.top
+        # Rounding of a squared distance grows with the numbers it is the difference of.
+        slack = SLACK * (1 + np.sqrt(base))
+        floors = floors.copy()
+        bound = np.where(floors == BELOW, np.inf, self._far(floors.astype(np.float64), base))
+        top_score, top_id = np.full((len(queries), k), BELOW), np.full((len(queries), k), np.iinfo(np.int64).max)
+        exact = float(np.abs(queries).max(initial=0)) * self.widest * max(queries.shape[1], 1) < 2**53
+        everyone = np.arange(len(queries))
+        queue = [(0.0, 0, self.root, everyone, self._far(queries @ self.first, base), np.zeros(len(queries)))]
+        entered = 0
         while queue:
-            least, page, to_pivot = heapq.heappop(queue)
-            if least > bound * (1 + SLACK) + SLACK:
-                break
+            _, _, page, at, to_pivot, least = heapq.heappop(queue)
+            limit = bound[at] * (1 + SLACK) + slack[at]
+            live = least <= limit
+            at, to_pivot, least, limit = at[live], to_pivot[live], least[live], limit[live]
             node = self.pages[page]
-            near = np.abs(to_pivot - node.to_parent)
+            near = np.abs(to_pivot[:, None] - node.to_parent[None, :])
             if node.radii is not None:
-                near = near - node.radii
-            open_ = np.flatnonzero(near <= bound * (1 + SLACK) + SLACK)
-            if not len(open_):
+                near -= node.radii[None, :]
+            open_ = near <= limit[:, None]
+            rows, entries = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+            if not len(rows):
                 continue
-            self.computed += len(open_)
-            scores = node.pivots[open_] @ query
+            open_ = open_[np.ix_(rows, entries)]
+            at, least = at[rows], least[rows]
+            self.computed += int(open_.sum())
             if node.radii is not None:
-                far = self._far(scores, base)
-                for i, d in zip(open_, far):
-                    heapq.heappush(queue, (max(float(d - node.radii[i]), least, 0.0), node.children[i], float(d)))
+                far = self._far(queries[at] @ node.pivots[entries].T, base[at][:, None])
+                low = np.maximum(far - node.radii[entries], least[:, None])
+                for j, entry in enumerate(entries):
+                    mine = np.flatnonzero(open_[:, j])
+                    entered += 1
+                    heapq.heappush(queue, (float(low[mine, j].min()), entered, node.children[entry], at[mine], far[mine, j], low[mine, j]))
                 continue
-            if not exact:
-                scores = node.pivots[open_].astype(np.int64) @ query.astype(np.int64)
-            ids = node.ids[open_]
-            keep = (ids != own) & (scores >= floor)
-            found += zip((int(s) for s in scores[keep]), ids[keep].tolist())
-            if len(found) >= k:
-                found = heapq.nsmallest(k, found, key=lambda x: (-x[0], x[1]))
-                if len(found) == k:
-                    floor = max(floor, found[-1][0])
-                    bound = float(self._far(floor, base))
-        return heapq.nsmallest(k, found, key=lambda x: (-x[0], x[1]))
+            if exact:
+                scores = (queries[at] @ node.pivots[entries].T).astype(np.int64)
+            else:
+                scores = queries[at].astype(np.int64) @ node.pivots[entries].T.astype(np.int64)
+            ids = node.ids[entries]
+            row, column = np.nonzero(open_ & (scores >= floors[at][:, None]) & (ids[None, :] != own[at][:, None]))
+            if not len(row):
+                continue
+            changed = np.unique(at[row])
+            who = np.concatenate([np.repeat(changed, k), at[row]])
+            score = np.concatenate([top_score[changed].ravel(), scores[row, column]])
+            name = np.concatenate([top_id[changed].ravel(), ids[column]])
+            order = np.lexsort((name, ~score, who))
+            starts = np.searchsorted(who[order], changed)
+            kept = order[(starts[:, None] + np.arange(k)).ravel()]
+            top_score[changed], top_id[changed] = score[kept].reshape(-1, k), name[kept].reshape(-1, k)
+            floors[changed] = np.maximum(floors[changed], top_score[changed, k - 1])
+            known = changed[floors[changed] != BELOW]
+            bound[known] = self._far(floors[known].astype(np.float64), base[known])
+        place, rank = np.nonzero(top_score != BELOW)
+        return place, top_id[place, rank], top_score[place, rank]
 
 
 def is_large(vector: np.ndarray) -> bool:
@@ -173,12 +202,18 @@ def scaled(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     """floor(256 * x) of each usable vector, and which rows those are."""
     rows, out = [], []
     lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
-    flat = np.floor(SCALE * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    given = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    with np.errstate(over="ignore"):
+        flat = np.floor(SCALE * given)
     at = 0
     for row, n in enumerate(lengths):
         vector = flat[at : at + n]
+        if n and not np.isfinite(vector).all() and np.isfinite(given[at : at + n]).all():
+            # Numbers that are infinite once scaled have no fraction.
+            pairs = zip(vector.tolist(), given[at : at + n].tolist())
+            vector = np.array([int(v) if math.isfinite(v) else int(x) * SCALE for v, x in pairs], object)
         at += n
-        if n and np.abs(vector).max() < BEYOND:  # False for NaN, too
+        if n and (vector.dtype == object or np.isfinite(vector).all()):
             rows.append(row)
             out.append(vector)
     return np.array(rows, np.int64), out
@@ -201,7 +236,7 @@ def build(vectors: DataFrame) -> DataFrame:
                 for lo in range(0, len(members), TREE_ROWS):
                     part = members[lo : lo + TREE_ROWS]
                     of, held = ids[rows[part]], np.stack([found[i] for i in part])
-                    tree = pickle.dumps((of, held), 5) if large else Tree(of, held).packed()
+                    tree = pickle.dumps((of, held), 5) if large else Tree(of, held.astype(np.float64)).packed()
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([dims], pa.int32()), pa.array([large]), pa.array([len(part)], pa.int64()), pa.array([tree], pa.binary())],
                         names=["dims", "large", "n", "tree"],
@@ -216,8 +251,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
 
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on it.  Candidates are
     all rows of the query's length but those with its vec_id; ties go to the smaller vec_id.
-    Rows that are null, empty or hold a null or non-finite component, or one that after
-    scaling fits no long by itself, take no part, nor does a null vec_id.  Products are exact at any size; a score in the result that does not fit a
+    Rows that are null, empty or hold a null or non-finite component take no part, nor does a
+    null vec_id.  Products are exact at any size; a score in the result that does not fit a
     long is an error.  A repeated row is a candidate each time; of repeated query ids the
     least vector is searched.  Fewer than k candidates give fewer rows, an empty table none.
     Other columns are not looked at.
@@ -251,38 +286,52 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
 
 
 def _first_bounds(ids: np.ndarray, vectors: list[np.ndarray], seed: list, k: int) -> np.ndarray:
-    """The k-th best score of each query among a few rows: no result can be worse."""
-    floors = np.full(len(ids), -np.inf)
-    for top, root, _, _, pages in seed:
+    """The k-th best score of each query among a few rows, in whole numbers: no result can be worse."""
+    floors = np.full(len(ids), BELOW)
+    for _, _, _, _, pages in seed:
         leaves = [(v, i) for v, _, _, _, i in pages if i is not None]
-        rows = np.concatenate([v for v, _ in leaves])[:SEED_ROWS].astype(np.float64)
+        rows = np.concatenate([v for v, _ in leaves])[:SEED_ROWS].astype(np.int64)
         names = np.concatenate([i for _, i in leaves])[:SEED_ROWS]
-        for q, (own, vector) in enumerate(zip(ids, vectors)):
-            if len(vector) == rows.shape[1] and not is_large(vector):
-                scores = (rows @ vector)[names != own]
-                if len(scores) >= k:
-                    floors[q] = np.partition(scores, len(scores) - k)[len(scores) - k] - 1
+        mine = np.array([i for i, v in enumerate(vectors) if len(v) == rows.shape[1] and not is_large(v)], np.int64)
+        for part in np.array_split(mine, -(-len(mine) // 256) or 1):
+            if len(part) and len(rows) > k:
+                queries = np.stack([vectors[i] for i in part]).astype(np.float64)
+                fits = float(np.abs(queries).max()) * float(np.abs(rows).max(initial=0)) * rows.shape[1] < 2**53
+                scores = (queries @ rows.T.astype(np.float64)).astype(np.int64) if fits else queries.astype(np.int64) @ rows.T
+                scores[names[None, :] == ids[part][:, None]] = BELOW
+                floors[part] = np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k]
     return floors
 
 
 def _answers(shared, k: int):
     def run(batches):
         ids, vectors, floors = shared.value
+        large_queries = [i for i, v in enumerate(vectors) if is_large(v)]
+        small: dict[int, list[int]] = {}
+        for i, v in enumerate(vectors):
+            if not is_large(v):
+                small.setdefault(len(v), []).append(i)
         for batch in batches:
             for dims, large, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
-                tree, rows, everything = None if large else Search(blob.as_py()), [], None
-                for own, vector, floor in zip(ids.tolist(), vectors, floors):
-                    if len(vector) != dims:
-                        continue
-                    if large or is_large(vector):
-                        if everything is None:
-                            of, held = pickle.loads(blob.as_py()) if large else tree.rows()
-                            everything = whole(held), of
-                        best = best_of_all(*everything, whole(vector), own, k)
-                    else:
-                        best = tree.best(vector, own, k, floor)
-                    rows += [(own, vec, score) for score, vec in best]
-                columns = zip(*rows) if rows else [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+                tree = None if large else Search(blob.as_py())
+                one_by_one = [i for i in large_queries if len(vectors[i]) == dims]
+                if large:
+                    one_by_one += small.get(dims, [])
+                elif dims in small:
+                    at = np.array(small[dims])
+                    place, found, score = tree.best_of(np.stack([vectors[i] for i in at]), ids[at], k, floors[at])
+                    yield _found(ids[at][place], found, score)
+                if one_by_one:
+                    of, held = pickle.loads(blob.as_py()) if large else tree.rows()
+                    held = whole(held)
+                    rows = [(int(ids[i]), vec, score) for i in one_by_one for score, vec in best_of_all(held, of, whole(vectors[i]), int(ids[i]), k)]
+                    if rows:
+                        yield _found(*zip(*rows))
+        batch = blob = tree = held = rows = None
+        trim()
 
     return run
+
+
+def _found(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -209,7 +210,7 @@ def test_chat(spark, folder):
 def brute_top(rows, k, query):
     usable = []
     for vec_id, x in rows:
-        if vec_id is None or not x or any(c is None or not math.isfinite(c) or abs(math.floor(256 * c)) > topk.LARGEST for c in x):
+        if vec_id is None or not x or any(c is None or not math.isfinite(c) for c in x):
             continue
         usable.append((vec_id, [math.floor(256 * float(np.float32(c))) for c in x]))
     want = {}
@@ -232,7 +233,7 @@ def test_exact_top_k(spark, folder, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(700)]
     rows += [(1000 + i, rows[3][1]) for i in range(400)]
-    rows += [(2000, None), (2001, []), (2002, [1.0, None]), (2003, [float("nan")] * 8), (2004, [float("inf")] * 8), (2050, [1.0]), (2051, [2.0]), (None, [1.0] * 8), (3000, [1e30] * 8), (4000, [0.0] * 8)]
+    rows += [(2000, None), (2001, []), (2002, [1.0, None]), (2003, [float("nan")] * 8), (2004, [float("inf")] * 8), (2050, [1.0]), (2051, [2.0]), (None, [1.0] * 8), (4000, [0.0] * 8)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<float>, score string").repartition(3)
     want = {q: v for q, v in brute_top(rows, 5, lambda q: q % 50 == 0).items() if v}
     assert found_top(topk.top_k(df, F.col("vec_id") % 50 == 0)) == want
@@ -267,6 +268,46 @@ def test_tree_saves_distances():
     centres = rng.normal(size=(40, 6)) * 4000
     vectors = np.floor(centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 6)) * 40)
     search = topk.Search(topk.Tree(np.arange(6000), vectors).packed())
-    for q in range(50):
-        search.best(vectors[q], q, 5, -np.inf)
+    place, found, scores = search.best_of(vectors[:50], np.arange(50), 5, np.full(50, topk.BELOW))
     assert search.computed < 0.5 * 50 * 6000
+    products = vectors[:50] @ vectors.T
+    for q in range(50):
+        order = [i for i in np.lexsort((np.arange(6000), -products[q])) if i != q][:5]
+        mine = place == q
+        assert found[mine].tolist() == order and scores[mine].tolist() == products[q, order].astype(int).tolist()
+
+
+def test_top_k_is_exact_at_every_size(spark):
+    """Components from 2 ** 10 to 2 ** 62 after scaling, clustered and not, and beyond any long."""
+    rng = np.random.default_rng(9)
+    for power in (10, 20, 24, 25, 26, 27, 30, 40, 62):
+        wide = 2.0 ** (power - 8)
+        centre = rng.normal(size=12) * wide
+        near = [centre + rng.normal(size=12) * wide * 1e-7 for _ in range(120)]
+        apart = [rng.uniform(-wide, wide, 12) for _ in range(120)]
+        rows = [(i, [float(c) for c in v]) for i, v in enumerate(near + apart)]
+        ints = {i: [math.floor(256 * c) for c in x] for i, x in rows}
+        held = pa.array([x for _, x in rows], pa.list_(pa.float64()))
+        usable, vectors = topk.scaled(held)
+        assert [[int(c) for c in v] for v in vectors] == [ints[i] for i in range(240)]
+        small = [i for i in usable if not topk.is_large(vectors[i])]
+        if len(small) < 240:
+            continue  # those are compared one by one, which another test covers
+        blob = topk.Tree(np.array(small), np.stack(vectors)).packed()
+        queries, own = np.stack(vectors), np.arange(240)
+        floors = topk._first_bounds(own, vectors, [topk.pickle.loads(blob)], 5)
+        place, found, scores = topk.Search(blob).best_of(queries, own, 5, floors)
+        for q in range(240):
+            best = sorted((-sum(a * b for a, b in zip(ints[q], w)), i) for i, w in ints.items() if i != q)[:5]
+            assert list(zip(found[place == q].tolist(), scores[place == q].tolist())) == [(i, -s) for s, i in best]
+    rows = [(0, [0.0, 1.0, 2.0]), (1, [1e30, 0.5, 0.0]), (2, [0.0, 3.0, 1.0]), (3, [-1e308, 0.0, 0.5]), (4, [0.0, -1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = {q: v for q, v in brute_doubles(rows, 4).items() if q in (0, 2, 4)}
+    assert found_top(topk.top_k(df, F.col("vec_id") % 2 == 0, 4)) == want
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(df, F.col("vec_id") == 1, 4).collect()
+
+
+def brute_doubles(rows, k):
+    ints = {i: [math.floor(256 * c) if abs(c) < 1e300 else int(c) * 256 for c in x] for i, x in rows}
+    return {q: [(i, -s) for s, i in sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ints.items() if i != q)[:k]] for q, v in ints.items()}
