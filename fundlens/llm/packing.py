@@ -30,6 +30,8 @@ from .tokens import CACHED_PIECES, Encoder
 
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 8 * 4096
+#: Of documents that are encoded and packed at a time in a task.
+BATCH_BYTES = 4_000_000
 PIECE = (
     "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "tier int, part int, window bigint, offset bigint, ids binary"
@@ -143,7 +145,7 @@ def pack(
         for batch in batches:
             i64 = pa.int64()
             kinds = kinds or [batch.schema.field(0).type, i64, i64, i64, i64, pa.int32(), pa.int32(), i64, i64, pa.binary()]
-            step = max(1, min(2000, int(2000 * 16e6 / max(batch.nbytes, 1))))
+            step = max(1, min(1000, int(batch.num_rows * BATCH_BYTES / max(batch.nbytes, 1))))
             for lo in range(0, batch.num_rows, step):
                 cut = batch.slice(lo, step)
                 for doc, ids in zip(cut.column(0).to_pylist(), encoder.many(cut.column(1).to_pylist())):

@@ -32,6 +32,7 @@ PARTS = rf"\A(?P<a>[{LETTERS}]+)(?P<m>{_MARK})(?:\n(?P<b>[{LETTERS}]+)(?P<n>{_MA
 CACHED_PIECES = 1_000_000  # entries of a cache; a full one starts anew
 LONGEST_CACHED = 48  # characters of a piece that is kept
 RUNS_PER_CALL = 256
+BLOCK_CHARACTERS = 500_000
 
 
 def load(file: str):
@@ -166,9 +167,9 @@ class Encoder:
         """Ids of each text; null is an empty text."""
         out: list[bytes] = []
         size, start = 0, 0
-        for i, text in enumerate(texts):  # some MB at a time, so that pieces of few texts are held
+        for i, text in enumerate(texts):  # some at a time, so that pieces of few texts are held
             size += len(text or "")
-            if size > 2_000_000 or i + 1 == len(texts):
+            if size > BLOCK_CHARACTERS or i + 1 == len(texts):
                 some = texts[start : i + 1]
                 out += self._words(some) if self.word_style else self._some(some)
                 size, start = 0, i + 1
