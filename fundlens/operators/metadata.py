@@ -29,6 +29,14 @@ LOW_COVERAGE = 0.45
 # Source -> (priority, confidence) of its values.
 SOURCE_TRUST = {"detail": (100, 0.85), "listing_file": (80, 0.7), "master": (50, 0.75)}
 
+# The fields whose source is recorded.
+PROVENANCE_FIELDS = (
+    "name", "issuer", "listing_date", "benchmark_name", "total_fee_pct", "net_assets",
+    "distribution_text", "liquidity_provider_text", "type_text", "holdings",
+)
+#: Of these the as-of date of the detail source is known.
+DATED_FIELDS = ("net_assets", "holdings")
+
 DETAIL_FIELDS = (
     "issuer", "listing_date", "benchmark_name", "total_fee_pct", "net_assets",
     "distribution_text", "type_text", "beta", "return_1m", "return_3m", "return_6m", "return_12m",

@@ -258,6 +258,26 @@ def pick_by_priority(
     return first_by(values.where(F.col("value").isNotNull()), list(keys), *order)
 
 
+def provenance_record(
+    values: DataFrame, fields: Sequence[str], key: str = "etf_code", recency: Sequence[str] = ()
+) -> DataFrame:
+    """One wide row per fund: for each of ``fields`` a struct of the chosen value and where it is from.
+
+    The structs have value, source_id, as_of, priority, confidence and overridden, which is true
+    where a newer as-of date of a ``recency`` field went before the priority.  A field that no
+    source has is null.  A fund has as many rows here as it has fields, so the pivot is bounded.
+    """
+    keys = [key, "field"]
+    chosen = pick_by_priority(values, keys, recency)
+    overridden = F.lit(False)
+    if recency:
+        plain = pick_by_priority(values.where(F.col("field").isin(*recency)), keys)
+        chosen = chosen.join(plain.select(*keys, F.col("source_id").alias("_plain")), keys, "left")
+        overridden = F.coalesce(F.col("_plain") != F.col("source_id"), F.lit(False))
+    facts = F.struct("value", "source_id", "as_of", "priority", "confidence", overridden.alias("overridden"))
+    return chosen.select(*keys, facts.alias("fact")).groupBy(key).pivot("field", list(fields)).agg(F.first("fact"))
+
+
 def choose_holdings(
     first: DataFrame, second: DataFrame, labels: tuple[str, str], key: str = "etf_code"
 ) -> DataFrame:
@@ -274,14 +294,21 @@ def conflicts(
     """Funds both sources list, with holding names that differ in content or order.
 
     Lists are compared place by place (``rank`` counts within the fund), without
-    building them.
+    building them.  Where a side has an as_of, the conflict carries the newest of both.
     """
-    a = first.select(key, "rank", F.col("name").alias("_a"), F.lit(1).alias("_in_a"))
-    b = second.select(key, "rank", F.col("name").alias("_b"), F.lit(1).alias("_in_b"))
+
+    def as_of(df: DataFrame) -> Column:
+        return F.col("as_of") if "as_of" in df.columns else F.lit(None).cast("date")
+
+    dated = "as_of" in first.columns or "as_of" in second.columns
+    dates = [F.max("_da").alias("selected_as_of"), F.max("_db").alias("other_as_of")] if dated else []
+    a = first.select(key, "rank", F.col("name").alias("_a"), F.lit(1).alias("_in_a"), *([as_of(first).alias("_da")] if dated else []))
+    b = second.select(key, "rank", F.col("name").alias("_b"), F.lit(1).alias("_in_b"), *([as_of(second).alias("_db")] if dated else []))
     per_fund = (
         a.join(b, [key, "rank"], "full")
         .groupBy(key)
         .agg(
+            *dates,
             F.count("_in_a").alias("selected_count"),
             F.count("_in_b").alias("other_count"),
             F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("differing_places"),
@@ -296,4 +323,5 @@ def conflicts(
         F.lit(labels[1]).alias("other_source"),
         "other_count",
         "differing_places",
+        *(["selected_as_of", "other_as_of"] if dated else []),
     )

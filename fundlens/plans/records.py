@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,6 +189,66 @@ def field_priority(spark: SparkSession, folder: str) -> DataFrame:
     return picked.select("etf_code", "field", "value", "source_id", "priority", "confidence")
 
 
+_MORE = f"""more AS (
+  SELECT d.*, CASE WHEN n > 55 THEN n * 100 END AS net_assets, CASE WHEN d.issuer = 'click' THEN 'LP ' || d.etf_code END AS liquidity_provider_text,
+         CASE WHEN n > 50 THEN n END AS holdings, seen
+  FROM details d JOIN (SELECT {q.code('user_id')} AS etf_code, count(*) AS n, CAST(max(ts) AS DATE) AS seen FROM events GROUP BY user_id) USING (etf_code)),
+listed AS (
+  SELECT {q.code('o_custkey')} AS etf_code, count(*) AS holdings, CAST(max(o_orderdate) AS DATE) AS seen FROM orders GROUP BY o_custkey)"""
+_ALL_VALUES = "all_values AS (\n  SELECT etf_code, 'name' AS field, name AS value, 'master' AS source_id, CAST(NULL AS DATE) AS as_of, 50 AS priority FROM master\n" + "".join(
+    f"  UNION ALL SELECT etf_code, '{f}', CAST({f} AS VARCHAR), 'detail', {'seen' if f in meta.DATED_FIELDS else 'NULL'}, 100 FROM more\n"
+    for f in meta.PROVENANCE_FIELDS
+) + "  UNION ALL SELECT etf_code, 'holdings', CAST(holdings AS VARCHAR), 'listing_file', seen, 80 FROM listed)"
+_PICKED = """picked AS (
+  SELECT *, source_id <> first_value(source_id) OVER (PARTITION BY etf_code, field ORDER BY priority DESC, source_id) AS overridden
+  FROM all_values WHERE coalesce(value, '') <> ''
+  QUALIFY row_number() OVER (PARTITION BY etf_code, field
+    ORDER BY CASE WHEN field = 'holdings' THEN as_of END DESC NULLS LAST, priority DESC, source_id) = 1)"""
+_WIDE = ", ".join(
+    f"max(value) FILTER (WHERE field = '{f}') AS {f}, max(source_id) FILTER (WHERE field = '{f}') AS {f}_source"
+    for f in meta.PROVENANCE_FIELDS
+)
+
+
+@catalog.query(
+    "provenance_record",
+    q.given(_DETAILS, _MASTER, _MORE, _ALL_VALUES, _PICKED)
+    + f"""SELECT etf_code, {_WIDE},
+  strftime(max(as_of) FILTER (WHERE field = 'net_assets'), '%Y-%m-%d') AS net_assets_as_of,
+  strftime(max(as_of) FILTER (WHERE field = 'holdings'), '%Y-%m-%d') AS holdings_as_of,
+  bool_or(overridden) FILTER (WHERE field = 'holdings') AS holdings_overridden
+FROM picked GROUP BY etf_code""",
+)
+def provenance_record(spark: SparkSession, folder: str) -> DataFrame:
+    """All ten fields of each fund with their sources; the newer holdings go before the better source."""
+    fields = meta.PROVENANCE_FIELDS
+    counts = tables.read(spark, folder, "events").groupBy(tables.code_of("user_id").alias("etf_code")).agg(F.count(F.lit(1)).alias("n"))
+    detail = tables.details(spark, folder).join(counts, "etf_code").withColumns(
+        {
+            "net_assets": F.when(F.col("n") > 55, F.col("n") * 100),
+            "liquidity_provider_text": F.when(F.col("issuer") == "click", F.concat(F.lit("LP "), F.col("etf_code"))),
+            "holdings": F.when(F.col("n") > 50, F.col("n")),
+        }
+    )
+    listed = tables.read(spark, folder, "orders").groupBy(tables.code_of("o_custkey").alias("etf_code")).agg(
+        F.count(F.lit(1)).alias("holdings"), F.max("o_orderdate").cast("date").alias("as_of")
+    )
+    dated = {f: f for f in meta.DATED_FIELDS}
+    values = [
+        meta.source_values(tables.fund_master(spark, folder), "master", {"name": "name"}),
+        meta.source_values(detail, "detail", {f: f for f in fields if f not in dated}),
+        meta.source_values(detail, "detail", dated, F.col("as_of")),
+        meta.source_values(listed, "listing_file", {"holdings": "holdings"}, F.col("as_of")),
+    ]
+    wide = resolve.provenance_record(reduce(DataFrame.unionByName, values), fields, recency=("holdings",))
+    flat = [c for f in fields for c in (F.col(f"{f}.value").alias(f), F.col(f"{f}.source_id").alias(f"{f}_source"))]
+    return wide.select(
+        "etf_code", *flat,
+        *[F.date_format(f"{f}.as_of", "yyyy-MM-dd").alias(f"{f}_as_of") for f in meta.DATED_FIELDS],
+        F.col("holdings.overridden").alias("holdings_overridden"),
+    )
+
+
 @catalog.query(
     "holdings_lookup",
     f"""WITH holders AS (

@@ -350,6 +350,35 @@ def source_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.conflicts(shipped, whole, ("detail", "listing_file"))
 
 
+@catalog.query(
+    "dated_conflicts",
+    q.given(_SHIPPED, _ALL_LINES)
+    + f""", dates AS (
+  SELECT {q.code('o_custkey')} AS etf_code, CAST(max(l_shipdate) FILTER (WHERE l_linestatus = 'F') AS DATE) AS sent, CAST(max(o_orderdate) AS DATE) AS seen
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey),
+places AS (
+  SELECT coalesce(a.etf_code, b.etf_code) AS etf_code, a.rank AS ra, b.rank AS rb, a.name AS na, b.name AS nb
+  FROM shipped a FULL JOIN whole b ON a.etf_code = b.etf_code AND a.rank = b.rank)
+SELECT etf_code, count(*) FILTER (WHERE na IS DISTINCT FROM nb) AS differing_places,
+       strftime(any_value(sent), '%Y-%m-%d') AS selected_as_of, strftime(any_value(seen), '%Y-%m-%d') AS other_as_of
+FROM places JOIN dates USING (etf_code) GROUP BY etf_code
+HAVING count(ra) > 0 AND count(rb) > 0 AND count(*) FILTER (WHERE na IS DISTINCT FROM nb) > 0""",
+)
+def dated_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Conflicting holdings with the as-of dates of both sources."""
+    orders = tables.read(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = tables.read(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    dates = lines.groupBy(tables.code_of("o_custkey").alias("etf_code")).agg(
+        F.max(F.when(F.col("l_linestatus") == "F", F.col("l_shipdate"))).cast("date").alias("sent"), F.max("o_orderdate").cast("date").alias("seen")
+    )
+    shipped, whole = tables.holdings_by_sizes(spark, folder, ["F", None])
+    first = shipped.join(dates.select("etf_code", F.col("sent").alias("as_of")), "etf_code")
+    second = whole.join(dates.select("etf_code", F.col("seen").alias("as_of")), "etf_code")
+    found = resolve.conflicts(first, second, ("detail", "listing_file"))
+    days = {c: F.date_format(c, "yyyy-MM-dd") for c in ("selected_as_of", "other_as_of")}
+    return found.withColumns(days).select("etf_code", "differing_places", *days)
+
+
 @catalog.query(
     "name_code_backfill",
     q.given(_SHIPPED, _ALL_LINES)

@@ -1,9 +1,11 @@
 """Tagging, metadata, batches, samples and ledgers."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
-from fundlens.operators import metadata, quality, tagging
+from fundlens.operators import metadata, quality, resolve, tagging
 from fundlens.sources import sinks
 
 SCORE = "etf_code string, tag_id string, score double, confidence double, source string, evidence array<string>"
@@ -203,3 +205,21 @@ def test_scoring_ledger_keeps_one_entry_per_fund(spark, tmp_path):
         assert ledger.table().count() == len(rows) == 20
         assert (rows["f3"], rows["f4"], rows["f5"]) == ("new", "h", "h")
     assert ledger.versions() == [2, 3]
+
+
+def test_provenance_record_has_source_date_and_override(spark):
+    day = dt.date
+    rows = [
+        ("f1", "name", "A", "master", None, 50, 0.75), ("f1", "name", "B", "detail", None, 100, 0.85),
+        ("f1", "holdings", "10", "detail", day(2026, 7, 1), 100, 0.85), ("f1", "holdings", "12", "listing_file", day(2026, 7, 3), 80, 0.7),
+        ("f2", "holdings", "9", "detail", day(2026, 7, 3), 100, 0.85), ("f2", "holdings", "8", "listing_file", None, 80, 0.7),
+        ("f3", "name", None, "detail", None, 100, 0.85), ("f3", "beta", "1", "detail", None, 100, 0.85),
+    ]
+    values = spark.createDataFrame(rows, "etf_code string, field string, value string, source_id string, as_of date, priority int, confidence double").repartition(4)
+    found = {r.etf_code: r for r in resolve.provenance_record(values, ["name", "holdings"], recency=("holdings",)).collect()}
+    assert found["f1"].name.value == "B" and not found["f1"].name.overridden
+    assert (found["f1"].holdings.value, found["f1"].holdings.as_of, found["f1"].holdings.overridden) == ("12", day(2026, 7, 3), True)
+    assert (found["f2"].name, found["f2"].holdings.value, found["f2"].holdings.overridden) == (None, "9", False)
+    assert (found["f3"].name, found["f3"].holdings) == (None, None)
+    plain = {r.etf_code: r for r in resolve.provenance_record(values, ["holdings"]).collect()}
+    assert plain["f1"].holdings.value == "10" and not plain["f1"].holdings.overridden
