@@ -91,6 +91,34 @@ FROM docs d LEFT JOIN sizes USING (r) JOIN reached USING (r) JOIN docs o ON o.r
 _RULES = sorted(url_filter.RULES, key=lambda x: -len(x[0] + x[1]))
 _FITS = [(f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')", h + p, v) for h, p, v in _RULES]
 _K = url_filter.SMOOTH
+_LEVELS = "l0 AS (SELECT *, '' AS upper, '' AS above, '' AS template FROM whole)," + "".join(
+    f"""
+w{k} AS (
+  SELECT *, sum(n) OVER (PARTITION BY host, template, segment) AS child, sum(n) OVER (PARTITION BY host, template, segment IS NULL) AS total,
+    count(DISTINCT segment) OVER (PARTITION BY host, template) AS fan FROM (SELECT *, lexical[{k}] AS segment FROM l{k - 1})),
+l{k} AS (
+  SELECT host, lexical, n, labelled, blocked, CASE WHEN segment IS NULL THEN upper ELSE above END AS upper,
+    CASE WHEN segment IS NULL THEN above ELSE template END AS above,
+    CASE WHEN segment IS NULL THEN template
+      ELSE {"''" if k == 1 else "template || '/'"} || CASE WHEN fan >= {url_filter.FAN} AND child * {url_filter.KEPT} < total THEN '*' ELSE segment END
+    END AS template FROM w{k}),"""
+    for k in range(1, url_filter.DEPTH + 1)
+)
+
+
+def _alike(name: str, rows: str, by: str, of: str) -> str:
+    return f"""{name}_shares AS (SELECT *, blocked / labelled AS share FROM {rows} WHERE labelled > 0),
+{name}_pairs AS (
+  SELECT *, lag(share) OVER w AS s, lag(labelled) OVER w AS m, (blocked + lag(blocked) OVER w) / (labelled + lag(labelled) OVER w) AS p
+  FROM {name}_shares WINDOW w AS (PARTITION BY {by} ORDER BY share, {of})),
+{name}_steps AS (
+  SELECT *, sum(CASE WHEN share - s > {url_filter.SIMILAR} * sqrt(p * (1 - p) * (1 / labelled + 1 / m)) + 1e-9 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY {by} ORDER BY share, {of} ROWS UNBOUNDED PRECEDING) AS grp FROM {name}_pairs),
+{name} AS (
+  SELECT {by}, {of}, sum(labelled) OVER g AS pooled, sum(blocked) OVER g AS pooled_blocked
+  FROM {name}_steps WINDOW g AS (PARTITION BY {by}, grp))"""
+
+
 OP9_SQL = f"""
 WITH given AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages),
@@ -109,36 +137,24 @@ labelled AS (
 whole AS (
   SELECT host, lexical, count(*) AS n, count(blocked) AS labelled, coalesce(sum(blocked), 0) AS blocked
   FROM labelled GROUP BY host, lexical),
-steps AS (
-  SELECT host, lexical, n, i AS level, array_to_string(lexical[1:i - 1], '/') AS parent, lexical[i] AS segment
-  FROM (SELECT *, unnest(range(1, len(lexical) + 1)) AS i FROM whole)),
-children AS (SELECT host, level, parent, segment, sum(n) AS n FROM steps GROUP BY ALL),
-variable AS (
-  SELECT host, level, parent FROM children GROUP BY ALL
-  HAVING count(*) >= {url_filter.FAN} AND count(*) >= {url_filter.SPREAD} * sum(n)),
-named AS (
-  SELECT s.host, s.lexical, list(CASE WHEN v.host IS NULL THEN segment ELSE '*' END ORDER BY s.level) AS parts
-  FROM steps s LEFT JOIN variable v ON s.host = v.host AND s.level = v.level AND s.parent = v.parent GROUP BY s.host, s.lexical),
-found AS (
-  SELECT w.*, array_to_string(parts[1:len(parts) - 1], '/') AS branch, array_to_string(parts, '/') AS template
-  FROM whole w JOIN named USING (host, lexical)),
-leaves AS (SELECT host, branch, template, sum(labelled) AS labelled, sum(blocked) AS blocked FROM found GROUP BY ALL),
-branches AS (SELECT host, branch, sum(labelled) AS labelled, sum(blocked) AS blocked FROM leaves GROUP BY ALL),
+{_LEVELS}
+leaves AS (SELECT host, upper, above, template, sum(labelled) AS labelled, sum(blocked) AS blocked FROM l{url_filter.DEPTH} GROUP BY ALL),
+branches AS (SELECT host, upper, above, sum(labelled) AS labelled, sum(blocked) AS blocked FROM leaves GROUP BY ALL),
 hosts AS (SELECT host, sum(labelled) AS labelled, sum(blocked) AS blocked FROM branches GROUP BY ALL),
 overall AS (SELECT (sum(blocked) + 1) / (sum(labelled) + 2) AS p FROM hosts),
-of_hosts AS (SELECT host, (blocked + p * {_K}) / (labelled + {_K}) AS p FROM hosts, overall),
+of_hosts AS (SELECT host, (blocked + p * {_K}) / (labelled + {_K}) AS of_host FROM hosts, overall),
+of_uppers AS (
+  SELECT host, upper, (sum(blocked) + any_value(of_host) * {_K}) / (sum(labelled) + {_K}) AS of_upper
+  FROM branches JOIN of_hosts USING (host) GROUP BY host, upper),
+{_alike('branch_groups', 'branches', 'host, upper', 'above')},
 of_branches AS (
-  SELECT host, branch, (blocked + p * {_K}) / (labelled + {_K}) AS p, blocked / greatest(labelled, 1) AS share
-  FROM branches JOIN of_hosts USING (host)),
-grouped AS (
-  SELECT l.*, p, CASE WHEN labelled > 0 AND abs(blocked / greatest(labelled, 1) - share)
-      > {url_filter.SIMILAR} * sqrt(share * (1 - share) / greatest(labelled, 1)) + 1e-9 THEN template END AS grp
-  FROM leaves l JOIN of_branches USING (host, branch)),
+  SELECT b.host, b.upper, b.above, (coalesce(pooled_blocked, 0) + of_upper * {_K}) / (coalesce(pooled, 0) + {_K}) AS of_branch
+  FROM branches b LEFT JOIN branch_groups USING (host, upper, above) JOIN of_uppers USING (host, upper)),
+{_alike('leaf_groups', 'leaves', 'host, upper, above', 'template')},
 purities AS (
-  SELECT host, branch, grp, (sum(blocked) + p * {_K}) / (sum(labelled) + {_K}) AS purity FROM grouped GROUP BY host, branch, grp, p),
-judged AS (
-  SELECT f.host, f.lexical, f.template, purity FROM found f JOIN grouped g USING (host, branch, template)
-  JOIN purities u ON u.host = g.host AND u.branch = g.branch AND u.grp IS NOT DISTINCT FROM g.grp)
+  SELECT l.host, l.upper, l.above, l.template, (coalesce(pooled_blocked, 0) + of_branch * {_K}) / (coalesce(pooled, 0) + {_K}) AS purity
+  FROM leaves l LEFT JOIN leaf_groups USING (host, upper, above, template) JOIN of_branches USING (host, upper, above)),
+judged AS (SELECT f.host, f.lexical, f.template, purity FROM l{url_filter.DEPTH} f JOIN purities USING (host, upper, above, template))
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= {url_filter.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template
 FROM labelled JOIN judged USING (host, lexical)"""
 

@@ -1,18 +1,24 @@
 """Allow or block urls: rules first, then a path-template tree for the rest.
 
-Per host, paths become templates.  Digit runs of a segment are wildcards, and so is every
-segment below a node whose children are many and mostly seen once or twice.  Templates that
-some rule labels have a purity: the share of blocked pages.  Siblings whose share is not
-significantly different from their branch's are merged with it.  Purities are smoothed down
-the tree, from all pages to host, branch and template; a template whose purity is
-``REJECT`` or more is blocked.
+Per host, paths become templates, level by level.  Digit runs of a segment are wildcards.  Below
+a node of ``FAN`` children or more, a child with a twentieth of the node's pages stays as it is
+and all others become one wildcard, whose own children are then looked at together.  That is a
+matter of shares, so a table and its ten-fold have the same templates, and no node keeps more
+than ``KEPT`` children and a wildcard.  Templates that some rule labels have a purity: the share
+of blocked pages.  Sibling branches, and sibling templates, are merged along their sorted shares
+where neighbours do not differ significantly.  Purities are smoothed down the tree, from all pages
+to host, the branch above, branches and templates; a template whose purity is ``REJECT`` or more
+is blocked.
 
 Everything after the first aggregation works on distinct templates, not on pages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -26,8 +32,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 DEPTH = 12  # levels of the tree; what is below is one segment
-FAN = 16  # children from which a node may be variable
-SPREAD = 0.3  # children per page from which it is
+FAN = 16  # children from which a node has a wildcard
+KEPT = 20  # a child with one of so many parts of its node's pages is no part of the wildcard
 SMOOTH = 8.0  # labelled pages that a parent's purity counts as
 SIMILAR = 2.0  # standard errors that merged siblings may be apart
 REJECT = 0.7
@@ -59,57 +65,77 @@ def segments(path: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, lexical, branch, template, n, labelled, blocked) per distinct lexical template.
+    """(host, lexical, upper, above, template, labelled, blocked) per distinct lexical template.
 
     ``pages`` has host, lexical (an array of segments) and blocked (1, 0 or null if unlabelled).
+    ``above`` is the branch a template hangs on and ``upper`` the one that hangs on.  Each level
+    is named and written before the next.  Only children that change are joined, by host,
+    branch and segment, from a written table that adaptive execution may split or broadcast.
     """
     distinct = pages.groupBy("host", "lexical").agg(
         F.count(F.lit(1)).alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked")
     )
-    distinct = materialize(distinct, "templates")
-    steps = F.transform(F.sequence(F.lit(1), F.size("lexical")), lambda i: F.struct(
-        i.alias("level"), F.array_join(F.slice("lexical", F.lit(1), i - 1), "/").alias("parent"), F.element_at("lexical", i).alias("segment"),
-    ))
-    steps = distinct.select("host", "lexical", "n", F.explode(steps).alias("s")).select("host", "lexical", "n", "s.*")
-    children = steps.groupBy("host", "level", "parent", "segment").agg(F.sum("n").alias("n"))
-    nodes = children.groupBy("host", "level", "parent").agg(F.count(F.lit(1)).alias("fan"), F.sum("n").alias("n"))
-    variable = nodes.where((F.col("fan") >= FAN) & (F.col("fan") >= SPREAD * F.col("n"))).select("host", "level", "parent", F.lit(True).alias("any"))
-    named = steps.join(variable, ["host", "level", "parent"], "left")
-    named = named.withColumn("segment", F.when(F.col("any"), F.lit("*")).otherwise(F.col("segment")))
-    whole = named.groupBy("host", "lexical").agg(F.array_sort(F.collect_list(F.struct("level", "segment"))).alias("steps"))
-    parts = F.transform("steps", lambda s: s["segment"])
-    whole = whole.select("host", "lexical", parts.alias("parts"))
-    above = F.slice("parts", F.lit(1), F.size("parts") - 1)
-    whole = whole.select("host", "lexical", F.array_join(above, "/").alias("branch"), F.array_join("parts", "/").alias("template"))
-    return distinct.join(whole, ["host", "lexical"])
+    start = [F.lit("").alias(c) for c in ("upper", "above", "template")]
+    tree = materialize(distinct.select("*", *start), "templates")
+    deepest = tree.agg(F.max(F.size("lexical"))).first()[0] or 0
+    for level in range(1, deepest + 1):
+        rows = tree.withColumn("segment", F.get("lexical", F.lit(level - 1)))
+        children = materialize(rows.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("n")), "children")
+        nodes = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("fan"), F.sum("n").alias("total")).where(F.col("fan") >= FAN)
+        light = children.join(materialize(nodes, "nodes"), ["host", "template"]).where(F.col("n") * KEPT < F.col("total"))
+        light = materialize(light.select("host", "template", "segment", F.lit("*").alias("star")), "wildcards")
+        named = rows.join(light, ["host", "template", "segment"], "left")
+        there, shown = F.col("segment").isNotNull(), F.coalesce("star", "segment")
+        longer = shown if level == 1 else F.concat("template", F.lit("/"), shown)
+        tree = materialize(named.select(
+            "host", "lexical", "n", "labelled", "blocked",
+            F.when(there, F.col("above")).otherwise(F.col("upper")).alias("upper"),
+            F.when(there, F.col("template")).otherwise(F.col("above")).alias("above"),
+            F.when(there, longer).otherwise(F.col("template")).alias("template"),
+        ), "templates")
+    return tree
+
+
+def alike(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """The labelled ``rows`` with ``pooled`` and ``pooled_blocked``: their group's label counts.
+
+    Along the shares of the rows of one parent, a new group begins where a row's share differs
+    from the one before by more than ``SIMILAR`` standard errors.  A parent has a bounded number of rows.
+    """
+    order = W.partitionBy(*by).orderBy("share", name)
+    known = rows.where("labelled > 0").withColumn("share", F.col("blocked") / F.col("labelled"))
+    before, before_n, before_blocked = (F.lag(c).over(order) for c in ("share", "labelled", "blocked"))
+    joint = (F.col("blocked") + before_blocked) / (F.col("labelled") + before_n)
+    error = F.sqrt(joint * (1 - joint) * (1 / F.col("labelled") + 1 / before_n))
+    known = known.withColumn("apart", F.coalesce((F.col("share") - before > SIMILAR * error + 1e-9).cast("int"), F.lit(0)))
+    known = known.withColumn("group", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    group = W.partitionBy(*by, "group")
+    sums = [F.sum("labelled").over(group).alias("pooled"), F.sum("blocked").over(group).alias("pooled_blocked")]
+    return known.select(*by, name, *sums)
 
 
 def purities(found: DataFrame) -> DataFrame:
-    """(host, template, purity) with siblings merged and shares smoothed down the tree."""
+    """(host, above, template, purity) with similar siblings merged and shares smoothed down the tree."""
     counts = [F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
-    leaves = found.groupBy("host", "branch", "template").agg(*counts)
-    branches = leaves.groupBy("host", "branch").agg(*counts)
+    leaves = materialize(found.groupBy("host", "upper", "above", "template").agg(*counts), "leaves")
+    branches = leaves.groupBy("host", "upper", "above").agg(*counts)
     hosts = branches.groupBy("host").agg(*counts)
     total = hosts.agg(*counts).select(((F.col("blocked") + 1) / (F.col("labelled") + 2)).alias("overall")).first()
     overall = (total and total[0]) or 0.5
 
-    def smooth(above: Column | float) -> Column:
-        above = above if isinstance(above, Column) else F.lit(above)
-        return (F.col("blocked") + above * SMOOTH) / (F.col("labelled") + SMOOTH)
-
-    hosts = hosts.select("host", smooth(overall).alias("of_host"))
-    branches = branches.join(hosts, "host").withColumn("of_branch", smooth(F.col("of_host")))
-    branches = branches.select("host", "branch", "of_branch", (F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1))).alias("share"))
-    leaves = leaves.join(branches, ["host", "branch"])
-    error = F.sqrt(F.col("share") * (1 - F.col("share")) / F.greatest(F.col("labelled"), F.lit(1)))
-    apart = F.abs(F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1)) - F.col("share")) > SIMILAR * error + 1e-9
-    own = F.when(apart & (F.col("labelled") > 0), F.col("template"))
-    leaves = leaves.withColumn("group", own)
-    groups = leaves.groupBy("host", "branch", "group", "of_branch").agg(*counts).withColumn("purity", smooth(F.col("of_branch")))
-    same = groups.select("host", "branch", F.col("group").alias("_group"), "purity")
-    named = same.withColumnsRenamed({"host": "_host", "branch": "_branch"})
-    met = (F.col("host") == F.col("_host")) & (F.col("branch") == F.col("_branch")) & F.col("group").eqNullSafe(F.col("_group"))
-    return leaves.join(named, met).select("host", "template", "purity")
+    def smooth(blocked: str, labelled: str, above: Column) -> Column:
+        blocked, labelled = F.coalesce(blocked, F.lit(0)), F.coalesce(labelled, F.lit(0))
+        return (blocked + above * SMOOTH) / (labelled + SMOOTH)
+
+    hosts = materialize(hosts.select("host", smooth("blocked", "labelled", F.lit(overall)).alias("of_host")), "hosts")
+    uppers = branches.groupBy("host", "upper").agg(*counts).join(hosts, "host")
+    uppers = materialize(uppers.select("host", "upper", smooth("blocked", "labelled", F.col("of_host")).alias("of_upper")), "uppers")
+    pooled = branches.join(alike(branches, ["host", "upper"], "above"), ["host", "upper", "above"], "left").join(uppers, ["host", "upper"])
+    pooled = pooled.select("host", "upper", "above", smooth("pooled_blocked", "pooled", F.col("of_upper")).alias("of_branch"))
+    keys = ["host", "upper", "above", "template"]
+    merged = leaves.join(alike(leaves, ["host", "upper", "above"], "template"), keys, "left")
+    merged = merged.join(materialize(pooled, "branches"), ["host", "upper", "above"])
+    return merged.select(*keys, smooth("pooled_blocked", "pooled", F.col("of_branch")).alias("purity"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -125,8 +151,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = split.select("*", rule.alias("rule"), verdict.alias("ruled"), segments(F.col("path")).alias("lexical"))
     labelled = ruled.withColumn("blocked", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
-    found = materialize(templates(labelled), "templates")
-    judged = found.select("host", "lexical", "template").join(purities(found), ["host", "template"])
+    found = templates(labelled)
+    keys = ["host", "upper", "above", "template"]
+    judged = found.select("lexical", *keys).join(materialize(purities(found), "purities"), keys)
     # Written, so that adaptive execution can split a hot template's pages in the last join.
     judged = materialize(judged.select("host", "lexical", "template", "purity"), "judged")
     chosen = F.coalesce(F.col("ruled"), F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))

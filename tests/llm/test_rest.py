@@ -430,6 +430,36 @@ def test_templates_learn_from_labels(spark):
     assert set(verdicts) == {"/de/shop/#", "/fr/text/#", "/u/*/page"}
 
 
+def shapes(spark, urls, rules=()):
+    rows = list(enumerate(urls))
+    return {r.template for r in url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string"), rules).select("template").distinct().collect()}
+
+
+def word(i):
+    return "abcdefghij"[i % 10] + "klmnopqrst"[i // 10 % 10] + "uvwxyz"[i // 100 % 6]
+
+
+def test_templates_do_not_depend_on_pages_per_child(spark):
+    """Below a wildcard slugs are looked at together; a heavy child stays; ten-fold the same."""
+    urls = [f"http://h.org/user/{word(i)}/post/{word(i * 7 + 3)}" for i in range(300)] + ["http://h.org/user/admin/post/news"] * 40
+    want = {"/user/*/post/*", "/user/admin/post/news"}
+    assert shapes(spark, urls) == want and shapes(spark, urls * 10) == want
+    assert shapes(spark, [f"http://h.org/a/{word(i)}" for i in range(15)]) == {f"/a/{word(i)}" for i in range(15)}
+
+
+def test_similar_branches_share_their_labels(spark):
+    """Three sections are blocked throughout and one is not; an unlabelled page goes with its section's group."""
+    urls, rules = [], []
+    for section, blocked in (("ads", 1), ("casino", 1), ("promo", 1), ("docs", 0)):
+        for i in range(6):
+            urls.append(f"http://s.com/{section}/{word(i)}/x")
+            rules.append(("s.com", f"/{section}/{word(i)}/x", "block" if blocked else "allow"))
+        urls.append(f"http://s.com/{section}/{word(9)}/y")
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    verdicts = {r.path: r.verdict for r in url_filter.judge(df, tuple(rules)).collect() if r.rule is None}
+    assert verdicts == {f"/{s}/{word(9)}/y": "allow" if s == "docs" else "block" for s in ("ads", "casino", "promo", "docs")}
+
+
 # pipeline
 
 
