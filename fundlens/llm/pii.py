@@ -227,7 +227,7 @@ def listed(spans_: Column) -> Column:
 
 
 def find_pii(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_secret, base_sha256, spans) per row of ``documents``.
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_secret, base_sha256, spans, n_spans, has_personal_data) per row of ``documents``.
 
     Spans are in code points, ends exclusive.  Those of one base kind do not overlap; those of
     different kinds may.  Null and empty texts have none.  Repeated rows keep a row each and
@@ -239,7 +239,10 @@ def find_pii(documents: DataFrame) -> DataFrame:
     found = spans(documents, ["doc_id"])
     counts = [F.size(f"_{k}").cast("bigint").alias(f"n_{k}") for k in BASE]
     n_secret = (F.size("_all") - F.size("_base")).cast("bigint").alias("n_secret")
-    return found.select("doc_id", *counts, n_secret, F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_all")).alias("spans"))
+    return found.select(
+        "doc_id", *counts, n_secret, F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_all")).alias("spans"),
+        F.size("_all").cast("bigint").alias("n_spans"), (F.size("_all") > 0).alias("has_personal_data"),
+    )
 
 
 def redact(documents: DataFrame) -> DataFrame:
