@@ -37,6 +37,7 @@ SKETCH_BITS = 1024
 SET_BITS = 2048
 BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 2048  # classes of one bucket that are compared with as many others at a time
+PAIRS_HELD = 1 << 17  # of a block, before all but the nearest are dropped
 FILTER_BITS = 1 << 25  # of the bitmap that tells which texts a comparison may need: 4 MB
 _rng = np.random.default_rng(20_11)
 FACTORS = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -242,6 +243,47 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, words_each:
     return annotate(held, ["_ta", "_tb"], "linked boolean", start, keep=["a", "b"]).where("linked").select("a", "b")
 
 
+class Nearest:
+    """The ``best`` nearest pairs (a, b) of any two components, and which of these have more.
+
+    Pairs are added in any order and thinned out whenever they have doubled, so what is held
+    grows with what is taken, not with the pairs that were compared.  A pair is two whole
+    numbers: that of its components, and that of its distance and members, below ``n``.
+    """
+
+    def __init__(self, n: int, best: int) -> None:
+        self.n, self.best, self.most = n, best, PAIRS_HELD
+        self.waiting: list[np.ndarray] = []
+        self.held, self.thinned = 0, False
+        self.cut = np.zeros(0, np.int64)  # components that had more
+
+    def add(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        self.waiting.append(np.stack([low * self.n + high, (ones * self.n + a) * self.n + b]))
+        self.held += len(low)
+        if self.held > self.most:
+            self._thin()
+            self.thinned = True
+            self.most = max(PAIRS_HELD, 2 * self.held)
+
+    def _thin(self) -> None:
+        pairs = np.concatenate(self.waiting, 1)
+        self.waiting.clear()
+        pairs = pairs[:, np.lexsort(pairs[::-1])]  # by components, nearest first
+        begins = np.flatnonzero(np.diff(pairs[0], prepend=-1))
+        n = np.diff(np.append(begins, pairs.shape[1]))
+        self.cut = np.union1d(self.cut, pairs[0, begins[n > self.best]])
+        kept = pairs[:, np.arange(pairs.shape[1]) - np.repeat(begins, n) < self.best]
+        self.waiting.append(kept)
+        self.held = kept.shape[1]
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self._thin()
+        of, rank = self.waiting[0]
+        return rank // self.n % self.n, rank % self.n, np.isin(of, self.cut)
+
+
 def other_pairs(members: DataFrame, similarity: float, best: int) -> DataFrame:
     """(bucket, a, b, more): pairs of different components whose sketches allow the similarity.
 
@@ -287,7 +329,7 @@ def other_pairs(members: DataFrame, similarity: float, best: int) -> DataFrame:
         large, own = frame["_major"].to_numpy(), frame["_own"].to_numpy()
         code = pd.factorize(frame["label"], sort=True)[0]
         mine, other = (np.flatnonzero(~large), np.flatnonzero(large)) if cross else (np.flatnonzero(own == i), np.flatnonzero(own == j))
-        found = []
+        nearest = Nearest(len(frame), best)
         for r in mine:
             ok = (code[other] != code[r]) & ((other > r) if i == j and not cross else True)
             ok &= np.minimum(size[other], size[r]) >= np.maximum(size[other], size[r]) * similarity - 0.001
@@ -299,16 +341,13 @@ def other_pairs(members: DataFrame, similarity: float, best: int) -> DataFrame:
                 ok = ones <= most_apart(size[near], size[r], similarity)
                 near, ones = near[ok], ones[ok]
                 low, high = np.minimum(code[near], code[r]), np.maximum(code[near], code[r])
-                found.append(np.stack([low, high, ones, np.minimum(near, r), np.maximum(near, r)]))
-        if not found:
-            return pd.DataFrame(columns=["a", "b", "more", "bucket"])
-        pairs = np.concatenate(found, 1)
-        pairs = pairs[:, np.lexsort(pairs[::-1])]  # by components, nearest first
-        begins = np.flatnonzero(np.concatenate([[True], (pairs[:2, 1:] != pairs[:2, :-1]).any(0)])) if pairs.shape[1] else np.zeros(0, np.int64)
-        n = np.diff(np.append(begins, pairs.shape[1]))
-        place = np.arange(pairs.shape[1]) - np.repeat(begins, n)
-        taken = place < best
-        return pd.DataFrame({"a": name[pairs[3, taken]], "b": name[pairs[4, taken]], "more": np.repeat(n > best, n)[taken], "bucket": bucket})
+                nearest.add(low, high, ones, np.minimum(near, r), np.maximum(near, r))
+        a, b, more = nearest.taken()
+        found = pd.DataFrame({"a": name[a], "b": name[b], "more": more, "bucket": bucket})
+        if nearest.thinned:
+            del bits, whole, frame, nearest, a, b, more
+            trim()  # takes too long for the many small buckets, which hold nothing
+        return found
 
     columns = ["bucket", "_cross", "_i", "_j", "_own", "_major", "class", "label", "n_shingles", "sketch", "whole"]
     return blocked.select(*columns).groupBy("bucket", "_cross", "_i", "_j").applyInPandas(compare, schema)
