@@ -13,7 +13,7 @@ from ..operators import bars as bar_ops
 from ..operators import holdings as holding_ops
 from ..operators import quality, screen, tagging
 from ..sources import readers, sinks, tables
-from ..storage import new_path
+from ..storage import materialize, new_path
 from . import sql as q
 from .registry import catalog
 
@@ -85,7 +85,7 @@ UNION ALL SELECT 'line', count(*) FROM (
 )
 def edge_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated (fund, stock) pairs and ranks in a fund; the last audit has many."""
-    edges = tables.holdings(spark, folder)
+    edges = materialize(tables.holdings(spark, folder), "edges")  # two audits read them
     placed = holding_ops.holding_ids(edges, [F.col("weight").desc(), F.col("stock_id").asc()])
     orders = tables.read(spark, folder, "orders").select("o_orderkey", "o_custkey")
     lines = tables.read(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
