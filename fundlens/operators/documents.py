@@ -93,15 +93,19 @@ ITEMS = {"$.collection.attemptedProviders[]": _text(allowed=PROVIDERS), "$.holdi
 
 
 def kind_of(value: Column) -> Column:
-    """JSON type of a variant; a number without a fraction is an integer, however it is written."""
+    """JSON type of a variant; a number without a fraction is an integer, however it is written.
+
+    Objects and lists are told by opening them one level; their schema would be that of all
+    that is in them.
+    """
     name = F.schema_of_variant(value)
     number = F.try_variant_get(value, "$", "double")
     return (
         F.when(F.is_variant_null(value), "null")
+        .when(F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), "object")
+        .when(F.try_variant_get(value, "$", "array<variant>").isNotNull(), "array")
         .when(name == "STRING", "string")
         .when(name == "BOOLEAN", "boolean")
-        .when(F.startswith(name, F.lit("OBJECT")), "object")
-        .when(F.startswith(name, F.lit("ARRAY")), "array")
         .when(number == F.floor(number), "integer")
         .otherwise("number")
     )
@@ -121,10 +125,14 @@ def _findings(path: Column, rule: Field, value: Column, kind: Column) -> Column:
     return F.array_compact(F.array(*[F.when(bad, F.struct(path.alias("path"), F.lit(name).alias("error"))) for name, bad in checks]))
 
 
-def _fields(objects: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
-    """Errors of the fields of the objects in ``value``: unknown, missing and wrong ones."""
+def _fields(objects: DataFrame, keys: Sequence[str], at: str, must: bool = False) -> DataFrame:
+    """Errors of the fields of the objects in ``value``: unknown, missing and wrong ones.
+
+    If they ``must`` be objects, another value has the error type; else it has none here.
+    """
     rules = RULES[at]
-    opened = objects.select(*keys, F.try_variant_get("value", "$", "map<string,variant>").alias("fields")).where("fields is not null")
+    opened = objects.select(*keys, F.try_variant_get("value", "$", "map<string,variant>").alias("fields"))
+    opened = opened if must else opened.where("fields is not null")
     named = F.map_keys("fields")
     absent = [F.when(~F.array_contains(named, n), F.lit(f"{at}.{n}")) for n, rule in rules.items() if rule.required]
     unknown = F.transform(F.array_except(named, F.array(*[F.lit(n) for n in rules])), lambda n: F.concat(F.lit(f"{at}."), n))
@@ -135,7 +143,10 @@ def _fields(objects: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     found = [all_of(unknown, "additionalProperties")]
     if absent:
         found.append(all_of(F.array_compact(F.array(*absent)), "required"))
-    picked = opened.select(*keys, F.concat(*found).alias("found"), *[F.element_at("fields", n).alias(f"v_{n}") for n in rules])
+    found = F.concat(*found)
+    if must:
+        found = F.when(F.col("fields").isNull(), F.array(F.struct(F.lit(at).alias("path"), F.lit("type").alias("error")))).otherwise(found)
+    picked = opened.select(*keys, found.alias("found"), *[F.element_at("fields", n).alias(f"v_{n}") for n in rules])
     kinds = picked.withColumns({f"k_{n}": kind_of(F.col(f"v_{n}")) for n in rules})
     nothing = F.array().cast("array<struct<path:string,error:string>>")
     values = [F.when(F.col(f"v_{n}").isNotNull(), _findings(F.lit(f"{at}.{n}"), rule, F.col(f"v_{n}"), F.col(f"k_{n}"))).otherwise(nothing) for n, rule in rules.items()]
@@ -163,9 +174,10 @@ def check_raw_documents(documents: DataFrame, keys: Sequence[str], body: str = "
     for at, rule in ITEMS.items():
         lists = whole.select(*keys, F.try_variant_get("value", at.removesuffix("[]"), "array<variant>").alias("items"))
         items = lists.select(*keys, F.explode("items").alias("value"))
+        if at in RULES:
+            found.append(_fields(items, keys, at, must=True))
+            continue
         judged = items.withColumn("kind", kind_of(F.col("value")))
         found.append(judged.select(*keys, F.inline(_findings(F.lit(at), rule, F.col("value"), F.col("kind")))))
-        if at in RULES:
-            found.append(_fields(items, keys, at))
     errors = reduce(DataFrame.unionByName, found)
     return errors.groupBy(*keys, "path", "error").agg(F.count(F.lit(1)).alias("count"))
