@@ -22,7 +22,7 @@ def test_a_body_is_parsed_once(spark, folder):
     assert parsed.columns == ["id", "etf_code", "etf_name", "raw_base_date", "rows", "fetch_status"]
     found = {r.id: r for r in parsed.collect()}
     assert [i for i, r in found.items() if r.fetch_status == "OK"] == [1, 2]
-    assert (found[1].etf_code, found[1].rows, found[2].rows) == ("2", [{"a": "x"}, {"a": None}], [{"a": "2.50"}])
+    assert (found[1].etf_code, found[1].rows, found[2].rows) == ("2", [{"a": "x"}, {"a": None}], [{"a": "2.5"}])
     assert "get_json_object" not in plan(parsed)
     assert "get_json_object" not in plan(catalog.plans["raw_document_rows"](spark, folder))
 
