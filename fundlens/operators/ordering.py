@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 LOCAL_INDEX_MASK = (1 << 33) - 1
+# A group of at most this many rows never needs more than one task.
+SMALL_GROUP = 10_000
+# Rows a task numbers, so that its memory does not grow with the table.
+ROWS_PER_TASK = 500_000
 
 
 def first_by(df: DataFrame, keys: str | Sequence[str], *order: Column | str) -> DataFrame:
@@ -51,12 +55,49 @@ def with_position(
 ) -> DataFrame:
     """Number all rows 1..n in order, per group if ``by`` is given.
 
-    A plain ``row_number`` sends a whole group to one task.  Here the rows are
-    range-partitioned on (group, order), so a big group spreads over many tasks.
-    The sorted rows are written once, with their partition number and local
-    index; adding the row counts of the partitions before gives the position.
     ``order`` must end with a unique key.
     """
+    return with_positions(df, {name: order}, by) if by else _ranged(df, order, by, name)
+
+
+def with_positions(
+    df: DataFrame,
+    orders: Mapping[str, Sequence[Column]],
+    by: Sequence[str],
+    totals: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Number the rows of each group 1..n, once for each named order.
+
+    ``totals`` adds aggregates over the whole group.  The rows are written once and counted per
+    group.  A group with more rows than a task's even share is numbered by ranges; there are
+    fewer such groups than tasks.  All others meet in one shuffle that serves every order.
+    """
+    totals = dict(totals or {})
+    rows = materialize(df, "grouped")
+    count = rows.count()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, count // ROWS_PER_TASK + 1)
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *[t.alias(n) for n, t in totals.items()])
+    hot = sizes.where(F.col("_rows") > max(SMALL_GROUP, count // tasks)).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    hot = materialize(hot.drop("_rows"), "hot")
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    any_hot = not hot.isEmpty()
+    small = rows.join(F.broadcast(hot), same, "left_anti") if any_hot else rows
+    numbers = {n: F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint") for n, order in orders.items()}
+    placed = small.repartition(tasks, *by).withColumns({**numbers, **{n: t.over(W.partitionBy(*by)) for n, t in totals.items()}})
+    if not any_hot:
+        return placed
+    big = rows.join(F.broadcast(hot), same).drop(*[f"_by_{c}" for c in by])
+    for name, order in orders.items():
+        big = _ranged(big, order, by, name)
+    return placed.unionByName(big)
+
+
+def _ranged(df: DataFrame, order: Sequence[Column], by: Sequence[str], name: str) -> DataFrame:
+    """Positions of rows that are range-partitioned on (group, order): a big group spreads over many tasks.
+
+    The sorted rows are written once, with their partition number and local index; adding the
+    row counts of the partitions before gives the position.
+    """
     keys = [F.col(c).asc_nulls_first() for c in by] + list(order)
     numbered = materialize(
         df.repartitionByRange(*keys)

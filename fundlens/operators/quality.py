@@ -244,10 +244,25 @@ def array_mismatch(stored: DataFrame, derived: DataFrame, key: str = "etf_id", v
 
     Lists are in long form: key, place, value.
     """
-    other = derived.select(key, "place", F.col(value).alias("_derived"))
-    both = stored.select(key, "place", value).join(other, [key, "place"], "full")
-    differing = both.where(~F.col(value).eqNullSafe(F.col("_derived")))
-    return differing.groupBy(key).agg(F.count(F.lit(1)).alias("differing_places"))
+    both = [rows.select(key, "place", value, F.lit(side).alias("_side")) for side, rows in ((1, stored), (2, derived))]
+    return _differing(both[0].unionAll(both[1]), key, value)
+
+
+def place_mismatch(
+    rows: DataFrame, places: Sequence[str] = ("place", "stored_place"), key: str = "etf_id", value: str = "stock_id"
+) -> DataFrame:
+    """:func:`array_mismatch` of two lists whose places stand in the same rows, null where a list lacks the value."""
+    both = F.array(
+        *[F.struct(F.col(p).alias("place"), F.col(value), F.lit(side).alias("_side")) for side, p in enumerate(places, 1)]
+    )
+    return _differing(rows.select(key, F.inline(both)).where("place is not null"), key, value)
+
+
+def _differing(listed: DataFrame, key: str, value: str) -> DataFrame:
+    """Places at which not both lists have the same value; a null value is like none."""
+    sides = listed.where(F.col(value).isNotNull()).groupBy(key, "place", value).agg(F.bit_or("_side").alias("_sides"))
+    places = sides.groupBy(key, "place").agg(F.min("_sides").alias("_sides")).where(F.col("_sides") < 3)
+    return places.groupBy(key).agg(F.count(F.lit(1)).alias("differing_places"))
 
 
 def breadth_violations(summary: DataFrame, funds: int | Column) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from fundlens.operators import documents as document_ops
+from fundlens.operators import ordering, quality
 from fundlens.plans import catalog
 from fundlens.sources import readers
 
@@ -44,3 +45,23 @@ def test_edges_are_summed_once(spark, folder):
 
 def test_dates_are_found_once(spark, folder):
     assert "l_shipdate" not in plan(catalog.plans["dated_conflicts"](spark, folder))
+
+
+def test_positions_in_several_orders(spark):
+    rows = spark.range(24000).selectExpr("if(id < 15000, null, id % 50) AS k", "id", "hash(id) % 7 AS v")
+    orders = {"up": [F.col("id").asc()], "by_v": [F.col("v").desc(), F.col("id").asc()]}
+    placed = ordering.with_positions(rows, orders, ["k"], totals={"most": F.max("id")}).collect()
+    groups = {}
+    for r in placed:
+        groups.setdefault(r.k, []).append(r)
+    assert len(placed) == 24000 and len(groups) == 51
+    for group in groups.values():
+        assert [r.up for r in sorted(group, key=lambda r: r.id)] == list(range(1, len(group) + 1))
+        assert [r.by_v for r in sorted(group, key=lambda r: (-r.v, r.id))] == list(range(1, len(group) + 1))
+        assert {r.most for r in group} == {max(r.id for r in group)}
+
+
+def test_both_places_come_from_one_table(spark, folder):
+    rows = spark.createDataFrame([("f", "a", 1, 1), ("f", "b", 2, None), ("f", "c", 3, 2), ("g", "a", 1, 1)], "etf_id string, stock_id string, place int, stored_place int")
+    assert [tuple(r) for r in quality.place_mismatch(rows).collect()] == [("f", 2)]
+    assert "Join" not in plan(catalog.plans["array_audit"](spark, folder))
