@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import finite
 from ..functions.display import bar_width, heat_bucket, relative_size
 from ..functions.names import market_size
-from .ordering import first_by, top, top_per_key, with_position
+from .ordering import first_by, top, top_per_key, with_position, with_positions
 
 # Ranking tab -> (ranking column, ascending).
 RANKING_TABS = {
@@ -256,15 +256,12 @@ def funds_by_stock(etf: DataFrame, holding: DataFrame, stock_id: str | None = No
         F.col("name").asc(),
         F.col("etf_id").asc(),
     ]
-    return with_position(rows, order, by=["stock_id"])
+    return with_positions(rows, {"position": order}, by=["stock_id"], totals={"widest": F.max("weight")})
 
 
 def with_bars(rows: DataFrame) -> DataFrame:
-    """Bar width of each fund's weight against the largest weight of the same stock."""
-    widest = rows.groupBy("stock_id").agg(F.max("weight").alias("_widest"))
-    return rows.join(widest, "stock_id").withColumn(
-        "bar_width", bar_width("weight", "_widest")
-    ).drop("_widest")
+    """Bar width of each fund's weight against the ``widest`` one of the same stock."""
+    return rows.withColumn("bar_width", bar_width("weight", "widest")).drop("widest")
 
 
 def compare(

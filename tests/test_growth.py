@@ -65,3 +65,7 @@ def test_both_places_come_from_one_table(spark, folder):
     rows = spark.createDataFrame([("f", "a", 1, 1), ("f", "b", 2, None), ("f", "c", 3, 2), ("g", "a", 1, 1)], "etf_id string, stock_id string, place int, stored_place int")
     assert [tuple(r) for r in quality.place_mismatch(rows).collect()] == [("f", 2)]
     assert "Join" not in plan(catalog.plans["array_audit"](spark, folder))
+
+
+def test_widest_weights_need_no_join(spark, folder):
+    assert "Join" not in plan(catalog.plans["funds_by_stock"](spark, folder))
