@@ -69,3 +69,7 @@ def test_both_places_come_from_one_table(spark, folder):
 
 def test_widest_weights_need_no_join(spark, folder):
     assert "Join" not in plan(catalog.plans["funds_by_stock"](spark, folder))
+
+
+def test_lists_are_named_and_ranked_once(spark, folder):
+    assert plan(catalog.plans["name_code_backfill"](spark, folder)).count("Join") == 1
