@@ -18,6 +18,7 @@ blocks of bounded size that compare bitmaps and give out only pairs that pass.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..storage import discard, materialize
-from .columns import annotate, blocks, ragged, trim, utf8
+from .columns import Work, annotate, blocks, ragged, trim, utf8
 from .components import components
 from .words import FOLD, NOT_BLANK, mix, span_hashes, split
 
@@ -184,11 +185,13 @@ def class_of(words_each: int):
     return start
 
 
-def rows_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key may be in the only column of ``wanted``, and few others.
+def rows_in(df: DataFrame, key: str, wanted: DataFrame, inputs: Sequence[str], added: str, start: Callable[[], Work]) -> DataFrame:
+    """Rows of ``df`` whose key may be in the only column of ``wanted``, and few others, annotated.
 
     The keys' hashes are set in a bitmap of fixed size, which is broadcast; so the texts of
-    other rows need not be shuffled.  Many keys let more rows through, but lose none.
+    other rows need not be shuffled.  Many keys let more rows through, but lose none.  The
+    columns ``added`` are computed as by :func:`annotate`, in the same pass: two passes in a
+    stage would take two Python workers a task, which Spark keeps.
     """
     page = 1 << 15  # bits of the bitmaps that Spark aggregates
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
@@ -198,16 +201,21 @@ def rows_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     for r in pages.collect():
         whole[r.page] = np.frombuffer(r.bits, np.uint8)
     shared, names = df.sparkSession.sparkContext.broadcast(whole.ravel()), df.columns
+    schema = StructType([*df.schema, *StructType.fromDDL(added)])
 
     def run(batches):
+        work = start()
         for batch in batches:
             at = np.asarray(batch.column(0))
             there = (shared.value[at >> 3] >> (at & 7)) & 1
-            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(there.astype(bool)))
+            held = pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(there.astype(bool)))
             batch = at = there = None
+            yield pa.RecordBatch.from_arrays([*held.columns, *work(*[held.column(c) for c in inputs])], names=schema.names)
+            held = None
+        work = None
         trim()
 
-    return df.select(place(key).alias("_llm_place"), *[F.col(f"`{c}`") for c in df.columns]).mapInArrow(run, df.schema)
+    return df.select(place(key).alias("_llm_place"), *[F.col(f"`{c}`") for c in df.columns]).mapInArrow(run, schema)
 
 
 def class_texts(documents: DataFrame, first: DataFrame, pairs: DataFrame, words_each: int) -> DataFrame:
@@ -218,8 +226,7 @@ def class_texts(documents: DataFrame, first: DataFrame, pairs: DataFrame, words_
     """
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     chosen = materialize(needed.join(first, "class").select("class", "least"), "needed")
-    held = rows_in(documents.select("doc_id", "text"), "doc_id", chosen.select("least"))
-    named = annotate(held, ["text"], "class binary", class_of(words_each), keep=["text"])
+    named = rows_in(documents.select("doc_id", "text"), "doc_id", chosen.select("least"), ["text"], "class binary", class_of(words_each))
     return named.join(chosen.select("class"), "class", "left_semi").dropDuplicates(["class"]).select("class", "text")
 
 

@@ -154,6 +154,7 @@ def pack(
                     yield rows_out(rows)
             # Nothing of this batch is held while the next one is read.
             batch = cut = doc = ids = rows = None
+            trim()
         if rows := packer.rest():
             yield rows_out(rows)
         encoder = packer = rows = None

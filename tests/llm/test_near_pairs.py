@@ -5,6 +5,7 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fundlens.llm import near_dup
 
@@ -45,3 +46,16 @@ def test_a_block_of_like_classes_does_not_hold_all_its_pairs():
         tracemalloc.stop()
     assert len(a) == 64 and more.all()
     assert peak < 24e6  # of half a million pairs five numbers each, sorted, took 60 MB and more
+
+
+def test_texts_are_chosen_and_named_in_one_pass(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l"), (4, None), (5, "m n o p q r")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    named = near_dup.signatures(docs, 5).where("class is not null")
+    first = named.groupBy("class").agg(F.min("doc_id").alias("least"))
+    one, two = [named.where(f"doc_id = {i}").select("class").first()[0] for i in (1, 3)]
+    pairs = spark.createDataFrame([(one, two)], "a binary, b binary")
+    texts = near_dup.class_texts(docs, first, pairs, 5)
+    assert sorted((bytes(r["class"]), r.text) for r in texts.collect()) == sorted([(bytes(one), rows[0][1]), (bytes(two), rows[2][1])])
+    # Each further one is a Python worker more for every task.
+    assert texts._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
