@@ -11,7 +11,6 @@ from ..functions.clean import (
     clean_text,
     exact_sum,
     finite,
-    first_present,
     half_up,
     not_finite,
     padded_asset_code,
@@ -46,8 +45,8 @@ def normalize_rows(raw: DataFrame, row: str = "row", pos: str = "pos") -> DataFr
     to the row's place in its document (``pos`` counts from 0).
     """
     kept = [c for c in raw.columns if c != row]
-    picked = {f: first_present(row, keys) for f, keys in ALIASES.items()}
-    return _normalized(raw, kept, picked, pos)
+    found, picked = _picked(raw, row, kept)
+    return _normalized(found, kept, picked, pos)
 
 
 def normalize_columns(raw: DataFrame, pos: str = "pos") -> DataFrame:
@@ -65,6 +64,29 @@ def normalize_columns(raw: DataFrame, pos: str = "pos") -> DataFrame:
     return _normalized(raw, kept, picked, pos)
 
 
+def _picked(raw: DataFrame, row: str, kept: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """A table in which each field is at hand, as :func:`first_present` gives it for one field.
+
+    Every key of a row is looked up once: its number orders keys by field, alias and place.
+    Numbers are sorted in a lambda's step, which Spark compiles apart from the cleaning; in
+    one method both are beyond the 8000 bytes up to which the JVM compiles.
+    """
+    field, alias = 40, 20  # bits before the number of the field and of the alias
+    numbers = [(k, (i << field) + (j << alias)) for i, keys in enumerate(ALIASES.values()) for j, k in enumerate(keys)]
+    known = F.create_map(*[F.lit(x) if isinstance(x, str) else F.lit(x).cast("bigint") for pair in numbers for x in pair])
+    other = F.lit(len(ALIASES) << field).cast("bigint")
+    numbered = F.transform(F.map_keys(row), lambda key, place: F.coalesce(known[key], other) + place)
+    ordered = raw.select(*kept, F.map_values(row).alias("_row_values"), F.sort_array(numbered).alias("_row_order"))
+    fields = F.transform("_row_order", lambda n: F.shiftright(n, field).cast("int"))
+    found = ordered.select("*", fields.alias("_row_fields"))
+
+    def pick(i: int) -> Column:
+        number = F.get("_row_order", F.array_position("_row_fields", F.lit(i)).cast("int") - 1)
+        return F.get("_row_values", number.bitwiseAND(F.lit((1 << alias) - 1)).cast("int"))
+
+    return found, {name: pick(i) for i, name in enumerate(ALIASES)}
+
+
 def _normalized(raw: DataFrame, kept: list[str], picked: dict[str, Column], pos: str) -> DataFrame:
     # In three steps, since an expression used several times is evaluated once per
     # row only when it is a column of a projection below.

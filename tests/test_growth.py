@@ -6,7 +6,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from fundlens.functions import clean
 from fundlens.operators import documents as document_ops
+from fundlens.operators import holdings as holding_ops
 from fundlens.operators import ordering, quality
 from fundlens.plans import catalog
 from fundlens.sources import readers
@@ -73,3 +75,27 @@ def test_widest_weights_need_no_join(spark, folder):
 
 def test_lists_are_named_and_ranked_once(spark, folder):
     assert plan(catalog.plans["name_code_backfill"](spark, folder)).count("Join") == 1
+
+
+def longest_method(df) -> int:
+    """Bytes of the longest method that Spark generates; the JVM compiles up to 8000."""
+    package = getattr(getattr(df.sparkSession._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = package.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()))
+
+
+def test_rows_are_normalized_by_compiled_methods(spark, folder):
+    assert longest_method(catalog.plans["normalized_rows"](spark, folder)) < 8000
+
+
+def test_fields_are_picked_by_the_first_alias_there_is(spark):
+    rows = [
+        {"x": "1", "code": "A", "assetCode": None, "비중": "5%", "name": "n"}, {"isin": "B", "ISIN": "C", "no": "2", "순번": "3"},
+        {}, None, {"ratio": "1", "구성비": "2", "종류": "주식", "통화": "KRW", "거래소": "K", "ccy": "USD", "금액": "9", "계약": "0"},
+    ]
+    raw = spark.createDataFrame(list(enumerate(rows)), "pos int, row map<string,string>")
+    found, picked = holding_ops._picked(raw, "row", ["pos"])
+    mine = found.select("pos", *[c.alias(f) for f, c in picked.items()]).orderBy("pos").collect()
+    each = raw.select("pos", *[clean.first_present("row", keys).alias(f) for f, keys in holding_ops.ALIASES.items()])
+    assert mine == each.orderBy("pos").collect()
+    assert (mine[0].code, mine[0].weight, mine[1].code, mine[1].rank) == (None, "5%", "C", "3")
