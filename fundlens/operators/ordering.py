@@ -17,6 +17,16 @@ SMALL_GROUP = 10_000
 ROWS_PER_TASK = 500_000
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by its keys to so many tasks that each gets ``ROWS_PER_TASK`` of ``rows``.
+
+    Below that for every core, Spark's own choice stands.  Above it adaptive execution would
+    join partitions by their compressed size, and the memory of a task grow with the table.
+    """
+    tasks = rows // ROWS_PER_TASK + 1
+    return df.repartition(tasks, *keys) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def first_by(df: DataFrame, keys: str | Sequence[str], *order: Column | str) -> DataFrame:
     """First row per key in the given order.
 

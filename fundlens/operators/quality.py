@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import clamp01, delay_minutes, is_delayed, normalize_code, not_finite
 from ..functions.names import ASSET_TYPES
 from .holdings import holding_figures
+from .ordering import spread
 
 # Fixed values of the holdings document schema.
 PROVIDERS = ("PYKRX", "KRX_DIRECT", "SEIBRO", "ISSUER", "MOCK")
@@ -210,14 +211,18 @@ def candidate_tags(candidates: DataFrame) -> DataFrame:
     )
 
 
-def fk_violations(df: DataFrame, column: str, reference: DataFrame, key: str) -> DataFrame:
+def fk_violations(df: DataFrame, column: str, reference: DataFrame, key: str, rows: int = 0) -> DataFrame:
     """Values of a reference column that the referenced table lacks, with their row counts.
 
-    References are counted per value first, so a hot value is one row in the join.
+    Both columns are counted in one aggregation, without a join: nothing is sorted or
+    broadcast.  ``rows``, of both tables together if known, bounds what a task holds; the rows
+    of a large table then meet by value, and a hot one's are only counted as they come.
     """
-    used = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-    known = reference.select(F.col(key).alias("value"))
-    return used.join(known, "value", "left_anti")
+    used = df.select(F.col(column).alias("value"), F.lit(1).cast("bigint").alias("rows"))
+    known = reference.select(F.col(key).alias("value"), F.lit(None).cast("bigint").alias("rows")).where("value is not null")
+    both = spread(used.unionAll(known), rows, "value").groupBy("value")
+    counted = both.agg(F.sum("rows").alias("rows"), F.bool_or(F.col("rows").isNull()).alias("_known"))
+    return counted.where("not _known").select(F.col("value").cast(used.schema["value"].dataType), "rows")
 
 
 def exploded(df: DataFrame, array_column: str, name: str = "ref_id") -> DataFrame:

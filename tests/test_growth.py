@@ -99,3 +99,15 @@ def test_fields_are_picked_by_the_first_alias_there_is(spark):
     each = raw.select("pos", *[clean.first_present("row", keys).alias(f) for f, keys in holding_ops.ALIASES.items()])
     assert mine == each.orderBy("pos").collect()
     assert (mine[0].code, mine[0].weight, mine[1].code, mine[1].rank) == (None, "5%", "C", "3")
+
+
+def test_references_are_counted_without_a_join(spark, folder):
+    used = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,), (3,), (4,)], "a int")
+    known = spark.createDataFrame([(2,), (None,), (2,), (4,), (9,)], "b int")
+    for rows in (0, 30 * ordering.ROWS_PER_TASK):
+        found = quality.fk_violations(used, "a", known, "b", rows)
+        assert {tuple(r) for r in found.collect()} == {(1, 2), (None, 2), (3, 1)}
+        assert found.schema.simpleString() == "struct<value:int,rows:bigint>"
+    # Tasks grow with the rows, so that what one holds does not.
+    assert found.rdd.getNumPartitions() == 31
+    assert "Join" not in plan(catalog.plans["fk_audit"](spark, folder))
