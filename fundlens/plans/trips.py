@@ -12,6 +12,7 @@ from ..functions.names import market_size
 from ..operators import bars as bar_ops
 from ..operators import holdings as holding_ops
 from ..operators import quality, screen, tagging
+from ..operators.ordering import spread
 from ..sources import readers, sinks, tables
 from ..storage import materialize, new_path
 from . import sql as q
@@ -121,8 +122,13 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     orders = tables.read(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customer = tables.read(spark, folder, "customer").select("c_custkey", "c_name")
     part = tables.read(spark, folder, "part").select("p_partkey", "p_name", "p_type")
-    joined = tables.read(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    joined = joined.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = tables.read(spark, folder, "lineitem")
+    # The names of funds go to their orders, which are fewer than lines.
+    n = orders.count()
+    named = spread(orders, n, "o_custkey").join(spread(customer, n, "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    n = lines.count()
+    joined = spread(lines, n, "l_orderkey").join(spread(named, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = spread(joined, n, "l_partkey").join(spread(part, n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
         tables.code_of("o_custkey").alias("etf_code"), F.col("c_name").alias("etf_name"), F.col("l_linenumber").alias("rank"),
         tables.code_of("l_partkey").alias("holding_code"), F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')).alias("holding_name"),

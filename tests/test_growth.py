@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from fundlens.functions import clean
 from fundlens.operators import documents as document_ops
 from fundlens.operators import holdings as holding_ops
 from fundlens.operators import ordering, quality
-from fundlens.plans import catalog
+from fundlens.plans import catalog, trips
 from fundlens.sources import readers
 
 
@@ -111,3 +112,14 @@ def test_references_are_counted_without_a_join(spark, folder):
     # Tasks grow with the rows, so that what one holds does not.
     assert found.rdd.getNumPartitions() == 31
     assert "Join" not in plan(catalog.plans["fk_audit"](spark, folder))
+
+
+def test_joined_lines_are_dealt_by_their_number(spark, folder, monkeypatch):
+    few = trips._lines(spark, folder)
+    assert "RepartitionByExpression" not in plan(few)
+    monkeypatch.setattr(ordering, "ROWS_PER_TASK", 100)
+    many = trips._lines(spark, folder)
+    assert many.count() == few.count() and many.exceptAll(few).isEmpty()
+    n = {t: spark.read.parquet(f"{folder}/{t}.parquet").count() // 100 + 1 for t in ("orders", "lineitem")}
+    dealt = [int(x) for x in re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", plan(many))]
+    assert sorted(dealt) == sorted([n["orders"]] * 2 + [n["lineitem"]] * 4)
