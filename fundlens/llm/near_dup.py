@@ -39,7 +39,8 @@ SET_BITS = 2048
 BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 2048  # classes of one bucket that are compared with as many others at a time
 PAIRS_HELD = 1 << 17  # of a block, before all but the nearest are dropped
-FILTER_BITS = 1 << 25  # of the bitmap that tells which texts a comparison may need: 4 MB
+FILTER_BITS = 1 << 25  # of the bitmap that tells which texts a comparison may need, or which may go: 4 MB
+PAGE_BITS = 1 << 15  # of the bitmaps that Spark aggregates
 _rng = np.random.default_rng(20_11)
 FACTORS = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -185,6 +186,38 @@ def class_of(words_each: int):
     return start
 
 
+def _place(key: str):
+    """Bit of a key in the bitmap."""
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def _page(key: str):
+    return F.floor(_place(key) / PAGE_BITS)
+
+
+def _pages(keys: DataFrame) -> DataFrame:
+    """(page, bits): the bitmap of the keys in the only column, without its empty pages."""
+    key = keys.columns[0]
+    return keys.groupBy(_page(key).alias("page")).agg(F.bitmap_construct_agg(_place(key) % PAGE_BITS).alias("bits"))
+
+
+def split_by(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose key is surely not in the only column of ``keys``, and the others.
+
+    The bitmap of the keys, which is of fixed size, is broadcast.  So only the others, which
+    are the rows that have such a key and few more, need be shuffled to be told apart.  They
+    have the key's page beside them, ``_llm_page``: a join by the key alone would be moved
+    before this one, and shuffle all rows.
+    """
+    pages = _pages(keys).withColumnsRenamed({"page": "_llm_page", "bits": "_llm_bits"})
+    placed = df.join(F.broadcast(pages), _page(key) == F.col("_llm_page"), "left")
+    at = _place(key) % PAGE_BITS
+    byte = F.substring("_llm_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))
+    there = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) == 1
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return placed.where(~F.coalesce(there, F.lit(False))).select(*columns), placed.where(there).select(*columns, "_llm_page")
+
+
 def rows_in(df: DataFrame, key: str, wanted: DataFrame, inputs: Sequence[str], added: str, start: Callable[[], Work]) -> DataFrame:
     """Rows of ``df`` whose key may be in the only column of ``wanted``, and few others, annotated.
 
@@ -193,12 +226,8 @@ def rows_in(df: DataFrame, key: str, wanted: DataFrame, inputs: Sequence[str], a
     columns ``added`` are computed as by :func:`annotate`, in the same pass: two passes in a
     stage would take two Python workers a task, which Spark keeps.
     """
-    page = 1 << 15  # bits of the bitmaps that Spark aggregates
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bits = wanted.select(place(wanted.columns[0]).alias("_at"))
-    pages = bits.groupBy(F.floor(F.col("_at") / page).alias("page")).agg(F.bitmap_construct_agg(F.col("_at") % page).alias("bits"))
-    whole = np.zeros((FILTER_BITS // page, page // 8), np.uint8)
-    for r in pages.collect():
+    whole = np.zeros((FILTER_BITS // PAGE_BITS, PAGE_BITS // 8), np.uint8)
+    for r in _pages(wanted).collect():
         whole[r.page] = np.frombuffer(r.bits, np.uint8)
     shared, names = df.sparkSession.sparkContext.broadcast(whole.ravel()), df.columns
     schema = StructType([*df.schema, *StructType.fromDDL(added)])
@@ -215,7 +244,7 @@ def rows_in(df: DataFrame, key: str, wanted: DataFrame, inputs: Sequence[str], a
         work = None
         trim()
 
-    return df.select(place(key).alias("_llm_place"), *[F.col(f"`{c}`") for c in df.columns]).mapInArrow(run, schema)
+    return df.select(_place(key).alias("_llm_place"), *[F.col(f"`{c}`") for c in df.columns]).mapInArrow(run, schema)
 
 
 def class_texts(documents: DataFrame, first: DataFrame, pairs: DataFrame, words_each: int) -> DataFrame:
@@ -404,10 +433,14 @@ def _with_classes(documents: DataFrame, similarity: float, words_each: int) -> D
     slim = materialize(signed.select("doc_id", "n_shingles", "class"), "memberships")
     discard(signed)
     first = slim.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    rows = distinct.select(F.explode("buckets").alias("bucket"), "class")
+    # Dealt by bucket once, for the counts and for the join with them.
+    rows = distinct.select(F.explode("buckets").alias("bucket"), "class").repartition("bucket")
     shared = rows.groupBy("bucket").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     buckets = materialize(rows.join(shared, "bucket"), "buckets")
-    sketches = distinct.select("class", "n_shingles", "sketch", "whole")
+    # Bitmaps of classes that share no bucket are compared with nothing, so no join need shuffle them.
+    met = split_by(distinct.select("class", "n_shingles", "sketch", "whole"), "class", buckets.select("class"))[1]
+    sketches = materialize(met.drop("_llm_page"), "sketches")
+    discard(distinct)
     stars = buckets.where("class <> a").select("a", F.col("class").alias("b")).distinct()
     candidates = materialize(close_enough(stars, sketches, similarity), "candidates")
     texts = class_texts(documents, first, candidates, words_each)
@@ -441,6 +474,8 @@ def _with_classes(documents: DataFrame, similarity: float, words_each: int) -> D
     # Written, so that adaptive execution may split a component of very many classes, or broadcast.
     ids = materialize(placed.groupBy("label").agg(F.min("least").alias("component_id")), "components")
     component = materialize(placed.join(ids, "label").select("class", "component_id"), "component-of-class")
+    discard(sketches)
+    discard(buckets)
     joined = slim.where("class is not null").join(component, "class").select("doc_id", "n_shingles", "component_id", "class")
     alone = slim.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "class")
     return joined.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -461,16 +496,18 @@ def keep_one(documents: DataFrame, similarity: float = 0.8, words_each: int = 5)
 def _kept(documents: DataFrame, similarity: float, words_each: int) -> DataFrame:
     judged = materialize(_with_classes(documents, similarity, words_each).where("doc_id is not null").select("doc_id", "class", "kept"), "judged")
     gone = judged.where("not kept").select("doc_id", "class").distinct()
-    gone = gone.select(F.col("doc_id").alias("_llm_gone"), F.col("class").alias("_llm_class"))
+    gone = gone.select(F.col("doc_id").alias("_llm_gone"), F.col("class").alias("_llm_class"), _page("doc_id").alias("_llm_at"))
     # An id that stays with one text and goes with another; only its rows have their class told again.
     both = materialize(gone.join(judged.where("kept"), F.col("doc_id") == F.col("_llm_gone"), "left_semi"), "both")
     clear = gone.join(both.select("_llm_gone").distinct(), "_llm_gone", "left_anti")
-    kept = documents.join(clear, F.col("doc_id") == F.col("_llm_gone"), "left_anti")
+    stay, others = split_by(documents, "doc_id", gone.select("_llm_gone"))
+    named = (F.col("doc_id") == F.col("_llm_gone")) & (F.col("_llm_page") == F.col("_llm_at"))
+    kept = others.join(clear, named, "left_anti")
     if both.isEmpty():
-        return kept
-    ids = both.select("_llm_gone").distinct()
-    sure = kept.join(ids, F.col("doc_id") == F.col("_llm_gone"), "left_anti")
-    unsure = kept.join(ids, F.col("doc_id") == F.col("_llm_gone"), "left_semi")
+        return stay.unionByName(kept.drop("_llm_page"))
+    ids = both.select("_llm_gone", "_llm_at").distinct()
+    sure = kept.join(ids, named, "left_anti").drop("_llm_page")
+    unsure = kept.join(ids, named, "left_semi").drop("_llm_page")
     told = annotate(unsure, ["text"], "_llm_told binary", class_of(words_each))
     same = (F.col("doc_id") == F.col("_llm_gone")) & (F.col("_llm_told") == F.col("_llm_class"))
-    return sure.unionByName(told.join(both, same, "left_anti").drop("_llm_told"))
+    return stay.unionByName(sure).unionByName(told.join(both, same, "left_anti").drop("_llm_told"))

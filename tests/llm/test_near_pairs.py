@@ -59,3 +59,33 @@ def test_texts_are_chosen_and_named_in_one_pass(spark):
     assert sorted((bytes(r["class"]), r.text) for r in texts.collect()) == sorted([(bytes(one), rows[0][1]), (bytes(two), rows[2][1])])
     # Each further one is a Python worker more for every task.
     assert texts._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_split_by_loses_no_row(spark):
+    docs = spark.createDataFrame([(None if i == 7 else f"d{i}", i) for i in range(3000)], "doc_id string, n int").repartition(3)
+    for gone in (range(0, 3000, 9), range(0), range(3000)):
+        keys = spark.createDataFrame([(f"d{i}",) for i in gone], "k string")
+        stay, others = near_dup.split_by(docs, "doc_id", keys)
+        kept, told = [r.n for r in stay.collect()], [r.n for r in others.collect()]
+        assert sorted(kept + told) == list(range(3000))
+        assert set(gone) - {7} <= set(told) and len(told) <= len(gone) + 30
+
+
+def test_only_texts_that_may_go_are_shuffled(spark):
+    rows = [(i, " ".join(f"w{i // 2 if i < 20 else i}x{j}" for j in range(30))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = near_dup.keep_one(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(0, 20, 2), *range(20, 60)]
+    joins = [line for line in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    at = next(i for i, line in enumerate(joins) if "LeftAnti" in line)
+    # The rows of that join have passed the bitmap, which stands below it.
+    assert "Inner" in joins[at + 1] and "broadcast" in joins[at + 1]
+
+
+def test_bitmaps_of_classes_that_meet_no_other_are_left_out(spark, monkeypatch):
+    written, write = {}, near_dup.materialize
+    monkeypatch.setattr(near_dup, "materialize", lambda df, label: written.setdefault(label, []).append(df.count()) or write(df, label))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(60)] + [(99, " ".join(f"w5x{j}" for j in range(29)))]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: i for i in range(60)} | {99: 5}
+    assert written["classes"] == [61] and written["sketches"][0] < 10
